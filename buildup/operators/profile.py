@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from buildup import ordered
 from buildup.functions import labels
+from buildup.functions.bins import edge_bin
 from buildup.functions.labels import share
 
 KEYS = ["match_id", "possession"]
@@ -160,12 +161,6 @@ def distance_stats(distances: DataFrame) -> DataFrame:
     return moments.join(ordered.exact_quantiles(distances, "distance", {"median": 0.5}, ["type"]), "type")
 
 
-def range_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
-    """0-based equal-width bin over [low, high], the last one closed."""
-    step = F.floor(F.try_divide((value - low) * bins, high - low))
-    return F.least(F.coalesce(step, F.lit(0)), F.lit(bins - 1)).cast("bigint")
-
-
 def distance_histogram(
     distances: DataFrame, event_type: str, bins: int = 80, clip: float | None = None
 ) -> DataFrame:
@@ -176,7 +171,7 @@ def distance_histogram(
     inside = F.col("distance") if clip is None else F.when(F.col("distance") <= clip, F.col("distance"))
     limits = rows.agg(total, F.min(inside).alias("_low"), F.max(inside).alias("_high"))
     binned = shown.crossJoin(F.broadcast(limits)).withColumn(
-        "bin", range_bin(F.col("distance"), F.col("_low"), F.col("_high"), bins)
+        "bin", edge_bin(F.col("distance"), F.col("_low"), F.col("_high"), bins)
     )
     return binned.groupBy("bin").agg(
         F.count("*").alias("n"),

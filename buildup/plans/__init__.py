@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["movement", "exploration"]
+_MODULES = ["movement", "exploration", "evaluation"]
 
 
 def load():
