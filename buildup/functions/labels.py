@@ -60,8 +60,12 @@ def season_label(season: Column) -> Column:
 
 
 def signed_text(value: Column) -> Column:
-    """Three decimals with a plus sign on positive values."""
-    return F.when(value > 0, F.format_string("+%.3f", value)).otherwise(F.format_string("%.3f", value))
+    """Three decimals, with a plus sign on positive values and no sign on zero."""
+    return (
+        F.when(value > 0, F.format_string("+%.3f", value))
+        .when(value == 0, "0.000")
+        .otherwise(F.format_string("%.3f", value))
+    )
 
 
 def share(part: Column, total: Column, digits: int) -> Column:

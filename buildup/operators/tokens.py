@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildup.functions import labels
+from buildup import ordered
+from buildup.functions import labels, pitch
 from buildup.functions.labels import VOCAB
 
 # Angular frequencies of the position features.
@@ -95,3 +96,23 @@ def fourier(positions, frequencies=tuple(FREQUENCIES)):
         lambda p: F.flatten(F.transform(rates, lambda r: F.array(F.sin(p * r), F.cos(p * r)))),
     )
     return F.flatten(per_axis)
+
+
+def scoring_tokens(moves: DataFrame) -> DataFrame:
+    """Passes and shots as scoring input: ordinal, type id and unrounded unit coordinates.
+
+    A shot carries no end point here.
+    """
+    rows = moves.where(F.col("type").isin(*labels.PASS_ONLY_TYPES))
+    rows = ordered.position(rows, ["match_id", "possession"], "index", "_at")
+    end = lambda c, size: F.when(F.col("type") == "Pass", pitch.normalized(F.col(c), size, None))
+    return rows.withColumns(
+        {
+            "token_idx": F.col("_at") - 1,
+            "type_id": labels.type_id(F.col("type"), labels.PASS_ONLY_VOCAB),
+            "x": pitch.normalized(F.col("x"), pitch.LENGTH, None),
+            "y": pitch.normalized(F.col("y"), pitch.WIDTH, None),
+            "end_x": end("end_x", pitch.LENGTH),
+            "end_y": end("end_y", pitch.WIDTH),
+        }
+    ).drop("_at")

@@ -18,6 +18,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from buildup.session import stage
+
 BLOCK_ROWS = 1_000_000
 
 
@@ -198,9 +200,11 @@ def running_totals(
     value up to this one. The value range is cut into buckets of about equal
     row count, so no task sorts the whole column. The cut points are fixed on
     the driver first: both uses of a bucket then agree even if a task is rerun.
+    The reduced table is read three times, so it is staged.
     """
     by = list(by)
     spark = df.sparkSession
+    df = stage(df, "distinct")
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = df.stat.approxQuantile(value, [i / n for i in range(1, n)], min(0.01, 0.5 / n)) if n > 1 else []
     splits = [float("-inf"), *sorted(set(cuts) or {0.0}), float("inf")]

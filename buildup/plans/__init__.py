@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["movement", "exploration", "evaluation"]
+_MODULES = ["movement", "exploration", "evaluation", "threat"]
 
 
 def load():

@@ -167,9 +167,9 @@ def train_eval_contexts(spark, sf_dir):
 
 
 @query("context_grid", f"""{_LENGTHS}
-SELECT DISTINCT unnest(quantile_disc(n_events, {[p / 100 for p in range(5, 100, 5)]})) AS context
-FROM len QUALIFY context >= 3""".replace("QUALIFY context >= 3", "").replace(
-    "SELECT DISTINCT unnest", "SELECT * FROM (SELECT DISTINCT unnest") + ") t WHERE context >= 3")
+SELECT context FROM (
+  SELECT DISTINCT unnest(quantile_disc(n_events, {[p / 100 for p in range(5, 100, 5)]})) AS context
+  FROM len) t WHERE context >= 3""")
 def context_grid(spark, sf_dir):
     return splits.context_grid(lengths(spark, sf_dir))
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # forceOptimizeSkewedJoin lets AQE split a hot join key even when the rows
 # are grouped by that same key afterwards.
@@ -59,3 +59,15 @@ def shared_dir(spark: SparkSession) -> str:
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table once and read it back.
+
+    For results that several later branches use. The Parquet copy in the
+    shared folder outlives lost executors, cuts the lineage, and is read with
+    only the columns each branch needs.
+    """
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
