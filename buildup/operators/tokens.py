@@ -116,3 +116,18 @@ def scoring_tokens(moves: DataFrame) -> DataFrame:
             "end_y": end("end_y", pitch.WIDTH),
         }
     ).drop("_at")
+
+
+def feature_rows(sequences: DataFrame) -> DataFrame:
+    """One row per input token: type, next type and the 4-value position with zeros for missing parts."""
+    n = F.size("events") - 1
+
+    def row(a, b):
+        position = F.array(*[F.coalesce(a[c], F.lit(0.0)) for c in AXES])
+        return F.struct(
+            a["type"].alias("input_type"), b["type"].alias("target_type"), position.alias("position")
+        )
+
+    pairs = F.zip_with(F.slice("events", 1, n), F.slice("events", 2, n), row)
+    rows = sequences.select("match_id", "possession", F.posexplode(pairs).alias("pos", "r"))
+    return rows.select("match_id", "possession", "pos", "r.*")

@@ -294,14 +294,12 @@ def sensitivity_eligible(spark, sf_dir):
     return shape(sensitivity.eligible(rows), "whole").union(shape(sensitivity.eligible_start(rows), "start"))
 
 
-@query("counterfactual_events", f"""{_LAST_END}, drawn AS (
-  SELECT match_id, possession FROM poss ORDER BY {views.digits(2)}, match_id, possession LIMIT 100)
+@query("counterfactual_events", f"""{_LAST_END}
 SELECT match_id, possession, event_type, distance_sb, n + 1 AS size, x0 AS x, y0 AS y,
   round(least(x0 + distance_sb / 120.0, 1), 6) AS end_x, y0 AS end_y
-FROM whole JOIN drawn USING (match_id, possession), actions""")
+FROM whole, actions""")
 def counterfactual_events(spark, sf_dir):
-    drawn = splits.fixed_sample(normalized(spark, sf_dir), 100)
-    rows = sensitivity.counterfactuals(sensitivity.eligible(drawn))
+    rows = sensitivity.counterfactuals(sensitivity.eligible(normalized(spark, sf_dir)))
     return rows.select(
         *KEYS, "event_type", "distance_sb", F.size("events").cast("bigint").alias("size"),
         "added.x", "added.y", F.round("added.end_x", 6).alias("end_x"), "added.end_y",
