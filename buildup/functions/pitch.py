@@ -11,17 +11,15 @@ GOAL_X, GOAL_Y = 120, 40
 LEFT_POST_Y, RIGHT_POST_Y = 36, 44
 
 
-def coordinate(location: Column, axis: int) -> Column:
-    """Element ``axis`` of a location with at least two elements, else null."""
-    return F.when(F.size(location) >= 2, F.get(location, F.lit(axis)).cast("double"))
+def coordinate(location: str, axis: int) -> Column:
+    """Element ``axis`` of the location column if it has at least two elements, else null."""
+    return F.expr(f"if(size({location}) >= 2, cast(get({location}, {axis}) as double), null)")
 
 
-def flipped(value: Column, size: int, flip: Column, digits: int | None = 1) -> Column:
+def flipped(value: str, size: int, flip: str, digits: int | None = 1) -> Column:
     """``size - value`` where ``flip`` holds; null values and a null ``flip`` change nothing."""
-    turned = F.lit(size) - value
-    if digits is not None:
-        turned = F.round(turned, digits)
-    return F.when(flip, turned).otherwise(value)
+    turned = f"{size} - {value}" if digits is None else f"round({size} - {value}, {digits})"
+    return F.expr(f"if({flip}, {turned}, {value})")
 
 
 def distance(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:

@@ -7,16 +7,19 @@ expressions.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import Matrices
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from buildup.operators import metrics
 from buildup.operators.metrics import EPSILON
+from buildup.session import stage
 
 MAX_ITERATIONS = 500
 TOLERANCE = 1e-12
@@ -58,61 +61,61 @@ class LogisticCurve:
 
 
 def weighted(scored: DataFrame) -> DataFrame:
-    """Rows per distinct score and label."""
-    return scored.groupBy(
-        F.col("score").cast("double").alias("score"), F.col("label").cast("double").alias("label")
-    ).agg(F.count("*").cast("double").alias("weight"))
+    """Rows per distinct score and label, written once: a fit passes over them many times."""
+    rows = scored.select("score", F.col("label").cast("double").alias("label"))
+    return stage(metrics.reduce(rows).withColumn("weight", F.col("weight").cast("double")), "fit")
 
 
-def fit_curve(scored: DataFrame, method: str) -> LogisticCurve:
-    """Logistic fit on the method's features.
+def fit_curve(weights: DataFrame, method: str) -> LogisticCurve:
+    """Logistic fit of a ``weighted`` table on the method's features.
 
     Platt carries the unit L2 penalty of its usual form; beta keeps both
     coefficients non-negative; the quadratic logit has no penalty.
     """
-    names = [f"f{i}" for i in range(len(FEATURES[method](F.col("score"))))]
-    table = weighted(scored).withColumns(dict(zip(names, FEATURES[method](F.col("score")))))
-    table = VectorAssembler(inputCols=names, outputCol="features").transform(table)
-    table = table.select("features", "label", "weight")
+    features = FEATURES[method](F.col("score"))
+    names = [f"f{i}" for i in range(len(features))]
+    assembler = VectorAssembler(inputCols=names, outputCol="features")
+    table = assembler.transform(weights.withColumns(dict(zip(names, features))))
     estimator = LogisticRegression(
         weightCol="weight", maxIter=MAX_ITERATIONS, tol=TOLERANCE, standardization=False
     )
     if method == "platt":
-        rows = scored.count()
+        rows = weights.agg(F.sum("weight")).first()[0]
         estimator = estimator.setRegParam(1.0 / rows)
     if method == "beta":
-        from pyspark.ml.linalg import Matrices
-
-        estimator = estimator.setLowerBoundsOnCoefficients(Matrices.dense(1, len(names), [0.0] * len(names)))
-    model = estimator.fit(table)
+        floor = Matrices.dense(1, len(names), [0.0] * len(names))
+        estimator = estimator.setLowerBoundsOnCoefficients(floor)
+    model = estimator.fit(table.select("features", "label", "weight"))
     return LogisticCurve(method, tuple(float(c) for c in model.coefficients), float(model.intercept))
 
 
-def fit_isotonic(scored: DataFrame):
-    """Monotone step fit on one row per distinct score, with linear joins and clipped ends."""
-    table = scored.groupBy(F.col("score").cast("double").alias("score")).agg(
-        F.avg(F.col("label").cast("double")).alias("label"), F.count("*").cast("double").alias("weight")
+def fit_isotonic(weights: DataFrame):
+    """Monotone fit on one row per distinct score, with linear joins and clipped ends."""
+    table = weights.groupBy("score").agg(
+        (F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).alias("label"),
+        F.sum("weight").alias("weight"),
     )
     return IsotonicRegression(featuresCol="score", weightCol="weight").fit(table)
 
 
-def calibrate(fit_on: DataFrame, apply_to: DataFrame, method: str, name: str = "calibrated") -> DataFrame:
-    """Fit ``method`` on one scored table and add the calibrated score to another."""
+def _apply(weights: DataFrame, apply_to: DataFrame, method: str, name: str) -> DataFrame:
     if method == "isotonic":
-        model = fit_isotonic(fit_on).setPredictionCol(name)
+        model = fit_isotonic(weights).setPredictionCol(name)
         return model.transform(apply_to.withColumn("score", F.col("score").cast("double")))
-    return apply_to.withColumn(name, fit_curve(fit_on, method).apply(F.col("score")))
+    return apply_to.withColumn(name, fit_curve(weights, method).apply(F.col("score")))
+
+
+def calibrate(fit_on: DataFrame, apply_to: DataFrame, method: str, name: str = "calibrated") -> DataFrame:
+    """Fit ``method`` on one scored table and add the calibrated score to another."""
+    return _apply(weighted(fit_on), apply_to, method, name)
 
 
-def by_method(fit_on: DataFrame, apply_to: DataFrame, methods: list[str]) -> DataFrame:
+def by_method(fit_on: DataFrame, apply_to: DataFrame, methods: Sequence[str]) -> DataFrame:
     """Long table (``method``, ``score``, ``label``) of the raw and every calibrated score."""
-    wide = apply_to.select("score", "label")
-    curves = {"raw": F.col("score").cast("double")}
+    weights = weighted(fit_on)
+    wide = apply_to.select("label", F.col("score").cast("double").alias("score"))
     for method in methods:
-        if method == "isotonic":
-            wide = calibrate(fit_on, wide, method, "isotonic")
-            curves[method] = F.col("isotonic")
-        else:
-            curves[method] = fit_curve(fit_on, method).apply(F.col("score"))
-    entries = [F.struct(F.lit(m).alias("method"), c.alias("score")) for m, c in curves.items()]
+        wide = _apply(weights, wide, method, method)
+    entries = [F.struct(F.lit("raw").alias("method"), "score")]
+    entries += [F.struct(F.lit(m).alias("method"), F.col(m).alias("score")) for m in methods]
     return wide.select("label", F.explode(F.array(*entries)).alias("e")).select("e.method", "e.score", "label")

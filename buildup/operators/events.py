@@ -11,6 +11,12 @@ from buildup.functions import pitch
 from buildup.functions.labels import MOVEMENT_TYPES
 
 MODES = ("threshold", "adaptive", "nofilter")
+LOCATIONS = {
+    "location": "",
+    "pass_end_location": "pass_",
+    "carry_end_location": "carry_",
+    "shot_end_location": "shot_",
+}
 
 
 def check_mode(mode: str, threshold: float | None) -> None:
@@ -35,27 +41,19 @@ def movement(
 
 def with_coordinates(events: DataFrame) -> DataFrame:
     """Replace the location arrays by scalar columns."""
-    out = events
-    for prefix, column in (
-        ("", "location"),
-        ("pass_", "pass_end_location"),
-        ("carry_", "carry_end_location"),
-        ("shot_", "shot_end_location"),
-    ):
-        if column in events.columns:
-            out = out.withColumns(
-                {
-                    f"{prefix}x": pitch.coordinate(F.col(column), 0),
-                    f"{prefix}y": pitch.coordinate(F.col(column), 1),
-                }
-            ).drop(column)
-    return out
+    found = {column: prefix for column, prefix in LOCATIONS.items() if column in events.columns}
+    scalars = {
+        f"{prefix}{axis}": pitch.coordinate(column, i)
+        for column, prefix in found.items()
+        for i, axis in enumerate(("x", "y"))
+    }
+    return events.withColumns(scalars).drop(*found)
 
 
 def with_carry_distance(events: DataFrame) -> DataFrame:
     """``carry_dist`` of carries, null for other types."""
-    moved = pitch.distance(F.col("x"), F.col("y"), F.col("carry_x"), F.col("carry_y"))
-    return events.withColumn("carry_dist", F.when(F.col("type") == "Carry", moved))
+    moved = "sqrt((carry_x - x) * (carry_x - x) + (carry_y - y) * (carry_y - y))"
+    return events.withColumn("carry_dist", F.expr(f"if(type = 'Carry', {moved}, null)"))
 
 
 def carry_filter(events: DataFrame, threshold: float) -> DataFrame:
@@ -65,27 +63,19 @@ def carry_filter(events: DataFrame, threshold: float) -> DataFrame:
 
 def orient(events: DataFrame, digits: int | None = 1) -> DataFrame:
     """Turn coordinates of the team out of possession to the attacking direction."""
-    flip = F.col("team") != F.col("possession_team")
-    turned = {}
-    for prefix in ("", "pass_", "carry_", "shot_"):
-        for axis, size in (("x", pitch.LENGTH), ("y", pitch.WIDTH)):
-            name = f"{prefix}{axis}"
-            if name in events.columns:
-                turned[name] = pitch.flipped(F.col(name), size, flip, digits)
-    return events.withColumns(turned)
+    turned = {
+        f"{prefix}{axis}": pitch.flipped(f"{prefix}{axis}", size, "team != possession_team", digits)
+        for prefix in LOCATIONS.values()
+        for axis, size in (("x", pitch.LENGTH), ("y", pitch.WIDTH))
+    }
+    return events.withColumns({name: c for name, c in turned.items() if name in events.columns})
 
 
 def unify_end(events: DataFrame, include_shots: bool = False) -> DataFrame:
     """``end_x``/``end_y`` from the end column that belongs to the event's type."""
-    ends = {}
-    for axis in ("x", "y"):
-        end = F.when(F.col("type") == "Pass", F.col(f"pass_{axis}")).when(
-            F.col("type") == "Carry", F.col(f"carry_{axis}")
-        )
-        if include_shots:
-            end = end.when(F.col("type") == "Shot", F.col(f"shot_{axis}"))
-        ends[f"end_{axis}"] = end
-    return events.withColumns(ends)
+    shot = "when 'Shot' then shot_{axis}" if include_shots else ""
+    case = "case type when 'Pass' then pass_{axis} when 'Carry' then carry_{axis} " + shot + " end"
+    return events.withColumns({f"end_{axis}": F.expr(case.format(axis=axis)) for axis in ("x", "y")})
 
 
 def movement_events(

@@ -13,40 +13,66 @@ from pyspark.sql import functions as F
 
 from buildup import ordered
 from buildup.functions.bins import edge_bin, unit_bin
+from buildup.session import stage
 
 # Fixed value: scores are kept this far from 0 and 1 in logarithms.
 EPSILON = 1e-7
 BINS = 10
 
 
-def distinct_scores(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def _rows(weight: str | None) -> Column:
+    """How many rows a row stands for."""
+    return F.lit(1) if weight is None else F.col(weight)
+
+
+def _mean(value: Column, weight: str | None) -> Column:
+    """Mean over the rows where ``value`` is not null."""
+    if weight is None:
+        return F.avg(value)
+    known = F.sum(F.when(value.isNotNull(), F.col(weight)))
+    return F.try_divide(F.sum(value * F.col(weight)), known)
+
+
+def reduce(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per distinct (``by``, ``score``, ``label``), with its number of rows as ``weight``.
+
+    Every function below takes such a table with ``weight="weight"`` and gives
+    the same result as on the rows themselves.
+    """
+    return scored.groupBy(*by, F.col("score").cast("double").alias("score"), "label").agg(
+        F.count("*").alias("weight")
+    )
+
+
+def distinct_scores(scored: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Rows and positives per distinct score."""
     return scored.groupBy(*by, F.col("score").cast("double").alias("score")).agg(
-        F.count("*").alias("n"), F.sum(F.col("label").cast("bigint")).alias("pos")
+        F.sum(_rows(weight)).cast("bigint").alias("n"),
+        F.sum(F.col("label") * _rows(weight)).cast("bigint").alias("pos"),
     )
 
 
-def _cumulative(scored: DataFrame, by: Sequence[str]) -> DataFrame:
+def _cumulative(scored: DataFrame, by: Sequence[str], weight: str | None) -> DataFrame:
     by = list(by)
-    table = distinct_scores(scored, by)
+    table = stage(distinct_scores(scored, by, weight), "scores")
     running = ordered.running_totals(table, "score", ["n", "pos"], by)
     totals = table.groupBy(*by).agg(F.sum("pos").alias("_p"), (F.sum("n") - F.sum("pos")).alias("_q"))
     return running.join(totals, by) if by else running.crossJoin(F.broadcast(totals))
 
 
-def roc_auc(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def roc_auc(scored: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Area under the ROC curve; equal scores count half. Null when a class is missing."""
     negatives = F.col("n") - F.col("pos")
     below = F.col("cum_n") - F.col("cum_pos") - negatives
     won = F.sum(F.col("pos") * (below + negatives / F.lit(2.0)))
     pairs = F.max(F.col("_p").cast("double") * F.col("_q"))
-    return _cumulative(scored, by).groupBy(*by).agg(F.try_divide(won, pairs).alias("roc_auc"))
+    return _cumulative(scored, by, weight).groupBy(*by).agg(F.try_divide(won, pairs).alias("roc_auc"))
 
 
-def roc_curve(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def roc_curve(scored: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """True and false positive rate at every distinct threshold, and the origin at infinity."""
     by = list(by)
-    rows = _cumulative(scored, by)
+    rows = _cumulative(scored, by, weight)
     over_pos = F.col("_p") - F.col("cum_pos") + F.col("pos")
     over_neg = F.col("_q") - (F.col("cum_n") - F.col("cum_pos")) + (F.col("n") - F.col("pos"))
     points = rows.select(
@@ -55,11 +81,9 @@ def roc_curve(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.try_divide(over_pos, F.col("_p")).alias("tpr"),
         F.try_divide(over_neg, F.col("_q")).alias("fpr"),
     )
-    origin = scored.groupBy(*by).agg(F.count("*").alias("_n")).where("_n > 0")
     zero = F.lit(0.0)
-    origin = origin.select(
-        *by, F.lit(float("inf")).alias("threshold"), zero.alias("tpr"), zero.alias("fpr")
-    )
+    groups = rows.select(*by, F.lit(float("inf")).alias("threshold")).distinct()
+    origin = groups.select(*by, "threshold", zero.alias("tpr"), zero.alias("fpr"))
     return points.unionByName(origin)
 
 
@@ -73,19 +97,22 @@ def log_loss_terms(score: str = "score") -> Column:
     return F.when(F.col("label") == 1, -F.ln(p)).otherwise(-F.ln(1 - p))
 
 
-def summary(scored: DataFrame, by: Sequence[str] = (), score: str = "score") -> DataFrame:
+def summary(
+    scored: DataFrame, by: Sequence[str] = (), score: str = "score", weight: str | None = None
+) -> DataFrame:
     """Every metric that is a plain mean or sum, in one aggregation."""
     p, y = F.col(score), F.col("label")
+    rows = _rows(weight)
     return (
         scored.groupBy(*by)
         .agg(
-            F.count("*").alias("n"),
-            F.avg(brier_terms(score)).alias("brier_score"),
-            F.avg(log_loss_terms(score)).alias("log_loss"),
-            F.avg(F.when(y == 1, p)).alias("mean_goals"),
-            F.avg(F.when(y == 0, p)).alias("mean_no_goals"),
-            F.avg(p).alias("mean_score"),
-            F.try_divide(F.sum(p), F.sum(y)).alias("xg_ratio"),
+            F.sum(rows).alias("n"),
+            _mean(brier_terms(score), weight).alias("brier_score"),
+            _mean(log_loss_terms(score), weight).alias("log_loss"),
+            _mean(F.when(y == 1, p), weight).alias("mean_goals"),
+            _mean(F.when(y == 0, p), weight).alias("mean_no_goals"),
+            _mean(p, weight).alias("mean_score"),
+            F.try_divide(F.sum(p * rows), F.sum(y * rows)).alias("xg_ratio"),
         )
         .withColumn("separation", F.col("mean_goals") - F.col("mean_no_goals"))
     )
@@ -95,50 +122,58 @@ def relative_drop(before: Column, after: Column) -> Column:
     return F.try_divide(before - after, before)
 
 
-def score_ranges(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def score_ranges(scored: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     return scored.groupBy(*by).agg(
-        F.min("score").alias("min"), F.max("score").alias("max"), F.avg("score").alias("mean")
+        F.min("score").alias("min"), F.max("score").alias("max"), _mean(F.col("score"), weight).alias("mean")
+    )
+
+
+def _reliability(binned: DataFrame, by: Sequence[str], weight: str | None) -> DataFrame:
+    return binned.groupBy(*by, "bin").agg(
+        F.sum(_rows(weight)).alias("n"),
+        _mean(F.col("score"), weight).alias("confidence"),
+        _mean(F.col("label"), weight).alias("accuracy"),
     )
 
 
-def reliability(scored: DataFrame, by: Sequence[str] = (), bins: int = BINS) -> DataFrame:
+def reliability(
+    scored: DataFrame, by: Sequence[str] = (), bins: int = BINS, weight: str | None = None
+) -> DataFrame:
     """Mean score, positive rate and rows per fixed bin of [0, 1)."""
     binned = scored.withColumn("bin", unit_bin(F.col("score"), bins)).where("bin is not null")
-    return _reliability(binned, by)
+    return _reliability(binned, by, weight)
 
 
-def reliability_range(scored: DataFrame, by: Sequence[str] = (), bins: int = BINS) -> DataFrame:
+def reliability_range(
+    scored: DataFrame, by: Sequence[str] = (), bins: int = BINS, weight: str | None = None
+) -> DataFrame:
     """Like ``reliability`` over equal bins between the smallest and largest score."""
     by = list(by)
     limits = scored.groupBy(*by).agg(F.min("score").alias("_low"), F.max("score").alias("_high"))
     joined = scored.join(limits, by) if by else scored.crossJoin(F.broadcast(limits))
-    return _reliability(
-        joined.withColumn("bin", edge_bin(F.col("score"), F.col("_low"), F.col("_high"), bins)), by
-    )
-
-
-def _reliability(binned: DataFrame, by: Sequence[str]) -> DataFrame:
-    return binned.groupBy(*by, "bin").agg(
-        F.count("*").alias("n"), F.avg("score").alias("confidence"), F.avg("label").alias("accuracy")
-    )
+    binned = joined.withColumn("bin", edge_bin(F.col("score"), F.col("_low"), F.col("_high"), bins))
+    return _reliability(binned, by, weight)
 
 
-def ece(scored: DataFrame, by: Sequence[str] = (), bins: int = BINS) -> DataFrame:
+def ece(
+    scored: DataFrame, by: Sequence[str] = (), bins: int = BINS, weight: str | None = None
+) -> DataFrame:
     """Expected calibration error over fixed bins; rows outside the bins only count in the total."""
     with_bin = scored.withColumn("bin", unit_bin(F.col("score"), bins))
-    table = _reliability(with_bin, by)  # the null bin stays for the total
+    table = _reliability(with_bin, by, weight)  # the null bin stays for the total
     gap = F.when(F.col("bin").isNotNull(), F.abs(F.col("confidence") - F.col("accuracy")) * F.col("n"))
-    return table.groupBy(*by).agg(
-        (F.coalesce(F.sum(gap), F.lit(0.0)) / F.sum("n")).alias("ece")
-    )
+    return table.groupBy(*by).agg((F.coalesce(F.sum(gap), F.lit(0.0)) / F.sum("n")).alias("ece"))
 
 
 def record(scored: DataFrame, by: Sequence[str] = (), digits: int = 4) -> DataFrame:
-    """One row per group: AUC, Brier, log loss, ECE, class means, separation and score/label ratio."""
+    """One row per group: AUC, Brier, log loss, ECE, class means, separation and score/label ratio.
+
+    The rows are read once; all metrics come from the staged distinct scores.
+    """
     by = list(by)
-    parts = [summary(scored, by), roc_auc(scored, by), ece(scored, by)]
-    out = parts[0]
-    for part in parts[1:]:
+    table = stage(reduce(scored, by), "reduced")
+    out = summary(table, by, weight="weight")
+    for part in (roc_auc(table, by, "weight"), ece(table, by, weight="weight")):
         out = out.join(part, by) if by else out.crossJoin(F.broadcast(part))
     plain = {*by, "n"}
     return out.select(*by, "n", *[F.round(c, digits).alias(c) for c in out.columns if c not in plain])

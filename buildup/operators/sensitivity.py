@@ -87,7 +87,7 @@ def summary(eligible_rows: DataFrame, moves: DataFrame) -> DataFrame:
     spark = eligible_rows.sparkSession
     keep = threat.continue_rates(moves).select(F.col("type").alias("event_type"), "keep")
     actions = grid(spark).join(F.broadcast(keep), "event_type")
-    model = threat.threat_array(threat.zone_model(threat.with_zones(moves)))
+    model = threat.fit(moves)
     shifted = F.least(F.col("x0") + F.col("distance_sb") / F.lit(float(pitch.LENGTH)), F.lit(1.0))
     valued = points.crossJoin(F.broadcast(model)).select(
         "x0", "y0", "n", "threat", F.get("threat", _zone(F.col("x0"), F.col("y0"))).alias("before")

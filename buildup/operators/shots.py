@@ -20,9 +20,9 @@ def to_binary(df: DataFrame, column: str, positive: str) -> DataFrame:
 
 def parse_location(df: DataFrame, column: str = "location") -> DataFrame:
     """``x``, ``y`` from a text with exactly two unsigned numbers, and the distance to the end line."""
-    numbers = F.regexp_extract_all(column, F.lit(r"\d*\.\d+|\d+"), F.lit(0))
-    at = lambda i: F.when(F.size(numbers) == 2, F.get(numbers, F.lit(i)).cast("double"))
-    return df.withColumns({"x": at(0), "y": at(1)}).withColumn(
+    found = df.withColumn("_numbers", F.regexp_extract_all(column, F.lit(r"\d*\.\d+|\d+"), F.lit(0)))
+    at = lambda i: F.expr(f"if(size(_numbers) = 2, cast(get(_numbers, {i}) as double), null)")
+    return found.withColumns({"x": at(0), "y": at(1)}).drop("_numbers").withColumn(
         "distance_to_end_line", F.lit(pitch.LENGTH) - F.col("x")
     )
 
@@ -60,12 +60,22 @@ def refine_body_part(shots: DataFrame) -> DataFrame:
     )
 
 
+# Python literals and their JSON forms.
+_LITERALS = (("True", "true"), ("False", "false"), ("None", "null"))
+
+
 def parse_frame(text: Column) -> Column:
-    """Freeze frame from JSON or Python-literal text; null when the text is no list of players."""
-    json_text = text
-    for word, plain in (("True", "true"), ("False", "false"), ("None", "null")):
-        json_text = F.regexp_replace(json_text, rf"([:,\[]\s*){word}\b", f"$1{plain}")
-    return F.from_json(json_text, FREEZE_FRAME, {"mode": "PERMISSIVE"})
+    """Freeze frame from JSON or Python-literal text; null when the text is no list of players.
+
+    The usual spelling ``key: True`` is rewritten by plain replacement; only a
+    text that still fails goes through the patterns that allow any spacing.
+    """
+    usual, spaced = text, text
+    for word, plain in _LITERALS:
+        usual = F.replace(usual, F.lit(f": {word}"), F.lit(f": {plain}"))
+        spaced = F.regexp_replace(spaced, rf"([:,\[]\s*){word}\b", f"$1{plain}")
+    read = lambda t: F.from_json(t, FREEZE_FRAME, {"mode": "PERMISSIVE"})
+    return F.coalesce(read(usual), read(spaced))
 
 
 def _left_of(x: Column, y: Column, post_y: int, px: Column, py: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buildup.functions import pitch
+from buildup.session import stage
 
 KEYS = ["match_id", "possession"]
 BINS_X, BINS_Y = 12, 12
@@ -97,11 +98,13 @@ def zone_threat(
     return threat_array(model, iterations).select(F.posexplode("threat").alias("zone", "threat"))
 
 
-def with_threat(
-    rows: DataFrame, moves: DataFrame, zone: Column, name: str = "score", iterations: int = ITERATIONS
-) -> DataFrame:
-    """Add the value of ``zone`` to every row; the one-row model is broadcast."""
-    model = threat_array(zone_model(with_zones(moves)), iterations)
+def fit(moves: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
+    """The fitted model: one staged row, for any number of uses."""
+    return stage(threat_array(zone_model(with_zones(moves)), iterations), "threat")
+
+
+def with_threat(rows: DataFrame, model: DataFrame, zone: Column, name: str = "score") -> DataFrame:
+    """Add the model's value of ``zone`` to every row; the one-row model is broadcast."""
     return rows.crossJoin(F.broadcast(model)).withColumn(name, F.get("threat", zone)).drop("threat")
 
 

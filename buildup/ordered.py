@@ -200,11 +200,10 @@ def running_totals(
     value up to this one. The value range is cut into buckets of about equal
     row count, so no task sorts the whole column. The cut points are fixed on
     the driver first: both uses of a bucket then agree even if a task is rerun.
-    The reduced table is read three times, so it is staged.
+    ``df`` is read three times: pass a staged table.
     """
     by = list(by)
     spark = df.sparkSession
-    df = stage(df, "distinct")
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = df.stat.approxQuantile(value, [i / n for i in range(1, n)], min(0.01, 0.5 / n)) if n > 1 else []
     splits = [float("-inf"), *sorted(set(cuts) or {0.0}), float("inf")]
@@ -235,8 +234,10 @@ def exact_quantiles(
     are reduced to value counts, and the counts are summed in sorted buckets.
     """
     by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    running = running_totals(counts.withColumn(value, F.col(value).cast("double")), value, ["n"], by)
+    number = F.col(value).cast("double").alias(value)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, number).agg(F.count("*").alias("n"))
+    counts = stage(counts, "values")
+    running = running_totals(counts, value, ["n"], by)
     sizes = counts.groupBy(*by).agg(F.sum("n").alias("_size"))
     running = running.join(sizes, by, "left") if by else running.crossJoin(F.broadcast(sizes))
     picks = []

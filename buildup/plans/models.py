@@ -338,13 +338,12 @@ def run_table(spark, sf_dir):
     rows = rows.select(
         "threshold", "window", zone.alias("zone"), F.when(F.col("goal") == 1, 1).otherwise(0).alias("label")
     )
-    rows = threat.with_threat(rows, events, F.col("zone"))
+    rows = threat.with_threat(rows, threat.fit(events), F.col("zone"))
     phases = F.array_compact(
         F.array(
             F.when(F.col("window") == 14, "threshold"), F.when(F.col("threshold") == 2, "context")
         )
     )
-    rows = stage(rows.select("threshold", "window", "score", "label"), "run-scores")
     record = metrics.record(rows, ["threshold", "window"])
     name = F.concat(F.lit("t"), F.col("threshold").cast("int"), F.lit("_ctx"), F.col("window"))
     return record.select(

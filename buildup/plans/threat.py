@@ -214,7 +214,7 @@ def contributions(spark, sf_dir):
     events = moves(spark, sf_dir)
     zoned = threat.with_zones(events).where(F.col("type").isin("Pass", "Shot"))
     scored = threat.with_threat(
-        zoned.select(*KEYS, "index", "type", "zone"), events, F.col("zone")
+        zoned.select(*KEYS, "index", "type", "zone"), threat.fit(events), F.col("zone")
     )
     return context.with_contribution(scored)
 
