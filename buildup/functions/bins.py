@@ -19,7 +19,8 @@ def edge_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
     guess = F.least(F.greatest(guess, F.lit(0)), top)
     below = (guess > 0) & (value < low + guess * step)
     above = (guess < top) & (value >= low + (guess + 1) * step)
-    return F.when(below, guess - 1).when(above, guess + 1).otherwise(guess).cast("bigint")
+    fixed = F.when(below, guess - 1).when(above, guess + 1).otherwise(guess)
+    return F.when(high == low, 0).otherwise(fixed).cast("bigint")
 
 
 def unit_bin(value: Column, bins: int) -> Column:

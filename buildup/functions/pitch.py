@@ -55,4 +55,5 @@ def shot_angle(x: Column, y: Column) -> Column:
     cosine = F.try_divide(
         dx * dx + left * right, F.sqrt(dx * dx + left * left) * F.sqrt(dx * dx + right * right)
     )
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))  # both skip a null
+    return F.when(cosine.isNotNull(), F.degrees(F.acos(bounded)))

@@ -64,11 +64,12 @@ def variants(rows: DataFrame, thresholds: Sequence[float], contexts: Sequence[in
 
     Rows are copied once per threshold and cut to the longest context before
     the shuffle. Shorter contexts are prefixes of that rank, so they only
-    copy the rows that survived.
+    copy the rows that survived. The threshold is a decimal here: Spark
+    rewrites floating-point keys, which would cost a second shuffle.
     """
     longest = max(contexts)
     passing = F.filter(
-        F.array(*[F.lit(float(t)) for t in thresholds]),
+        F.array(*[F.lit(float(t)).cast("decimal(18,6)") for t in thresholds]),
         lambda t: (F.col("type") != "Carry") | F.coalesce(F.col("carry_dist") >= t, F.lit(False)),
     )
     copies = rows.withColumn("threshold", F.explode(passing))
@@ -84,15 +85,17 @@ def variants(rows: DataFrame, thresholds: Sequence[float], contexts: Sequence[in
 
 def variant_possessions(truncated: DataFrame) -> DataFrame:
     """Length and goal sum per variant and possession."""
-    return truncated.groupBy("threshold", "context", *KEYS).agg(
+    counts = truncated.groupBy("threshold", "context", *KEYS).agg(
         (F.count("*") + 1).cast("int").alias("sequence_length"),
         F.sum(labels.goal_flag(F.col("shot_outcome"))).cast("int").alias("goal"),
     )
+    return counts.withColumn("threshold", F.col("threshold").cast("double"))
 
 
 def variant_sequences(truncated: DataFrame) -> DataFrame:
     """Sequence table of every variant."""
-    return seq.build(truncated, by=["threshold", "context", *KEYS])
+    built = seq.build(truncated, by=["threshold", "context", *KEYS])
+    return built.withColumn("threshold", F.col("threshold").cast("double"))
 
 
 def context_grid(lengths: DataFrame, column: str = "n_events", smallest: int = 3) -> DataFrame:

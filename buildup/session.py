@@ -50,7 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
 
     A temporary folder is used only on a local master that has none set.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    key = "spark.checkpoint.dir"
+    folder = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

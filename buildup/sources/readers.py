@@ -59,7 +59,7 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(entries).alias("token", "id"))
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """JSON files of one object or array each; a broken file becomes null rows, not a failed job."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 
