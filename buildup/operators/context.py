@@ -8,7 +8,7 @@ as much as any other.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,3 +134,16 @@ def contribution_summary(contributions: DataFrame) -> DataFrame:
         F.max_by("index", F.struct(c, -F.col("index"))).alias("largest_at"),
         F.min_by("index", F.struct(c, "index")).alias("smallest_at"),
     )
+
+
+def attach_scores(
+    moves: DataFrame, scores: DataFrame, types: Sequence[str], block_rows: int = ordered.BLOCK_ROWS
+) -> DataFrame:
+    """Give the i-th event of ``types`` of each possession the score with ``token_idx`` i - 1.
+
+    Other events keep their place with a null score.
+    """
+    counted = F.when(F.col("type").isin(*types), 1).otherwise(0).cast("bigint")
+    rows = ordered.running_sum(moves, KEYS, "index", counted, "_at", block_rows=block_rows)
+    at = F.when(F.col("type").isin(*types), F.col("_at") - 1)
+    return rows.withColumn("token_idx", at).drop("_at").join(scores, [*KEYS, "token_idx"], "left")

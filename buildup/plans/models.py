@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from buildup.functions import labels, pitch
-from buildup.operators import calibrate, experiments, metrics, models, splits, threat, tokens
+from buildup.operators import calibrate, context, experiments, metrics, models, splits, threat, tokens
 from buildup.operators import sequences as seq
 from buildup.plans import views
 from buildup.plans.evaluation import BINS_SQL, rounded, scored
 from buildup.plans.movement import big, moves, sequences
 from buildup.plans.registry import query
-from buildup.plans.threat import THREAT
+from buildup.plans.threat import ACTIONS, THREAT, scored_actions
 from buildup.session import stage
 
 KEYS = seq.KEYS
@@ -150,6 +150,17 @@ def weighted_log_loss(spark, sf_dir):
 
 # ---- calibration
 
+# Newton steps of the penalised logistic fit on ``fitted`` (s, n, k)
+_PLATT = """platt(i, a, b) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab),
+         b - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+  FROM (SELECT i, a, b, a + sum((n * p - k) * s) AS ga, sum(n * p - k) AS gb,
+          1 + sum(n * p * (1 - p) * s * s) AS haa, sum(n * p * (1 - p) * s) AS hab, sum(n * p * (1 - p)) AS hbb
+        FROM (SELECT i, a, b, n, k, s, 1 / (1 + exp(-(a * s + b))) AS p FROM platt, fitted WHERE i < 25) q
+        GROUP BY i, a, b) g)"""
+
 _HALF = "('0x' || substr(md5(concat(user_id, '-42')), 1, 8))::BIGINT % 100 < 50"
 _CAL = f"""WITH RECURSIVE {views.SCORED[5:]}, side AS (SELECT *, {_HALF} AS fit FROM scored),
 fitted AS (SELECT score AS s, count(*)::DOUBLE AS n, sum(label)::DOUBLE AS k,
@@ -158,15 +169,7 @@ fitted AS (SELECT score AS s, count(*)::DOUBLE AS n, sum(label)::DOUBLE AS k,
 applied AS (SELECT score AS s, label,
     ln(greatest(1e-7, least(1 - 1e-7, score)) / (1 - greatest(1e-7, least(1 - 1e-7, score)))) AS l
   FROM side WHERE NOT fit),
-platt(i, a, b) AS (
-  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE
-  UNION ALL
-  SELECT i + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab),
-         b - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
-  FROM (SELECT i, a, b, a + sum((n * p - k) * s) AS ga, sum(n * p - k) AS gb,
-          1 + sum(n * p * (1 - p) * s * s) AS haa, sum(n * p * (1 - p) * s) AS hab, sum(n * p * (1 - p)) AS hbb
-        FROM (SELECT i, a, b, n, k, s, 1 / (1 + exp(-(a * s + b))) AS p FROM platt, fitted WHERE i < 25) q
-        GROUP BY i, a, b) g),
+{_PLATT},
 quad(i, a, b, c) AS (
   SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
   UNION ALL
@@ -292,6 +295,23 @@ def evaluation_record(spark, sf_dir):
     return rounded(out, *out.columns, digits=4)
 
 
+@query("action_contributions", f"""{ACTIONS.replace('WITH raw', 'WITH RECURSIVE raw')},
+fitted AS (SELECT score AS s, count(*)::DOUBLE AS n, sum(label)::DOUBLE AS k FROM rated
+  WHERE {views.digits(0)} % 100 BETWEEN 80 AND 89 GROUP BY score),
+{_PLATT},
+cal AS (SELECT rated.*, 1 / (1 + exp(-(pl.a * score + pl.b))) AS c FROM rated, platt pl WHERE pl.i = 25),
+nexts AS (SELECT *, lead(c) OVER (PARTITION BY match_id, possession ORDER BY index) - c AS up FROM cal)
+SELECT match_id, possession, index, type, round(score, 6) AS score, round(c, 6) AS calibrated,
+  CASE WHEN type = 'Shot' THEN round(1 - c, 3) ELSE coalesce(round(up, 3), 0) END AS contribution FROM nexts""")
+def action_contributions(spark, sf_dir):
+    """Context score of every action, calibrated on the validation split, and its contribution."""
+    rows = stage(scored_actions(spark, sf_dir), "actions")
+    fixed = calibrate.calibrate(rows.where("split = 'val'"), rows, "platt")
+    out = context.with_contribution(fixed, "calibrated")
+    out = out.select(*KEYS, "index", "type", "score", "calibrated", "contribution")
+    return rounded(out, "score", "calibrated")
+
+
 # ---- runs
 
 RUN_THRESHOLDS = [1, 2, 3, 5, 8]

@@ -172,16 +172,13 @@ def sliding_context(spark, sf_dir):
     return rows.select(*KEYS, "index", F.col("k3").alias("context"), *big("context_size"))
 
 
-_ACTIONS = f"""{_SLIDING}, keyed AS (
+ACTIONS = f"""{_SLIDING}, keyed AS (
   SELECT w2.*, CASE WHEN goal = 1 THEN 1 ELSE 0 END AS label, {views.digits(0)} % 100 < 80 AS training
   FROM w2 JOIN poss USING (match_id, possession)),
-{_rates('keyed')},
-contrib AS (
-  SELECT *, coalesce(round(lead(score) OVER (PARTITION BY match_id, possession ORDER BY index) - score, 3), 0)
-    AS rise FROM rated)"""
+{_rates('keyed')}"""
 
 
-@query("score_actions", f"""{_ACTIONS}
+@query("score_actions", f"""{ACTIONS}
 SELECT match_id, possession, index, type, CAST(size AS BIGINT) AS context_size, round(score, 6) AS score
 FROM rated""")
 def score_actions(spark, sf_dir):
@@ -241,6 +238,22 @@ def contribution_summary(spark, sf_dir):
     return rounded(rounded(rows, "total"), "mean", digits=9)
 
 
+@query("score_zip", f"""{THREAT}, ps AS (
+  SELECT match_id, possession, index, threat AS score FROM zoned JOIN threat USING (zone)
+  WHERE type IN ('Pass', 'Shot'))
+SELECT mv.match_id, mv.possession, mv.index, type, round(score, 6) AS score,
+  CASE WHEN type IN ('Pass', 'Shot') THEN count(*) FILTER (type IN ('Pass', 'Shot')) OVER (
+    PARTITION BY mv.match_id, mv.possession ORDER BY mv.index ROWS UNBOUNDED PRECEDING) - 1 END AS token_idx
+FROM mv LEFT JOIN ps ON ps.match_id = mv.match_id AND ps.possession = mv.possession AND ps.index = mv.index""")
+def score_zip(spark, sf_dir):
+    """Scores by ordinal, as a scoring run returns them, put back on the full event list."""
+    events = moves(spark, sf_dir)
+    scored = threat.with_threat(tokens.scoring_tokens(threat.with_zones(events)), threat.fit(events), F.col("zone"))
+    scores = scored.select(*KEYS, "token_idx", "score")
+    rows = context.attach_scores(events.select(*KEYS, "index", "type"), scores, ["Pass", "Shot"])
+    return rows.select(*KEYS, "index", "type", "token_idx", F.round("score", 6).alias("score"))
+
+
 @query("actor_changes", f"""{views.MV}, p AS (
   SELECT match_id, possession, index, player,
     lag(player) OVER (PARTITION BY match_id, possession ORDER BY index) AS before FROM mv)
