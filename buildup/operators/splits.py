@@ -59,37 +59,85 @@ def goal_balance(df: DataFrame) -> DataFrame:
     return counts.withColumn("pct", labels.share(F.col("n"), total, 2))
 
 
-def variants(rows: DataFrame, thresholds: Sequence[float], contexts: Sequence[int]) -> DataFrame:
-    """Truncated events of every (carry threshold, context length) pair, from one shuffle.
-
-    Rows are copied once per threshold and cut to the longest context before
-    the shuffle. Shorter contexts are prefixes of that rank, so they only
-    copy the rows that survived. The threshold is a decimal here: Spark
-    rewrites floating-point keys, which would cost a second shuffle.
+def threshold_ranks(rows: DataFrame, thresholds: Sequence[float], longest: int) -> DataFrame:
+    """The last ``longest`` events of each possession under every carry threshold.
+
+    Thresholds are nested, so an event has one ``level``: how many thresholds
+    it passes. Of each level only the latest ``longest`` events of a
+    possession can matter under any threshold; that limit is applied before
+    the shuffle and bounds a possession. An event that is cut has that many
+    later events of its own level, so the ranks of the events that stay do not
+    change. Ranks for all thresholds then come from one window pass.
     """
-    longest = max(contexts)
-    passing = F.filter(
-        F.array(*[F.lit(float(t)).cast("decimal(18,6)") for t in thresholds]),
-        lambda t: (F.col("type") != "Carry") | F.coalesce(F.col("carry_dist") >= t, F.lit(False)),
+    steps = sorted(thresholds)
+    passed = F.size(F.filter(F.array(*[F.lit(float(t)) for t in steps]), lambda t: F.col("carry_dist") >= t))
+    level = F.when(F.col("type") == "Carry", passed).otherwise(len(steps))
+    latest_of_level = Window.partitionBy(*KEYS, "_level").orderBy(F.col("index").desc())
+    short = (
+        rows.withColumn("_level", level)
+        .where("_level > 0")
+        .withColumn("_rank", F.row_number().over(latest_of_level))
+        .where(F.col("_rank") <= longest)
+    )
+    latest = (
+        Window.partitionBy(*KEYS)
+        .orderBy(F.col("index").desc())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    ranked = short.withColumns(
+        {f"_r{i}": F.sum(F.when(F.col("_level") > i, 1).otherwise(0)).over(latest) for i in range(len(steps))}
     )
-    copies = rows.withColumn("threshold", F.explode(passing))
-    latest = Window.partitionBy("threshold", *KEYS).orderBy(F.col("index").desc())
-    cut = copies.withColumn("event_rank", F.row_number().over(latest)).where(
-        F.col("event_rank") <= longest
+    # the threshold is a decimal here: Spark rewrites floating-point keys, which would cost a shuffle
+    member = lambda i, t: F.when(
+        (F.col("_level") > i) & (F.col(f"_r{i}") <= longest),
+        F.struct(
+            F.lit(float(t)).cast("decimal(18,6)").alias("threshold"),
+            F.col(f"_r{i}").cast("int").alias("event_rank"),
+        ),
     )
+    memberships = F.array_compact(F.array(*[member(i, t) for i, t in enumerate(steps)]))
+    return ranked.withColumn("_in", F.explode(memberships)).select(*rows.columns, "_in.*")
+
+
+def variants(rows: DataFrame, thresholds: Sequence[float], contexts: Sequence[int]) -> DataFrame:
+    """Truncated events of every (carry threshold, context length) pair.
+
+    A shorter context is a prefix of the longest one, so only rows that
+    survived the longest are copied.
+    """
     wide_enough = F.filter(
         F.array(*[F.lit(int(c)) for c in sorted(contexts)]), lambda c: c >= F.col("event_rank")
     )
-    return cut.withColumn("context", F.explode(wide_enough))
+    ranked = threshold_ranks(rows, thresholds, max(contexts))
+    return ranked.withColumn("context", F.explode(wide_enough))
+
 
+def variant_possessions(
+    rows: DataFrame, thresholds: Sequence[float], contexts: Sequence[int]
+) -> DataFrame:
+    """Length and goal sum per variant and possession.
 
-def variant_possessions(truncated: DataFrame) -> DataFrame:
-    """Length and goal sum per variant and possession."""
-    counts = truncated.groupBy("threshold", "context", *KEYS).agg(
-        (F.count("*") + 1).cast("int").alias("sequence_length"),
-        F.sum(labels.goal_flag(F.col("shot_outcome"))).cast("int").alias("goal"),
+    All contexts of a threshold come from one aggregation of conditional sums.
+    """
+    contexts = sorted(int(c) for c in contexts)
+    goal = labels.goal_flag(F.col("shot_outcome"))
+    counts = (
+        threshold_ranks(rows, thresholds, max(contexts))
+        .groupBy("threshold", *KEYS)
+        .agg(
+            F.count("*").alias("_n"),
+            *[F.sum(F.when(F.col("event_rank") <= c, goal)).alias(f"_g{c}") for c in contexts],
+        )
+    )
+    variant = lambda c: F.struct(
+        F.lit(c).alias("context"),
+        (F.least(F.col("_n"), F.lit(c)) + 1).cast("int").alias("sequence_length"),
+        F.col(f"_g{c}").cast("int").alias("goal"),
+    )
+    each = F.explode(F.array(*[variant(c) for c in contexts])).alias("v")
+    return counts.select(F.col("threshold").cast("double").alias("threshold"), *KEYS, each).select(
+        "threshold", *KEYS, "v.*"
     )
-    return counts.withColumn("threshold", F.col("threshold").cast("double"))
 
 
 def variant_sequences(truncated: DataFrame) -> DataFrame:

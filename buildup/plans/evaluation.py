@@ -137,7 +137,7 @@ SELECT threshold, context, count(*) AS possessions, count(*) FILTER (goal = 1) A
   count(*) FILTER (goal > 1) AS several_goals, round(avg(sequence_length), 6) AS mean_length
 FROM vposs GROUP BY threshold, context""")
 def sequence_variants(spark, sf_dir):
-    rows = splits.variant_possessions(splits.variants(moves(spark, sf_dir), THRESHOLDS, CONTEXTS))
+    rows = splits.variant_possessions(moves(spark, sf_dir), THRESHOLDS, CONTEXTS)
     return rows.groupBy("threshold", *big("context")).agg(
         F.count("*").alias("possessions"),
         F.count_if(F.col("goal") == 1).alias("goals"),
@@ -152,7 +152,7 @@ SELECT a.goal AS goal_short, b.goal AS goal_full, count(*) AS n,
 FROM vposs a JOIN vposs b USING (threshold, match_id, possession)
 WHERE threshold = 2 AND a.context = 5 AND b.context = 14 GROUP BY 1, 2""")
 def train_eval_contexts(spark, sf_dir):
-    rows = splits.variant_possessions(splits.variants(moves(spark, sf_dir), [2], [5, 14]))
+    rows = splits.variant_possessions(moves(spark, sf_dir), [2], [5, 14])
     both = rows.groupBy("threshold", *KEYS).agg(
         *[
             F.max(F.when(F.col("context") == c, F.col(v))).cast("bigint").alias(f"{v}_{c}")

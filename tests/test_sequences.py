@@ -154,7 +154,7 @@ def test_balance_reaches_the_share(spark):
 
 def test_variants_equal_single_runs(spark, sf_dir):
     base = moves(spark, sf_dir)
-    many = splits.variant_possessions(splits.variants(base, [1, 5], [3, 8]))
+    many = splits.variant_possessions(base, [1, 5], [3, 8])
     for threshold in (1, 5):
         for n in (3, 8):
             one = seq.possession_goals(seq.truncate_last(ev.carry_filter(base, threshold), n))
@@ -199,3 +199,11 @@ def test_grid_edges(spark):
     df = spark.createDataFrame([(0.0,), (9.9,), (10.0,), (119.9,), (120.0,), (130.0,), (-1.0,)], "x double")
     got = [r[0] for r in df.select(pitch.grid_index(F.col("x"), 120, 12)).collect()]
     assert got == [0, 0, 1, 11, 11, 11, 0]
+
+
+def test_variant_sequences_have_the_variant_lengths(spark, sf_dir):
+    base = moves(spark, sf_dir)
+    built = splits.variant_sequences(splits.variants(base, [1, 5], [3, 8]))
+    counted = splits.variant_possessions(base, [1, 5], [3, 8])
+    names = ["threshold", "context", "match_id", "possession", "sequence_length", "goal"]
+    assert sorted(map(tuple, built.select(names).collect())) == sorted(map(tuple, counted.select(names).collect()))

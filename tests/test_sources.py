@@ -106,9 +106,10 @@ def test_sequences_need_one_shuffle_and_no_python(spark, sf_dir):
     assert plan.count("Exchange") == 1 and "Python" not in plan and "Cartesian" not in plan
 
 
-def test_variants_need_one_shuffle(spark, sf_dir):
-    rows = splits.variant_possessions(splits.variants(moves(spark, sf_dir), [1, 2], [2, 8]))
-    assert plan_of(rows).count("Exchange") == 1
+def test_variants_limit_rows_before_the_shuffle(spark, sf_dir):
+    rows = splits.variant_possessions(moves(spark, sf_dir), [1, 2], [2, 8])
+    plan = plan_of(rows)
+    assert plan.count("Exchange") == 2 and plan.count("WindowGroupLimit") == 2
 
 
 def test_scan_reads_only_what_is_used(spark, sf_dir):
