@@ -41,18 +41,15 @@ def start_keys(sequences: DataFrame) -> DataFrame:
 def sliding_keys(moves: DataFrame, block_rows: int = ordered.BLOCK_ROWS) -> DataFrame:
     """Keys from the up to three latest events of the possession, the current one included."""
     rows = moves.withColumn("_word", token(F.col("type"), F.col("x"), F.col("y")))
-    rows = ordered.neighbours(
-        rows, KEYS, "index", F.col("_word"), "_earlier", SIZE - 1, block_rows=block_rows
-    )
-    words = F.concat("_earlier", F.array("_word"))
-    rows = rows.withColumn("_words", words).withColumn("context_size", F.size("_words"))
-    tails = {
-        f"k{i}": F.array_join(
-            F.slice("_words", F.greatest(F.size("_words") - (i - 1), F.lit(1)), F.lit(i)), "|"
-        )
-        for i in (3, 2, 1)
-    }
-    return rows.withColumns(tails).drop("_word", "_earlier", "_words")
+    rows = ordered.lags(rows, KEYS, "index", F.col("_word"), ["_p1", "_p2"], block_rows=block_rows)
+    return rows.withColumns(
+        {
+            "k3": F.concat_ws("|", "_p2", "_p1", "_word"),
+            "k2": F.concat_ws("|", "_p1", "_word"),
+            "k1": F.col("_word"),
+            "context_size": F.expr("1 + int(_p1 is not null) + int(_p2 is not null)"),
+        }
+    ).drop("_word", "_p1", "_p2")
 
 
 def rates(keyed: DataFrame, training: Column, alpha: float = ALPHA) -> DataFrame:

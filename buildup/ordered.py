@@ -121,74 +121,61 @@ def position(
     return running_sum(df, keys, order, one, name, descending, block_rows)
 
 
-def neighbours(
+def lags(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
     value: Column,
-    name: str,
-    count: int = 1,
+    names: Sequence[str],
     following: bool = False,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Add ``name``: an array of up to ``count`` values next to this row, the nearest last.
+    """Add one column per name: the value one, two, ... rows earlier in the group, or later with ``following``.
 
-    Looks at earlier rows, or at later ones with ``following``. Null values
-    keep their place in the array.
+    Null where the group has no such row.
     """
-    keys = list(keys)
-    by_order = _direction(order, following)
-    rows = _with_block(df, order, block_rows).withColumn(
-        "_item", F.struct(value.alias("value"))
-    )
-    inside = Window.partitionBy(*keys, "_block").orderBy(by_order)
-    rows = rows.withColumn(
-        "_near", F.collect_list("_item").over(inside.rowsBetween(-count, -1))
-    )
-    # the last rows of each block, at most ``count`` of them
+    keys, steps = list(keys), range(1, len(names) + 1)
+    cut = [*keys, "_block"]
+    item = F.struct(value.alias("value"))
+    inside = Window.partitionBy(*cut).orderBy(_direction(order, following))
+    rows = _with_block(df, order, block_rows).withColumn("_item", item)
+    rows = rows.withColumns({f"_lag{i}": F.lag("_item", i).over(inside) for i in steps})
+    # the rows of each block that the next block looks back to
+    from_end = Window.partitionBy(*cut).orderBy(_direction("_order", not following))
     ends = (
         _with_block(df, order, block_rows)
-        .select(*keys, "_block", F.col(order).alias("_order"), F.struct(value.alias("value")).alias("_item"))
-        .withColumn("_rank", F.row_number().over(
-            Window.partitionBy(*keys, "_block").orderBy(_direction("_order", not following))
-        ))
-        .where(F.col("_rank") <= count)
-        .groupBy(*keys, "_block")
+        .select(*cut, F.col(order).alias("_order"), item.alias("_item"))
+        .withColumn("_rank", F.row_number().over(from_end))
+        .where(F.col("_rank") <= len(names))
+        .groupBy(*cut)
         .agg(F.sort_array(F.collect_list(F.struct("_rank", "_item")), asc=False).alias("_end"))
     )
     earlier_blocks = (
-        Window.partitionBy(*keys).orderBy(_direction("_block", following)).rowsBetween(-count, -1)
+        Window.partitionBy(*keys).orderBy(_direction("_block", following)).rowsBetween(-len(names), -1)
     )
     edges = (
         ends.withColumn("_before", F.flatten(F.collect_list("_end").over(earlier_blocks)))
         .where(F.size("_before") > 0)
-        .select(*keys, "_block", F.expr("transform(_before, e -> e._item)").alias("_before"))
+        .select(*cut, F.expr("transform(_before, e -> e._item)").alias("_before"))
     )
-    every = F.expr("if(_before is null, _near, concat(_before, _near))")
+    # a row with n earlier rows in its block finds the next ones at the end of the blocks before
+    found = " + ".join(f"int(_lag{i} is not null)" for i in steps)
+    pick = lambda i: f"coalesce(_lag{i}, get(_before, size(_before) + ({found}) - {i})).value"
     return (
-        rows.join(edges, [*keys, "_block"], "left")
-        .withColumn("_every", every)
-        .withColumn(
-            name,
-            F.expr(
-                f"transform(slice(_every, greatest(size(_every) - {count - 1}, 1), {count}),"
-                " e -> e.value)"
-            ),
-        )
-        .drop("_block", "_item", "_near", "_before", "_every")
+        rows.join(edges, cut, "left")
+        .withColumns({name: F.expr(pick(i)) for i, name in zip(steps, names)})
+        .drop("_block", "_item", "_before", *[f"_lag{i}" for i in steps])
     )
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, **kw) -> DataFrame:
     """``lag(value)`` in the group."""
-    out = neighbours(df, keys, order, value, "_one", 1, following=False, **kw)
-    return out.withColumn(name, F.get("_one", F.lit(0))).drop("_one")
+    return lags(df, keys, order, value, [name], **kw)
 
 
 def following(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, **kw) -> DataFrame:
     """``lead(value)`` in the group."""
-    out = neighbours(df, keys, order, value, "_one", 1, following=True, **kw)
-    return out.withColumn(name, F.get("_one", F.lit(0))).drop("_one")
+    return lags(df, keys, order, value, [name], following=True, **kw)
 
 
 def running_totals(

@@ -78,16 +78,16 @@ def test_position_and_running_sum(df, block, descending):
 @pytest.mark.parametrize("block", [1, 3, 7, 10_000])
 @pytest.mark.parametrize("count", [1, 2, 3])
 @pytest.mark.parametrize("following", [False, True])
-def test_neighbours(df, block, count, following):
-    out = ordered.neighbours(
-        df, ["key"], "ord", F.col("value"), "near", count, following, block_rows=block
-    )
-    got = {(r.key, r.ord): r.near for r in out.collect()}
+def test_lags(df, block, count, following):
+    names = [f"near{i}" for i in range(count)]
+    out = ordered.lags(df, ["key"], "ord", F.col("value"), names, following, block_rows=block)
+    got = {(r.key, r.ord): [r[n] for n in names] for r in out.collect()}
     want = {}
     for key, rows in by_key().items():
         rows = list(reversed(rows)) if following else rows
         for i, row in enumerate(rows):
-            want[key, row[1]] = [r[3] for r in rows[max(0, i - count) : i]]
+            before = [r[3] for r in reversed(rows[max(0, i - count) : i])]
+            want[key, row[1]] = before + [None] * (count - len(before))
     assert got == want
 
 
