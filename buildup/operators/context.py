@@ -57,12 +57,14 @@ def rates(keyed: DataFrame, training: Column, alpha: float = ALPHA) -> DataFrame
 
     ``keyed`` has ``k3``, ``k2``, ``k1`` and a 0/1 ``label``. The longest
     context seen in training decides; its rate is smoothed by the overall rate
-    with ``alpha`` pseudo-rows.
+    with ``alpha`` pseudo-rows. The counts per context are staged: every level
+    is a sum over them.
     """
     contexts = keyed.groupBy("k3", "k2", "k1").agg(
         F.count_if(training).alias("n3"),
         F.sum(F.when(training, F.col("label")).otherwise(0)).alias("g3"),
     )
+    contexts = stage(contexts, "context-counts")
     totals = lambda by, i: contexts.groupBy(*by).agg(
         F.sum("n3").alias(f"n{i}"), F.sum("g3").alias(f"g{i}")
     )
@@ -98,12 +100,17 @@ def score_possessions(
 
 def score_actions(
     moves: DataFrame,
+    labels: DataFrame,
     training: Column,
     scorer: Callable[[DataFrame], DataFrame] | None = None,
     block_rows: int = ordered.BLOCK_ROWS,
 ) -> DataFrame:
-    """``score`` of every event from its sliding context; ``moves`` has the possession's ``label``."""
-    keyed = sliding_keys(moves, block_rows)
+    """``score`` of every event from its sliding context.
+
+    ``labels`` has one row per possession with its 0/1 ``label`` and whatever
+    ``training`` looks at.
+    """
+    keyed = sliding_keys(moves, block_rows).join(labels, KEYS)
     if scorer is not None:
         return scorer(keyed)
     keyed = stage(keyed, "contexts")  # read by the table of contexts and by the final join

@@ -192,8 +192,7 @@ def scored_actions(spark, sf_dir):
     labels = seq.possession_goals(seq.truncate_last(events)).select(
         *KEYS, F.when(F.col("goal") == 1, 1).otherwise(0).alias("label")
     )
-    rows = splits.with_split(events.join(labels, KEYS))
-    return context.score_actions(rows, F.col("split") == "train")
+    return context.score_actions(events, splits.with_split(labels), F.col("split") == "train")
 
 
 _CONTRIB = f"""{THREAT}, ps AS (
