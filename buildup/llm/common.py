@@ -46,15 +46,3 @@ def text_hash(text: Column) -> Column:
 def whole_rows(df: DataFrame) -> Column:
     """All columns of a row as one struct, so that helper columns cannot clash with them."""
     return F.struct(*[df[f"`{c}`"] for c in df.columns])
-
-
-class Cache(dict):
-    """Word cache of one worker: cleared when full, so its memory is bounded."""
-
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit = limit
-
-    def make_room(self, coming: int) -> None:
-        if len(self) + coming > self.limit:
-            self.clear()
