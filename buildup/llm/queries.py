@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildup.llm import bpe, langid, mixing, simhash
+from buildup.llm import bpe, langid, mixing, simhash, warc
 from buildup.llm.common import table
+from buildup.session import new_table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -94,3 +95,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken")
     )
+
+
+@query("op8_warc")
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_table_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path, min_bytes=0)
+    found = warc.read(spark, path, payloads=False)
+    return found.select(
+        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
