@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildup.llm import bpe, langid, mixing, simhash, warc
+from buildup.llm import bpe, langid, line_chunks, mixing, secret_scan, simhash, warc
 from buildup.llm.common import table
 from buildup.session import new_table_path
 
@@ -105,3 +105,29 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query("op9_line_dedup")
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("n_chars").alias("n_chars_before"))
+    found = line_chunks.dedup_lines(docs)
+    return found.select(
+        "doc_id",
+        "n_chars_before",
+        F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+    )
+
+
+@query("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.find_secrets(docs, secret_scan.train(docs))
+    return found.select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
+        "spans",
+    )
