@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildup.llm import bpe, langid, line_chunks, mixing, secret_scan, simhash, warc
+from buildup.llm import bpe, langid, line_chunks, mixing, secret_scan, simhash, sketch, warc
 from buildup.llm.common import table
 from buildup.session import new_table_path
 
@@ -131,3 +131,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
         "spans",
     )
+
+
+@query("op5_document_fingerprints")
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.compare_edits(table(spark, sf_dir, "documents"))

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from buildup.llm.common import prepare
 
 KINDS = ("assign", "access", "hex", "random")
-LEAST = 0.5  # nats a character
+LEAST = 1.25  # nats a character
+DISTINCT = 8  # a run of fewer different characters is a rule or a filler, not random
 RUN = 16  # shortest run that the models score
 ORDINARY = 6  # shortest run that is an identifier sample
 
@@ -109,6 +110,8 @@ def random_runs(raw: bytes, base, ratio: np.ndarray, least: float) -> list[tuple
     found = []
     for a, b in _apart([m.span() for m in _RUNS.finditer(raw)], base):
         codes = _CODE[np.frombuffer(raw[a:b], np.uint8)]
+        if len(set(raw[a:b])) < DISTINCT:
+            continue
         if ratio[np.concatenate(([SIZE], codes[:-1])), codes].mean() >= least:
             found.append((a, b))
     return found
