@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildup.llm import bpe, langid, line_chunks, mixing, secret_scan, simhash, sketch, warc
+from buildup.llm import ann, bpe, langid, line_chunks, mixing, secret_scan, simhash, sketch, warc
 from buildup.llm.common import table
 from buildup.session import new_table_path
 
@@ -136,3 +136,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_document_fingerprints")
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.compare_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op10_nearest_neighbours")
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
