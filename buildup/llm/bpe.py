@@ -250,14 +250,19 @@ class Tokenizer:
         self.path = path
         self.shared = prepare(spark).sparkContext.broadcast(load(path))
 
-    def encode(self, text: Column) -> Column:
-        """Packed ids (little-endian unsigned 32-bit) of a text column; null gives no ids."""
+    def encode(self, text: Column, width: int = 4) -> Column:
+        """Packed ids (little-endian unsigned, ``width`` bytes) of a text column; null gives no ids."""
         shared, path = self.shared, self.path
+        if shared.value.size > 256**width:
+            raise ValueError(f"{shared.value.size} ids do not fit {width} bytes")
 
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             encoder = _encoder(shared, path)
             for batch in batches:
-                yield pd.Series(encoder.encode(batch.tolist()), dtype=object)
+                ids = encoder.encode(batch.tolist())
+                if width != 4:
+                    ids = [np.frombuffer(own, "<u4").astype(f"<u{width}").tobytes() for own in ids]
+                yield pd.Series(ids, dtype=object)
 
         return F.pandas_udf(run, T.BinaryType())(text)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildup.llm import ann, bpe, langid, line_chunks, mixing, secret_scan, simhash, sketch, warc
+from buildup.llm import ann, bpe, langid, line_chunks, mixing, packing, secret_scan, simhash, sketch, warc
 from buildup.llm.common import table
 from buildup.session import new_table_path
 
@@ -141,3 +141,24 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_nearest_neighbours")
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op3_token_packing")
+def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tokenizer = bpe.Tokenizer(spark, vocabulary("word_bpe_49k.json"))
+    ids = docs.select("doc_id", tokenizer.encode(F.col("text"), width=2).alias("ids"))
+    # a 2-byte id stands for about two bytes of text or more
+    size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    path = new_table_path(spark, "packed")
+    packing.write(packing.pack(ids, length=2048, width=2, total_bytes=size), path)
+    return packing.read(spark, path).select(
+        "shard",
+        "row",
+        "n_tokens",
+        "doc_ids",
+        "starts",
+        "cu_seqlens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("positions", 256).alias("positions_sha256"),
+    )
