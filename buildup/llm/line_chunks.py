@@ -50,10 +50,14 @@ def chunks(text: str | None) -> list[tuple[int, int, int]]:
 _CHUNK = T.StructType().add("start", "integer").add("lines", "integer").add("h", "long")
 
 
-@F.pandas_udf(T.ArrayType(_CHUNK))
-def _chunks(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in text:
-        yield pd.Series([[{"start": s, "lines": n, "h": h} for s, n, h in chunks(t)] for t in batch])
+def _chunks(hash_bits: int):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(
+                [[{"start": s, "lines": n, "h": h >> (64 - hash_bits)} for s, n, h in chunks(t)] for t in batch]
+            )
+
+    return F.pandas_udf(run, T.ArrayType(_CHUNK))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -94,11 +98,13 @@ def _key(doc_id, text) -> list:
     ]
 
 
-def repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(no_id, id, text_hash, start, lines)`` of every chunk that is to go."""
+def repeated(
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", hash_bits: int = 64
+) -> DataFrame:
+    """``(no_id, id, text_hash, start, lines)`` of every chunk that is to go; any ``hash_bits`` give the same."""
     prepare(df.sparkSession)
     rows = df.select(*_key(F.col(f"`{id_col}`"), F.col(f"`{text}`")), F.col(f"`{text}`").alias("text"))
-    found = rows.where("instr(text, '\\n') > 0").select(*_KEY, F.explode(_chunks("text")).alias("c"))
+    found = rows.where("instr(text, '\\n') > 0").select(*_KEY, F.explode(_chunks(hash_bits)("text")).alias("c"))
     found = stage(found.select(*_KEY, "c.start", "c.lines", "c.h"), "chunks")
     place = F.struct(*_KEY, "start")
     groups = found.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
@@ -107,8 +113,9 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     )
     hits = stage(hits, "hits")
     listed = hits.groupBy(*_KEY).agg(F.sort_array(F.collect_set(F.struct("start", "lines", "h"))).alias("cuts"))
+    # the lists grow with the documents: the same join at every size
     passages = (
-        rows.join(listed, _KEY)
+        rows.join(listed.hint("merge"), _KEY)
         .withColumn("texts", _passages("text", "cuts.start", "cuts.lines"))
         .select(*_KEY, F.explode(F.arrays_zip("cuts", "texts")).alias("z"))
         .select(*_KEY, "z.cuts.start", "z.cuts.lines", "z.cuts.h", F.col("z.texts").alias("passage"))
@@ -126,13 +133,15 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     return gone.unionByName(again.select(*_KEY, "start", "lines")).distinct()
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", hash_bits: int = 64
+) -> DataFrame:
     """``df`` with repeated chunks cut out of ``text``, and ``n_chars`` kept true if it is a column."""
-    cuts = repeated(df, id_col, text).groupBy(*_KEY).agg(
+    cuts = repeated(df, id_col, text, hash_bits).groupBy(*_KEY).agg(
         F.sort_array(F.collect_set(F.struct("start", "lines"))).alias("cuts")
     )
     rows = df.select(whole_rows(df).alias("_row"))
-    rows = rows.select("_row", *_key(rows["_row"][id_col], rows["_row"][text])).join(cuts, _KEY, "left")
+    rows = rows.select("_row", *_key(rows["_row"][id_col], rows["_row"][text])).join(cuts.hint("merge"), _KEY, "left")
     rows = rows.withColumn("_text", _without(F.col("_row")[text], "cuts.start", "cuts.lines"))
     out = []
     for name in df.columns:
