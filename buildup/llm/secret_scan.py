@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from buildup.llm.common import prepare
 
 KINDS = ("assign", "access", "hex", "random")
-LEAST = 1.25  # nats a character
+LEAST = 2.0  # nats a character
 DISTINCT = 8  # a run of fewer different characters is a rule or a filler, not random
+BACKOFF = 100.0  # weight of what is fallen back on, in samples
 RUN = 16  # shortest run that the models score
 ORDINARY = 6  # shortest run that is an identifier sample
 
@@ -83,13 +84,24 @@ def pair_counts(texts) -> np.ndarray:
     return counts
 
 
+def pair_ratio(counts: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio, random over ordinary, of each character after each other.
+
+    After characters without samples, ordinary text falls back on its single characters, and
+    random strings on all characters alike.
+    """
+    ordinary, random = counts.reshape(2, SIZE + 1, SIZE + 1)[:, :, :SIZE].astype(float)
+    single = ordinary.sum(axis=0) + 0.5
+    prior = BACKOFF * np.stack([single / single.sum(), np.full(SIZE, 1 / SIZE)])
+    follow = lambda pairs, prior: np.log((pairs + prior) / (pairs.sum(axis=1, keepdims=True) + BACKOFF))
+    return follow(random, prior[1]) - follow(ordinary, prior[0])
+
+
 class SecretModel:
     """Log-likelihood ratio of each character pair; ``scan`` gives a struct column of counts and spans."""
 
     def __init__(self, spark: SparkSession, counts: np.ndarray):
-        pairs = counts.reshape(2, SIZE + 1, SIZE + 1)[:, :, :SIZE] + 0.5
-        logs = np.log(pairs / pairs.sum(axis=2, keepdims=True))
-        self.ratio = logs[1] - logs[0]
+        self.ratio = pair_ratio(counts)
         self.shared = spark.sparkContext.broadcast(self.ratio)  # fixed size
 
     def scan(self, text: Column, least: float = LEAST) -> Column:
