@@ -11,7 +11,8 @@ def edge_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
 
     The quotient only guesses the bin. The guess is corrected against the
     edges, so a value such as 0.3, whose edge is 0.30000000000000004, lands in
-    the bin below that edge. An empty range puts every value in bin 0.
+    the bin below that edge. An empty range puts every value in bin 0; a null
+    value has no bin.
     """
     step = (high - low) / F.lit(float(bins))
     top = F.lit(bins - 1)
@@ -20,7 +21,7 @@ def edge_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
     below = (guess > 0) & (value < low + guess * step)
     above = (guess < top) & (value >= low + (guess + 1) * step)
     fixed = F.when(below, guess - 1).when(above, guess + 1).otherwise(guess)
-    return F.when(high == low, 0).otherwise(fixed).cast("bigint")
+    return F.when(value.isNotNull(), F.when(high == low, 0).otherwise(fixed)).cast("bigint")
 
 
 def unit_bin(value: Column, bins: int) -> Column:

@@ -26,7 +26,8 @@ TOLERANCE = 1e-12
 
 
 def clipped(p: Column) -> Column:
-    return F.greatest(F.lit(EPSILON), F.least(F.lit(1 - EPSILON), p.cast("double")))
+    """``p`` away from 0 and 1; null stays null, which ``greatest`` alone would pass over."""
+    return F.when(p.isNotNull(), F.greatest(F.lit(EPSILON), F.least(F.lit(1 - EPSILON), p.cast("double"))))
 
 
 def logit(p: Column) -> Column:
@@ -86,6 +87,8 @@ def fit_curve(weights: DataFrame, method: str) -> LogisticCurve:
         floor = Matrices.dense(1, len(names), [0.0] * len(names))
         estimator = estimator.setLowerBoundsOnCoefficients(floor)
     model = estimator.fit(table.select("features", "label", "weight"))
+    if model.summary.totalIterations >= MAX_ITERATIONS:
+        raise RuntimeError(f"the {method} fit did not converge in {MAX_ITERATIONS} iterations")
     return LogisticCurve(method, tuple(float(c) for c in model.coefficients), float(model.intercept))
 
 
@@ -111,11 +114,16 @@ def calibrate(fit_on: DataFrame, apply_to: DataFrame, method: str, name: str = "
 
 
 def by_method(fit_on: DataFrame, apply_to: DataFrame, methods: Sequence[str]) -> DataFrame:
-    """Long table (``method``, ``score``, ``label``) of the raw and every calibrated score."""
+    """Long table (``method``, ``score``, ``label``, ``weight``) of the raw and every calibrated score.
+
+    A calibrated score depends on the score alone, so the curves are applied to distinct scores.
+    """
     weights = weighted(fit_on)
-    wide = apply_to.select("label", F.col("score").cast("double").alias("score"))
+    wide = stage(metrics.reduce(apply_to), "apply")
     for method in methods:
         wide = _apply(weights, wide, method, method)
     entries = [F.struct(F.lit("raw").alias("method"), "score")]
     entries += [F.struct(F.lit(m).alias("method"), F.col(m).alias("score")) for m in methods]
-    return wide.select("label", F.explode(F.array(*entries)).alias("e")).select("e.method", "e.score", "label")
+    return wide.select("label", "weight", F.explode(F.array(*entries)).alias("e")).select(
+        "e.method", "e.score", "label", "weight"
+    )

@@ -94,8 +94,9 @@ def score_possessions(
     labelled = sequences.withColumn("label", F.when(F.col("goal") == 1, 1).otherwise(0))
     if scorer is not None:
         return scorer(labelled)
-    keyed = start_keys(labelled)
-    return keyed.drop("events", "k2", "k1").join(rates(keyed, training), "k3")
+    # the sequences are built once: the table of contexts and the final join read the keyed rows
+    keyed = stage(start_keys(labelled).drop("events"), "keyed")
+    return keyed.drop("k2", "k1").join(rates(keyed, training), "k3")
 
 
 def score_actions(

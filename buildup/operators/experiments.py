@@ -15,11 +15,14 @@ def best_per_phase(runs: DataFrame, metric: str = "roc_auc") -> DataFrame:
 
 
 def delta_to(runs: DataFrame, baseline_run: str, metrics: Sequence[str]) -> DataFrame:
-    """``<m>_delta``: each run's metric minus the one of ``baseline_run``."""
-    base = runs.where(F.col("run_name") == baseline_run).select(
-        *[F.col(m).alias(f"_b_{m}") for m in metrics]
-    )
-    out = runs.crossJoin(F.broadcast(base.limit(1)))
+    """``<m>_delta``: each run's metric minus the one of ``baseline_run``.
+
+    A baseline that occurs several times (once per phase) counts with its highest metrics; without
+    a baseline every run stays, with null deltas.
+    """
+    # an aggregate without groups is always one row
+    base = runs.where(F.col("run_name") == baseline_run).agg(*[F.max(m).alias(f"_b_{m}") for m in metrics])
+    out = runs.crossJoin(F.broadcast(base))
     return out.withColumns({f"{m}_delta": F.col(m) - F.col(f"_b_{m}") for m in metrics}).drop(
         *[f"_b_{m}" for m in metrics]
     )

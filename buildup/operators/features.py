@@ -8,8 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_CATEGORIES = 1000
-
+from buildup.session import stage
 
 def select_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.select(*features)
@@ -33,22 +32,25 @@ def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.drop(*moments.columns)
 
 
-def categories(df: DataFrame, column: str, limit: int = MAX_CATEGORIES) -> list:
-    """Sorted distinct values; more than ``limit`` of them is an error, not a cut."""
-    rows = df.where(F.col(column).isNotNull()).select(column).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} categories")
-    return sorted(r[0] for r in rows)
+def dummies(df: DataFrame, column: str, values: Sequence, drop: str | None = None) -> DataFrame:
+    """One 0/1 column for each of ``values`` in place of the source column; other and null rows are all zeros."""
+    flags = {str(v): F.when(F.col(column).eqNullSafe(v), 1).otherwise(0) for v in values if v != drop}
+    return df.withColumns(flags).drop(column)
+
 
+def categories(df: DataFrame, column: str) -> DataFrame:
+    """``(column, category_id)`` of every distinct value, for a vocabulary of any size.
 
-def dummies(df: DataFrame, column: str, drop: str | None = None) -> DataFrame:
-    """One 0/1 column per category in place of the source column; null rows are all zeros."""
-    flags = {
-        str(v): F.when(F.col(column).eqNullSafe(v), 1).otherwise(0)
-        for v in categories(df, column)
-        if v != drop
-    }
-    return df.withColumns(flags).drop(column)
+    Ids follow the order of the values, with gaps. The table is written, so that all
+    who read it see the same ids.
+    """
+    values = df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column)
+    return stage(values.withColumn("category_id", F.monotonically_increasing_id()), "categories")
+
+
+def sparse_dummies(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """Dummy coding in long form: ``(keys, category_id)`` of the one category each row is in; null rows have none."""
+    return df.select(*keys, column).join(categories(df, column), column).select(*keys, "category_id")
 
 
 def vif(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -77,9 +79,9 @@ def vif(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def map_names(df: DataFrame, column: str, new_name: str, mapping: DataFrame) -> DataFrame:
     """Rename ``column`` to ``new_name`` and look its short form up in (``full_name``, ``short_name``).
 
-    Values without an entry become null. The mapping is joined on its distinct
-    names; Catalyst broadcasts it when its measured size allows.
+    Values without an entry become null. A name that the mapping has twice counts with its first
+    short form, so rows are never multiplied; Catalyst broadcasts the mapping when its measured size allows.
     """
     renamed = df.withColumnRenamed(column, new_name)
-    names = mapping.select(F.col("full_name").alias(new_name), F.col("short_name").alias(column))
+    names = mapping.groupBy(F.col("full_name").alias(new_name)).agg(F.min("short_name").alias(column))
     return renamed.join(names, new_name, "left")

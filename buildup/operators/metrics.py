@@ -1,5 +1,7 @@
 """Quality of a scored table (``score``, ``label``), for one or many groups.
 
+Rows without a score or a label take no part in any metric, nor in its ``n``.
+
 Rank metrics first reduce the rows to one per distinct score; cumulative
 counts then run in sorted buckets, never in one global sort task.
 """
@@ -33,20 +35,25 @@ def _mean(value: Column, weight: str | None) -> Column:
     return F.try_divide(F.sum(value * F.col(weight)), known)
 
 
-def reduce(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def known(scored: DataFrame, score: str = "score") -> DataFrame:
+    """The rows that have a score and a label."""
+    return scored.where(F.col(score).isNotNull() & F.col("label").isNotNull())
+
+
+def reduce(scored: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """One row per distinct (``by``, ``score``, ``label``), with its number of rows as ``weight``.
 
     Every function below takes such a table with ``weight="weight"`` and gives
     the same result as on the rows themselves.
     """
-    return scored.groupBy(*by, F.col("score").cast("double").alias("score"), "label").agg(
-        F.count("*").alias("weight")
+    return known(scored).groupBy(*by, F.col("score").cast("double").alias("score"), "label").agg(
+        F.sum(_rows(weight)).cast("bigint").alias("weight")
     )
 
 
 def distinct_scores(scored: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Rows and positives per distinct score."""
-    return scored.groupBy(*by, F.col("score").cast("double").alias("score")).agg(
+    return known(scored).groupBy(*by, F.col("score").cast("double").alias("score")).agg(
         F.sum(_rows(weight)).cast("bigint").alias("n"),
         F.sum(F.col("label") * _rows(weight)).cast("bigint").alias("pos"),
     )
@@ -94,7 +101,9 @@ def brier_terms(score: str = "score") -> Column:
 
 def log_loss_terms(score: str = "score") -> Column:
     p = F.greatest(F.lit(EPSILON), F.least(F.lit(1 - EPSILON), F.col(score)))
-    return F.when(F.col("label") == 1, -F.ln(p)).otherwise(-F.ln(1 - p))
+    loss = F.when(F.col("label") == 1, -F.ln(p)).otherwise(-F.ln(1 - p))
+    # greatest and least pass over nulls
+    return F.when(F.col(score).isNotNull() & F.col("label").isNotNull(), loss)
 
 
 def summary(
@@ -104,9 +113,10 @@ def summary(
     p, y = F.col(score), F.col("label")
     rows = _rows(weight)
     return (
-        scored.groupBy(*by)
+        known(scored, score)
+        .groupBy(*by)
         .agg(
-            F.sum(rows).alias("n"),
+            F.sum(rows).cast("bigint").alias("n"),
             _mean(brier_terms(score), weight).alias("brier_score"),
             _mean(log_loss_terms(score), weight).alias("log_loss"),
             _mean(F.when(y == 1, p), weight).alias("mean_goals"),
@@ -123,14 +133,14 @@ def relative_drop(before: Column, after: Column) -> Column:
 
 
 def score_ranges(scored: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
-    return scored.groupBy(*by).agg(
+    return known(scored).groupBy(*by).agg(
         F.min("score").alias("min"), F.max("score").alias("max"), _mean(F.col("score"), weight).alias("mean")
     )
 
 
 def _reliability(binned: DataFrame, by: Sequence[str], weight: str | None) -> DataFrame:
     return binned.groupBy(*by, "bin").agg(
-        F.sum(_rows(weight)).alias("n"),
+        F.sum(_rows(weight)).cast("bigint").alias("n"),
         _mean(F.col("score"), weight).alias("confidence"),
         _mean(F.col("label"), weight).alias("accuracy"),
     )
@@ -140,7 +150,7 @@ def reliability(
     scored: DataFrame, by: Sequence[str] = (), bins: int = BINS, weight: str | None = None
 ) -> DataFrame:
     """Mean score, positive rate and rows per fixed bin of [0, 1)."""
-    binned = scored.withColumn("bin", unit_bin(F.col("score"), bins)).where("bin is not null")
+    binned = known(scored).withColumn("bin", unit_bin(F.col("score"), bins)).where("bin is not null")
     return _reliability(binned, by, weight)
 
 
@@ -148,7 +158,7 @@ def reliability_range(
     scored: DataFrame, by: Sequence[str] = (), bins: int = BINS, weight: str | None = None
 ) -> DataFrame:
     """Like ``reliability`` over equal bins between the smallest and largest score."""
-    by = list(by)
+    by, scored = list(by), known(scored)
     limits = scored.groupBy(*by).agg(F.min("score").alias("_low"), F.max("score").alias("_high"))
     joined = scored.join(limits, by) if by else scored.crossJoin(F.broadcast(limits))
     binned = joined.withColumn("bin", edge_bin(F.col("score"), F.col("_low"), F.col("_high"), bins))
@@ -159,19 +169,21 @@ def ece(
     scored: DataFrame, by: Sequence[str] = (), bins: int = BINS, weight: str | None = None
 ) -> DataFrame:
     """Expected calibration error over fixed bins; rows outside the bins only count in the total."""
-    with_bin = scored.withColumn("bin", unit_bin(F.col("score"), bins))
+    with_bin = known(scored).withColumn("bin", unit_bin(F.col("score"), bins))
     table = _reliability(with_bin, by, weight)  # the null bin stays for the total
     gap = F.when(F.col("bin").isNotNull(), F.abs(F.col("confidence") - F.col("accuracy")) * F.col("n"))
     return table.groupBy(*by).agg((F.coalesce(F.sum(gap), F.lit(0.0)) / F.sum("n")).alias("ece"))
 
 
-def record(scored: DataFrame, by: Sequence[str] = (), digits: int = 4) -> DataFrame:
+def record(
+    scored: DataFrame, by: Sequence[str] = (), digits: int = 4, weight: str | None = None
+) -> DataFrame:
     """One row per group: AUC, Brier, log loss, ECE, class means, separation and score/label ratio.
 
     The rows are read once; all metrics come from the staged distinct scores.
     """
     by = list(by)
-    table = stage(reduce(scored, by), "reduced")
+    table = stage(reduce(scored, by, weight), "reduced")
     out = summary(table, by, weight="weight")
     for part in (roc_auc(table, by, "weight"), ece(table, by, weight="weight")):
         out = out.join(part, by) if by else out.crossJoin(F.broadcast(part))

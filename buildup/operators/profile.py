@@ -162,18 +162,24 @@ def distance_stats(distances: DataFrame) -> DataFrame:
 
 
 def distance_histogram(
-    distances: DataFrame, event_type: str, bins: int = 80, clip: float | None = None
+    distances: DataFrame, clips: dict[str, float | None], bins: int = 80
 ) -> DataFrame:
-    """Percentage of all events of a type per bin; values above ``clip`` are counted but not binned."""
-    rows = distances.where(F.col("type") == event_type)
-    shown = rows.where(F.col("distance") <= clip) if clip is not None else rows
-    total = F.count("*").alias("_total")
-    inside = F.col("distance") if clip is None else F.when(F.col("distance") <= clip, F.col("distance"))
-    limits = rows.agg(total, F.min(inside).alias("_low"), F.max(inside).alias("_high"))
-    binned = shown.crossJoin(F.broadcast(limits)).withColumn(
+    """Percentage of all events of a type per bin, for the types in ``clips``.
+
+    Values above a type's clip are counted but not binned.
+    """
+    rows = distances.where(F.col("type").isin(list(clips)))
+    clip = F.create_map(*[F.lit(x) for k, v in clips.items() for x in (k, float("inf") if v is None else float(v))])
+    inside = F.col("distance") <= clip[F.col("type")]
+    shown = F.when(inside, F.col("distance"))
+    # one row a type
+    limits = rows.groupBy("type").agg(
+        F.count("*").alias("_total"), F.min(shown).alias("_low"), F.max(shown).alias("_high")
+    )
+    binned = rows.where(inside).join(F.broadcast(limits), "type").withColumn(
         "bin", edge_bin(F.col("distance"), F.col("_low"), F.col("_high"), bins)
     )
-    return binned.groupBy("bin").agg(
+    return binned.groupBy("type", "bin").agg(
         F.count("*").alias("n"),
         (F.count("*") * F.lit(100.0) / F.max("_total")).alias("pct"),
     )

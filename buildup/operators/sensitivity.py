@@ -46,7 +46,7 @@ def eligible_start(sequences: DataFrame, size: int = 3) -> DataFrame:
 
 
 def append_event(rows: DataFrame) -> DataFrame:
-    """Add the synthetic event to the normalised ``events`` of eligible rows joined with the grid.
+    """Add the synthetic event to eligible rows joined with the grid, and to their ``events`` if they are there.
 
     It starts where the last event ended and moves straight forward; the pitch
     ends at 1.
@@ -59,11 +59,17 @@ def append_event(rows: DataFrame) -> DataFrame:
         F.least(start_x + F.col("distance_sb") / F.lit(float(pitch.LENGTH)), F.lit(1.0)).alias("end_x"),
         start_y.alias("end_y"),
     )
-    return rows.withColumn("added", event).withColumn("events", F.concat("events", F.array(event)))
+    rows = rows.withColumn("added", event).withColumn("size", F.col("size") + 1)
+    return rows.withColumn("events", F.concat("events", F.array(event))) if "events" in rows.columns else rows
 
 
-def counterfactuals(eligible_rows: DataFrame) -> DataFrame:
-    """Every eligible sequence with every synthetic event."""
+def counterfactuals(eligible_rows: DataFrame, with_events: bool = False) -> DataFrame:
+    """Every eligible sequence with every synthetic event: ``added`` and the new ``size``.
+
+    The grid multiplies the last point of a sequence; its events are copied only ``with_events``.
+    """
+    eligible_rows = eligible_rows.withColumn("size", F.size("events"))
+    eligible_rows = eligible_rows if with_events else eligible_rows.drop("events")
     return append_event(eligible_rows.crossJoin(F.broadcast(grid(eligible_rows.sparkSession))))
 
 

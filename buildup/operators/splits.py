@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from buildup.functions import labels
+from buildup.operators import events as ev
 from buildup.operators import sequences as seq
+from buildup.session import stage
 
 KEYS = ["match_id", "possession"]
 SEED = 42
@@ -47,6 +49,23 @@ def balance(train: DataFrame, share: float = GOAL_SHARE, seed: int = SEED) -> Da
     return train.crossJoin(F.broadcast(fraction)).where(kept).drop("_fraction")
 
 
+def variant_events(events: DataFrame, variant: str) -> DataFrame:
+    """Movement events of a dataset variant: ``t<threshold>``, ``adaptive``, ``nofilter`` or ``passonly``."""
+    if variant == "passonly":
+        return ev.movement_events(events, types=("Pass", "Shot"))
+    if variant in ("adaptive", "nofilter"):
+        return ev.movement_events(events, mode=variant)
+    return ev.movement_events(events, mode="threshold", threshold=float(variant[1:]))
+
+
+def dataset(rows: DataFrame, n: int, variant: str, share: float = GOAL_SHARE, seed: int = SEED) -> DataFrame:
+    """Normalised sequences with their split: training balanced, validation and test as they are."""
+    mode = "adaptive" if variant == "adaptive" else "nofilter"
+    table = stage(with_split(seq.normalize(seq.from_events(rows, n, mode)), seed=seed), "sequences")
+    train = balance(table.where("split = 'train'"), share, seed)
+    return train.unionByName(table.where("split <> 'train'"))
+
+
 def fixed_sample(df: DataFrame, n: int, seed: int = SEED) -> DataFrame:
     """``n`` possessions drawn without replacement."""
     return df.orderBy(key_hash(2, seed), *KEYS).limit(n)

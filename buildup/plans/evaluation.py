@@ -11,8 +11,9 @@ from buildup.operators import sequences as seq
 from buildup.plans import views
 from buildup.plans.exploration import lengths, _LENGTHS
 from buildup.plans.movement import all_events, big, moves
-from buildup.plans.registry import query
-from buildup.sources import standin
+from buildup.plans.registry import SQL, query
+from buildup.session import new_table_path
+from buildup.sources import sinks, standin
 
 KEYS = seq.KEYS
 
@@ -110,9 +111,9 @@ def split_goal_balance(spark, sf_dir):
 
 
 @query("fixed_sample", f"""{views.SEQ}
-SELECT match_id, possession, goal FROM poss ORDER BY {views.digits(2)}, match_id, possession LIMIT 100""")
+SELECT match_id, possession, goal FROM poss ORDER BY {views.digits(2)}, match_id, possession LIMIT 1000""")
 def fixed_sample(spark, sf_dir):
-    return splits.fixed_sample(goals(spark, sf_dir), 100).select(*KEYS, *big("goal"))
+    return splits.fixed_sample(goals(spark, sf_dir), 1000).select(*KEYS, *big("goal"))
 
 
 THRESHOLDS = [1, 2, 3, 5, 8]
@@ -147,22 +148,27 @@ def sequence_variants(spark, sf_dir):
 
 
 @query("train_eval_contexts", f"""{VARIANTS}
-SELECT a.goal AS goal_short, b.goal AS goal_full, count(*) AS n,
+SELECT a.context, a.goal AS goal_short, b.goal AS goal_full, count(*) AS n,
   CAST(sum(b.sequence_length - a.sequence_length) AS BIGINT) AS extra_events
 FROM vposs a JOIN vposs b USING (threshold, match_id, possession)
-WHERE threshold = 2 AND a.context = 5 AND b.context = 14 GROUP BY 1, 2""")
+WHERE threshold = 2 AND b.context = 14 GROUP BY 1, 2, 3""")
 def train_eval_contexts(spark, sf_dir):
-    rows = splits.variant_possessions(moves(spark, sf_dir), [2], [5, 14])
-    both = rows.groupBy("threshold", *KEYS).agg(
-        *[
-            F.max(F.when(F.col("context") == c, F.col(v))).cast("bigint").alias(f"{v}_{c}")
-            for c in (5, 14)
-            for v in ("goal", "sequence_length")
-        ]
+    """Each possession at every context it could be trained on, against the context it is evaluated on."""
+    rows = splits.variant_possessions(moves(spark, sf_dir), [2], CONTEXTS)
+    short = F.struct("context", "goal", "sequence_length")
+    both = rows.groupBy(*KEYS).agg(
+        F.max(F.when(F.col("context") == 14, F.col("goal"))).alias("goal_full"),
+        F.max(F.when(F.col("context") == 14, F.col("sequence_length"))).alias("length_full"),
+        F.collect_list(short).alias("short"),  # one entry a context
     )
-    return both.groupBy(F.col("goal_5").alias("goal_short"), F.col("goal_14").alias("goal_full")).agg(
+    pairs = both.select("goal_full", "length_full", F.explode("short").alias("s"))
+    return pairs.groupBy(
+        F.col("s.context").cast("bigint").alias("context"),
+        F.col("s.goal").cast("bigint").alias("goal_short"),
+        F.col("goal_full").cast("bigint").alias("goal_full"),
+    ).agg(
         F.count("*").alias("n"),
-        F.sum(F.col("sequence_length_14") - F.col("sequence_length_5")).alias("extra_events"),
+        F.sum(F.col("length_full") - F.col("s.sequence_length")).cast("bigint").alias("extra_events"),
     )
 
 
@@ -232,6 +238,11 @@ def xg_ratio(spark, sf_dir):
     return rounded(metrics.summary(scored(spark, sf_dir)).select("xg_ratio"), "xg_ratio")
 
 
+def with_gaps(spark, sf_dir):
+    """The scored table with missing scores."""
+    return scored(spark, sf_dir).withColumn("score", F.expr("if(event_id % 17 = 0, null, score)"))
+
+
 BINS_SQL = """bins AS (SELECT range AS bin, range * 0.1::DOUBLE AS low,
   CASE WHEN range = 9 THEN 1.0::DOUBLE ELSE (range + 1) * 0.1::DOUBLE END AS high FROM range(10))"""
 
@@ -258,3 +269,90 @@ SELECT bin, count(*) AS n, round(avg(score), 6) AS confidence, round(avg(label),
 FROM scored JOIN edges ON score >= low AND score < high GROUP BY bin""")
 def reliability_range(spark, sf_dir):
     return rounded(metrics.reliability_range(scored(spark, sf_dir)), "confidence", "accuracy")
+
+
+_GAPS = views.SCORED.replace("FROM events)", "FROM events WHERE event_id % 17 <> 0)")
+
+
+@query("log_loss_gaps", f"""{_GAPS} SELECT count(*) AS n, round(avg((score - label) * (score - label)), 6) AS brier_score,
+  round(avg(CASE WHEN label = 1 THEN -ln({_P}) ELSE -ln(1 - {_P}) END), 6) AS log_loss,
+  round(sum(score) / sum(label), 6) AS xg_ratio FROM scored""")
+def log_loss_gaps(spark, sf_dir):
+    rows = metrics.summary(with_gaps(spark, sf_dir))
+    return rounded(rows.select("n", "brier_score", "log_loss", "xg_ratio"), "brier_score", "log_loss", "xg_ratio")
+
+
+@query("ece_gaps", f"""{_GAPS}, {BINS_SQL}, r AS (
+  SELECT bin, count(*) AS n, avg(score) AS c, avg(label) AS a
+  FROM scored JOIN bins ON score >= low AND score < high GROUP BY bin)
+SELECT round(sum(abs(c - a) * n) / (SELECT count(*) FROM scored), 6) AS ece FROM r""")
+def ece_gaps(spark, sf_dir):
+    return rounded(metrics.ece(with_gaps(spark, sf_dir)), "ece")
+
+
+@query("reliability_range_gaps", SQL["reliability_range"].replace(views.SCORED, _GAPS))
+def reliability_range_gaps(spark, sf_dir):
+    return rounded(metrics.reliability_range(with_gaps(spark, sf_dir)), "confidence", "accuracy")
+
+
+# ---- the dataset: every variant, balanced for training and natural otherwise
+
+# Truncation length of each variant.
+DATASETS = {"t2": 14, "adaptive": 14, "nofilter": 14, "passonly": 12}
+_AXES = ("x", "y", "end_x", "end_y")
+
+
+def _dataset_sql(variant: str, n: int) -> str:
+    source = {
+        "t2": "SELECT * FROM mv WHERE type <> 'Carry' OR carry_dist >= 2",
+        "adaptive": "SELECT * FROM mv",
+        "nofilter": "SELECT * FROM mv",
+        "passonly": "SELECT * FROM mv WHERE type IN ('Pass', 'Shot')",
+    }[variant]
+    order = "index DESC"
+    if variant == "adaptive":
+        order = "CASE WHEN type = 'Carry' THEN 2 ELSE 1 END, CASE WHEN type = 'Carry' THEN carry_dist END DESC NULLS LAST, index DESC"
+    checksum = " + ".join(f"coalesce(sum(round({c} / {'120.0' if 'x' in c else '80.0'}, 5)), 0)" for c in _AXES)
+    return f"""{variant}_cut AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id, possession ORDER BY {order}) AS keep
+    FROM ({source}) s) t WHERE keep <= {n}),
+{variant}_poss AS (
+  SELECT match_id, possession, count(*) + 1 AS tokens, {checksum} AS checksum,
+    sum(CASE WHEN shot_outcome = 'Goal' THEN 1 ELSE 0 END) AS goal, {views.SPLIT_OF} AS split
+  FROM {variant}_cut GROUP BY match_id, possession),
+{variant}_kept AS (
+  SELECT p.* FROM {variant}_poss p, (
+    SELECT least(1.0, (count(*) FILTER (goal = 1) / 0.05::DOUBLE - count(*) FILTER (goal = 1))
+      / count(*) FILTER (goal = 0)) AS fraction FROM {variant}_poss WHERE split = 'train') f
+  WHERE split <> 'train' OR goal = 1 OR (goal = 0 AND {views.digits(1)} / 4294967296.0::DOUBLE < fraction))"""
+
+
+def _dataset_part(variant: str, n: int) -> str:
+    name = variant + f"_ctx{n}"
+    return f"""SELECT '{name}' AS variant, split, count(*) AS possessions, CAST(sum(tokens) AS BIGINT) AS tokens,
+  CAST(sum(goal) AS BIGINT) AS goals, round(sum(checksum), 3) AS checksum FROM {variant}_kept GROUP BY split"""
+
+
+@query(
+    "dataset_build",
+    f"{views.MV}, "
+    + ", ".join(_dataset_sql(v, n) for v, n in DATASETS.items())
+    + " "
+    + " UNION ALL ".join(_dataset_part(v, n) for v, n in DATASETS.items()),
+)
+def dataset_build(spark, sf_dir):
+    """Every dataset variant, written by variant and split, read back and summed up."""
+    events = standin.events(spark, sf_dir)
+    path = new_table_path(spark, "dataset")
+    for variant, n in DATASETS.items():
+        rows = splits.dataset(splits.variant_events(events, variant), n, variant)
+        sinks.write_splits(rows.withColumn("variant", F.lit(sinks.variant_name(variant, context=n))), path, append=True)
+    back = spark.read.schema(rows.schema.add("variant", "string")).parquet(path)
+    value = lambda c: F.aggregate("events", F.lit(0.0), lambda a, e: a + F.coalesce(e[c], F.lit(0.0)))
+    checksum = sum((value(c) for c in _AXES[1:]), value(_AXES[0]))
+    return back.groupBy("variant", "split").agg(
+        F.count("*").alias("possessions"),
+        F.sum("sequence_length").cast("bigint").alias("tokens"),
+        F.sum("goal").cast("bigint").alias("goals"),
+        F.round(F.sum(checksum), 3).alias("checksum"),
+    )

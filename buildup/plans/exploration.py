@@ -78,9 +78,9 @@ def length_buckets(spark, sf_dir):
     return profile.length_buckets(lengths(spark, sf_dir))
 
 
-@query("length_histogram", f"{_LENGTHS} SELECT least(n_events, 20) AS length, count(*) AS n FROM len GROUP BY 1")
+@query("length_histogram", f"{_LENGTHS} SELECT least(n_events, 50) AS length, count(*) AS n FROM len GROUP BY 1")
 def length_histogram(spark, sf_dir):
-    return profile.length_histogram(lengths(spark, sf_dir), top=20)
+    return profile.length_histogram(lengths(spark, sf_dir), top=50)
 
 
 @query("goals_by_length", f"""{_LENGTHS}, goals AS (
@@ -153,9 +153,9 @@ def distinct_actors(spark, sf_dir):
 
 
 @query("top_event_types", f"""{views.EV}
-SELECT type, count(*) AS n FROM ev GROUP BY type ORDER BY n DESC, type LIMIT 3""")
+SELECT type, count(*) AS n FROM ev GROUP BY type ORDER BY n DESC, type LIMIT 10""")
 def top_event_types(spark, sf_dir):
-    return profile.top_types(all_events(spark, sf_dir), 3)
+    return profile.top_types(all_events(spark, sf_dir), 10)
 
 
 @query("dataset_summary", f"""{views.EV}
@@ -203,14 +203,24 @@ def distance_stats(spark, sf_dir):
     return rows.select("type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "stddev", "max")])
 
 
-@query("distance_histogram", f"""{_DIST}, mine AS (SELECT distance FROM dist WHERE type = 'Carry'),
-lim AS (SELECT count(*) AS total, min(distance) FILTER (distance <= 8) AS low,
-        max(distance) FILTER (distance <= 8) AS high FROM mine)
-SELECT CAST(least(floor((distance - low) * 80 / (high - low)), 79) AS BIGINT) AS bin, count(*) AS n,
-  round(count(*) * 100.0::DOUBLE / max(total), 6) AS pct FROM mine, lim WHERE distance <= 8 GROUP BY 1""")
+# The longest distance shown of each type.
+CLIPS = {"Pass": None, "Carry": 40.0}
+
+
+@query("distance_histogram", f"""{_DIST}, mine AS (
+  SELECT type, distance, CASE type WHEN 'Carry' THEN 40.0::DOUBLE ELSE 'Infinity'::DOUBLE END AS clip FROM dist
+  WHERE type IN ('Pass', 'Carry')),
+lim AS (SELECT type, count(*) AS total, min(distance) FILTER (distance <= clip) AS low,
+    (max(distance) FILTER (distance <= clip) - min(distance) FILTER (distance <= clip)) / 80.0::DOUBLE AS step
+  FROM mine GROUP BY type),
+edges AS (SELECT type, range AS bin, low + range * step AS a,
+    CASE WHEN range = 79 THEN 'Infinity'::DOUBLE ELSE low + (range + 1) * step END AS b FROM lim, range(80))
+SELECT type, bin, count(*) AS n, round(count(*) * 100.0::DOUBLE / max(total), 6) AS pct
+FROM mine JOIN lim USING (type) JOIN edges USING (type) WHERE distance <= clip AND distance >= a AND distance < b
+GROUP BY type, bin""")
 def distance_histogram(spark, sf_dir):
     rows = ev.event_distances(all_events(spark, sf_dir))
-    out = profile.distance_histogram(rows, "Carry", clip=8.0)
+    out = profile.distance_histogram(rows, CLIPS)
     return out.withColumn("pct", F.round("pct", 6))
 
 

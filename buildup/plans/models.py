@@ -8,7 +8,7 @@ from buildup.functions import labels, pitch
 from buildup.operators import calibrate, context, experiments, metrics, models, splits, threat, tokens
 from buildup.operators import sequences as seq
 from buildup.plans import views
-from buildup.plans.evaluation import BINS_SQL, rounded, scored
+from buildup.plans.evaluation import BINS_SQL, rounded, scored, with_gaps
 from buildup.plans.movement import big, moves, sequences
 from buildup.plans.registry import query
 from buildup.plans.threat import ACTIONS, THREAT, scored_actions
@@ -128,10 +128,9 @@ def transition_predictions(spark, sf_dir):
     weight = F.coalesce(F.try_element_at(labels.literal_map(WEIGHTS), F.col("truth")), F.lit(1.0))
     held = pairs.where("split <> 'train'").withColumnRenamed("target_type", "truth")
     chances = table.select("input_type", F.col("target_type").alias("truth"), "p")
-    # both tables are bounded by the vocabulary
     return (
-        held.join(F.broadcast(best), "input_type")
-        .join(F.broadcast(chances), ["input_type", "truth"])
+        held.join(best, "input_type")
+        .join(chances, ["input_type", "truth"])
         .withColumn("weight", weight)
     )
 
@@ -161,16 +160,11 @@ _PLATT = """platt(i, a, b) AS (
         FROM (SELECT i, a, b, n, k, s, 1 / (1 + exp(-(a * s + b))) AS p FROM platt, fitted WHERE i < 25) q
         GROUP BY i, a, b) g)"""
 
-_HALF = "('0x' || substr(md5(concat(user_id, '-42')), 1, 8))::BIGINT % 100 < 50"
-_CAL = f"""WITH RECURSIVE {views.SCORED[5:]}, side AS (SELECT *, {_HALF} AS fit FROM scored),
-fitted AS (SELECT score AS s, count(*)::DOUBLE AS n, sum(label)::DOUBLE AS k,
-    ln(greatest(1e-7, least(1 - 1e-7, score)) / (1 - greatest(1e-7, least(1 - 1e-7, score)))) AS l
-  FROM side WHERE fit GROUP BY score),
-applied AS (SELECT score AS s, label,
-    ln(greatest(1e-7, least(1 - 1e-7, score)) / (1 - greatest(1e-7, least(1 - 1e-7, score)))) AS l
-  FROM side WHERE NOT fit),
-{_PLATT},
-quad(i, a, b, c) AS (
+
+
+def _newton(name: str, first: str, second: str) -> str:
+    """Newton steps of the logistic fit of two features and an intercept on ``fitted``."""
+    return f"""{name}(i, a, b, c) AS (
   SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
   UNION ALL
   SELECT i + 1,
@@ -178,12 +172,51 @@ quad(i, a, b, c) AS (
     b - (h11 * (g2 * h33 - g3 * h23) - g1 * (h12 * h33 - h23 * h13) + h13 * (h12 * g3 - g2 * h13)) / det,
     c - (h11 * (h22 * g3 - h23 * g2) - h12 * (h12 * g3 - g2 * h13) + g1 * (h12 * h23 - h22 * h13)) / det
   FROM (SELECT *, h11 * (h22 * h33 - h23 * h23) - h12 * (h12 * h33 - h23 * h13) + h13 * (h12 * h23 - h22 * h13) AS det
-    FROM (SELECT i, a, b, c, sum(r * l) AS g1, sum(r * l * l) AS g2, sum(r) AS g3, sum(w * l * l) AS h11,
-        sum(w * l * l * l) AS h12, sum(w * l) AS h13, sum(w * l * l * l * l) AS h22, sum(w * l * l) AS h23,
-        sum(w) AS h33
+    FROM (SELECT i, a, b, c, sum(r * f1) AS g1, sum(r * f2) AS g2, sum(r) AS g3, sum(w * f1 * f1) AS h11,
+        sum(w * f1 * f2) AS h12, sum(w * f1) AS h13, sum(w * f2 * f2) AS h22, sum(w * f2) AS h23, sum(w) AS h33
       FROM (SELECT *, n * p - k AS r, n * p * (1 - p) AS w FROM (
-          SELECT i, a, b, c, n, k, l, 1 / (1 + exp(-(a * l + b * l * l + c))) AS p FROM quad, fitted WHERE i < 40) q0) q
-      GROUP BY i, a, b, c) g) d),
+          SELECT i, a, b, c, n, k, f1, f2, 1 / (1 + exp(-(a * f1 + b * f2 + c))) AS p
+          FROM {name}, (SELECT n, k, {first} AS f1, {second} AS f2 FROM fitted) f WHERE i < 40) q0) q
+      GROUP BY i, a, b, c) g) d)"""
+
+
+def _newton_one(name: str, feature: str) -> str:
+    """The same for one feature."""
+    return f"""{name}(i, a, c) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, a - (hcc * ga - hac * gc) / (haa * hcc - hac * hac), c - (haa * gc - hac * ga) / (haa * hcc - hac * hac)
+  FROM (SELECT i, a, c, sum((n * p - k) * f) AS ga, sum(n * p - k) AS gc, sum(n * p * (1 - p) * f * f) AS haa,
+      sum(n * p * (1 - p) * f) AS hac, sum(n * p * (1 - p)) AS hcc
+    FROM (SELECT i, a, c, n, k, {feature} AS f, 1 / (1 + exp(-(a * {feature} + c))) AS p
+      FROM {name}, fitted WHERE i < 40) q GROUP BY i, a, c) g)"""
+
+
+# the fit is convex with two lower bounds: the best of the four choices of active bounds that keeps them
+_BETA = """choices AS (
+  SELECT a, b, c FROM free WHERE i = 40 UNION ALL SELECT a, 0.0::DOUBLE, c FROM only_u WHERE i = 40
+  UNION ALL SELECT 0.0::DOUBLE, a, c FROM only_v WHERE i = 40
+  UNION ALL SELECT 0.0::DOUBLE, 0.0::DOUBLE, ln(sum(k) / (sum(n) - sum(k))) FROM fitted),
+likely AS (SELECT a, b, c, sum(k * z - n * greatest(z, 0) - n * ln(1 + exp(-abs(z)))) AS loglik
+  FROM (SELECT a, b, c, n, k, a * u + b * v + c AS z FROM choices, fitted WHERE a >= 0 AND b >= 0) q GROUP BY a, b, c),
+beta_fit AS (SELECT a, b, c FROM likely ORDER BY loglik DESC LIMIT 1)"""
+
+_HALF = "('0x' || substr(md5(concat(user_id, '-42')), 1, 8))::BIGINT % 100 < 50"
+_CAL = f"""WITH RECURSIVE {views.SCORED[5:]}, side AS (SELECT *, {_HALF} AS fit FROM scored),
+fitted AS (SELECT score AS s, count(*)::DOUBLE AS n, sum(label)::DOUBLE AS k,
+    ln(greatest(1e-7, least(1 - 1e-7, score)) / (1 - greatest(1e-7, least(1 - 1e-7, score)))) AS l,
+    ln(greatest(1e-7, least(1 - 1e-7, score))) AS u, -ln(1 - greatest(1e-7, least(1 - 1e-7, score))) AS v
+  FROM side WHERE fit GROUP BY score),
+applied AS (SELECT score AS s, label,
+    ln(greatest(1e-7, least(1 - 1e-7, score)) / (1 - greatest(1e-7, least(1 - 1e-7, score)))) AS l,
+    ln(greatest(1e-7, least(1 - 1e-7, score))) AS u, -ln(1 - greatest(1e-7, least(1 - 1e-7, score))) AS v
+  FROM side WHERE NOT fit),
+{_PLATT},
+{_newton('quad', 'l', 'l * l')},
+{_newton('free', 'u', 'v')},
+{_newton_one('only_u', 'u')},
+{_newton_one('only_v', 'v')},
+{_BETA},
 cum AS (SELECT *, sum(n) OVER o AS cn, sum(k) OVER o AS ck, row_number() OVER o AS r FROM fitted
         WINDOW o AS (ORDER BY s)),
 span AS (SELECT j.r AS lo, h.r AS hi, (h.ck - j.ck + j.k) / (h.cn - j.cn + j.n) AS m
@@ -200,8 +233,9 @@ iso_at AS (
   LEFT JOIN iso q ON q.s = (SELECT min(s) FROM iso WHERE s > a.s)),
 curves AS (
   SELECT x.s, label, 1 / (1 + exp(-(pl.a * x.s + pl.b))) AS platt, iso_at.v AS isotonic,
-    1 / (1 + exp(-(qu.a * x.l + qu.b * x.l * x.l + qu.c))) AS quadratic
-  FROM applied x JOIN iso_at ON iso_at.s = x.s, platt pl, quad qu WHERE pl.i = 25 AND qu.i = 40)"""
+    1 / (1 + exp(-(qu.a * x.l + qu.b * x.l * x.l + qu.c))) AS quadratic,
+    1 / (1 + exp(-(be.a * x.u + be.b * x.v + be.c))) AS beta
+  FROM applied x JOIN iso_at ON iso_at.s = x.s, platt pl, quad qu, beta_fit be WHERE pl.i = 25 AND qu.i = 40)"""
 
 
 def halves(spark, sf_dir):
@@ -235,7 +269,18 @@ def calibrate_quadratic_logit(spark, sf_dir):
     return calibrated_scores(spark, sf_dir, "quadratic")
 
 
-@query("calibrate_beta")
+# a twentieth of the scores is missing: those rows are as if they were not there
+GAP = 17
+
+
+@query("calibrate_quadratic_gaps", _curve_sql("quadratic").replace("FROM events)", f"FROM events WHERE event_id % {GAP} <> 0)"))
+def calibrate_quadratic_gaps(spark, sf_dir):
+    rows = with_gaps(spark, sf_dir).withColumn("fit", splits.key_hash(keys=["user_id"]) % 100 < 50)
+    out = calibrate.calibrate(rows.where("fit"), rows.where("not fit"), "quadratic").where("score is not null")
+    return out.groupBy("score", F.round("calibrated", 4).alias("calibrated")).agg(F.count("*").alias("n"))
+
+
+@query("calibrate_beta", _curve_sql("beta"))
 def calibrate_beta(spark, sf_dir):
     return calibrated_scores(spark, sf_dir, "beta")
 
@@ -243,8 +288,9 @@ def calibrate_beta(spark, sf_dir):
 _LONG = f"""{_CAL}, long AS (
   SELECT 'raw' AS method, s AS score, label FROM curves UNION ALL SELECT 'platt', platt, label FROM curves
   UNION ALL SELECT 'isotonic', isotonic, label FROM curves
+  UNION ALL SELECT 'beta', beta, label FROM curves
   UNION ALL SELECT 'quadratic', quadratic, label FROM curves)"""
-METHODS = ["platt", "isotonic", "quadratic"]
+METHODS = ["platt", "isotonic", "beta", "quadratic"]
 
 
 @query("metrics_by_method", f"""{_LONG}, {BINS_SQL}, ranked AS (
@@ -259,7 +305,7 @@ total AS (SELECT method, sum(m * gap) AS gaps FROM cells GROUP BY method)
 SELECT method, n, round(brier, 4) AS brier_score, round(auc, 4) AS roc_auc, round(gaps / n, 4) AS ece
 FROM base JOIN total USING (method)""")
 def metrics_by_method(spark, sf_dir):
-    rows = metrics.record(calibrate.by_method(*halves(spark, sf_dir), METHODS), ["method"])
+    rows = metrics.record(calibrate.by_method(*halves(spark, sf_dir), METHODS), ["method"], weight="weight")
     return rows.select("method", "n", "brier_score", "roc_auc", "ece")
 
 
@@ -267,7 +313,7 @@ def metrics_by_method(spark, sf_dir):
 SELECT method, round(min(score), 4) AS min, round(max(score), 4) AS max, round(avg(score), 4) AS mean
 FROM long GROUP BY method""")
 def calibration_ranges(spark, sf_dir):
-    rows = metrics.score_ranges(calibrate.by_method(*halves(spark, sf_dir), METHODS), ["method"])
+    rows = metrics.score_ranges(calibrate.by_method(*halves(spark, sf_dir), METHODS), ["method"], "weight")
     return rounded(rows, "min", "max", "mean", digits=4)
 
 
@@ -285,13 +331,15 @@ SELECT round((sum(CASE WHEN label = 1 THEN r ELSE 0 END) - sum(label) * (sum(lab
   round(sum(s) / sum(label), 4) AS ratio_raw, round(sum(quadratic) / sum(label), 4) AS ratio_calibrated FROM ranks""")
 def evaluation_record(spark, sf_dir):
     fit_on, apply_to = halves(spark, sf_dir)
-    rows = calibrate.calibrate(fit_on, apply_to, "quadratic")
-    raw, fixed = metrics.summary(rows), metrics.summary(rows, score="calibrated")
+    # all metrics are sums over distinct scores and labels
+    rows = stage(calibrate.calibrate(fit_on, metrics.reduce(apply_to), "quadratic"), "reduced")
+    raw = metrics.summary(rows, weight="weight")
+    fixed = metrics.summary(rows, score="calibrated", weight="weight")
     pick = lambda df, tail: df.select(
         F.col("brier_score").alias(f"brier_{tail}"), F.col("log_loss").alias(f"log_loss_{tail}"),
         F.col("xg_ratio").alias(f"ratio_{tail}"),
     )
-    out = metrics.roc_auc(rows).crossJoin(pick(raw, "raw")).crossJoin(pick(fixed, "calibrated"))
+    out = metrics.roc_auc(rows, weight="weight").crossJoin(pick(raw, "raw")).crossJoin(pick(fixed, "calibrated"))
     return rounded(out, *out.columns, digits=4)
 
 
@@ -328,11 +376,17 @@ cut AS (
   FROM copies, (SELECT unnest({RUN_CONTEXTS})::BIGINT AS context) c
   WHERE event_rank <= context AND (context = 14 OR threshold = 2)),
 picked AS (
-  SELECT threshold, context, match_id, possession,
-    sum(CASE WHEN shot_outcome = 'Goal' THEN 1 ELSE 0 END) = 1 AS goal,
+  SELECT threshold, context, match_id, possession, {views.SPLIT_OF} AS split,
+    (sum(CASE WHEN shot_outcome = 'Goal' THEN 1 ELSE 0 END) = 1)::INT AS label,
     max_by({views.cell('coalesce(end_x, x)', 'coalesce(end_y, y)')}, seq_no) FILTER (seq_no <= 3) AS zone
   FROM cut GROUP BY ALL),
-runscored AS (SELECT threshold, context, threat AS score, goal::INT AS label FROM picked JOIN threat USING (zone)),
+bases AS (SELECT threshold, context, avg(label) AS base FROM picked WHERE split = 'train' GROUP BY ALL),
+zrates AS (SELECT threshold, context, zone, (sum(label) + 20 * max(base)) / (count(*) + 20) AS rate
+  FROM picked JOIN bases USING (threshold, context) WHERE split = 'train' GROUP BY ALL),
+runscored AS (
+  SELECT b.threshold, b.context, coalesce(rate, base) AS score, label
+  FROM bases b JOIN picked v ON v.threshold = b.threshold AND v.context = 14 AND v.split = 'val'
+  LEFT JOIN zrates z ON z.threshold = b.threshold AND z.context = b.context AND z.zone = v.zone),
 phased AS (
   SELECT 'threshold' AS phase, * FROM runscored WHERE context = 14 UNION ALL
   SELECT 'context', * FROM runscored WHERE threshold = 2),
@@ -341,31 +395,68 @@ ranked AS (SELECT *, rank() OVER (PARTITION BY phase, threshold, context ORDER B
 runs AS (
   SELECT phase, concat('t', CAST(threshold AS BIGINT), '_ctx', context) AS run_name, count(*) AS n,
     round((sum(CASE WHEN label = 1 THEN r ELSE 0 END) - sum(label) * (sum(label) + 1) / 2.0::DOUBLE)
-      / (sum(label)::DOUBLE * (count(*) - sum(label))), 4) AS roc_auc,
+      / nullif(sum(label)::DOUBLE * (count(*) - sum(label)), 0), 4) AS roc_auc,
     round(avg((score - label) * (score - label)), 4) AS brier_score,
     round(avg(score) FILTER (label = 1) - avg(score) FILTER (label = 0), 4) AS separation
   FROM ranked GROUP BY phase, threshold, context)"""
 
 
+def run_cells(spark, sf_dir):
+    """Possessions per (threshold, context, split, zone, label); the zone is where the start context ends.
+
+    One aggregation per threshold and possession finds the zone at each rank; the start context of a
+    shorter truncation ends at another rank of the same row.
+    """
+    longest = max(RUN_CONTEXTS)
+    rows = splits.threshold_ranks(moves(spark, sf_dir), RUN_THRESHOLDS, longest)
+    end = pitch.cell(F.coalesce("end_x", "x"), F.coalesce("end_y", "y"), threat.BINS_X, threat.BINS_Y)
+    goal = labels.goal_flag(F.col("shot_outcome"))
+    rank = F.col("event_rank")
+    wide = rows.groupBy("threshold", *KEYS).agg(
+        F.count("*").alias("_n"),
+        *[F.sum(F.when(rank <= c, goal)).alias(f"_g{c}") for c in RUN_CONTEXTS],
+        *[F.max(F.when(rank == r, end)).alias(f"_z{r}") for r in range(1, longest + 1)],
+    )
+    zones = F.array(*[F.col(f"_z{r}") for r in range(1, longest + 1)])
+    entry = lambda c: F.struct(
+        F.lit(c).alias("context"),
+        F.element_at(zones, F.greatest(F.least("_n", F.lit(c)) - 2, F.lit(1)).cast("int")).alias("zone"),
+        F.when(F.col(f"_g{c}") == 1, 1).otherwise(0).alias("label"),
+    )
+    long = splits.with_split(wide).select(
+        F.col("threshold").cast("int").alias("threshold"), "split", F.explode(F.array(*[entry(c) for c in RUN_CONTEXTS])).alias("e")
+    )
+    cells = long.where("(e.context = 14 or threshold = 2) and split <> 'test'")
+    return cells.groupBy("threshold", "split", "e.context", "e.zone", "e.label").agg(F.count("*").alias("weight"))
+
+
 def run_table(spark, sf_dir):
-    """One row per dataset variant and phase: start contexts scored by zone threat, with their metrics."""
-    events = moves(spark, sf_dir)
-    cut = splits.variants(events, RUN_THRESHOLDS, RUN_CONTEXTS).where("context = 14 or threshold = 2")
-    table = splits.variant_sequences(cut).withColumnRenamed("context", "window")
-    rows = tokens.start_context(table).withColumn("last", F.element_at("context", -1))
-    at = lambda a: F.coalesce(F.col("last")[f"end_{a}"], F.col("last")[a])
-    zone = pitch.cell(at("x"), at("y"), threat.BINS_X, threat.BINS_Y)
-    rows = rows.select(
-        "threshold", "window", zone.alias("zone"), F.when(F.col("goal") == 1, 1).otherwise(0).alias("label")
+    """One row per dataset variant and phase: zone rates learnt on its training split, on the same validation set.
+
+    Every context is evaluated on the possessions of the longest one.
+    """
+    cells = stage(run_cells(spark, sf_dir), "cells")
+    train = cells.where("split = 'train'")
+    run = ["threshold", "context"]
+    base = train.groupBy(*run).agg((F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).alias("base"))
+    rates = (
+        train.join(base, run)
+        .groupBy(*run, "zone")
+        .agg(
+            (
+                (F.sum(F.col("label") * F.col("weight")) + context.ALPHA * F.max("base"))
+                / (F.sum("weight") + context.ALPHA)
+            ).alias("rate")
+        )
     )
-    rows = threat.with_threat(rows, threat.fit(events), F.col("zone"))
+    held = cells.where("split = 'val' and context = 14").select("threshold", "zone", "label", "weight")
+    scores = held.join(base, "threshold").join(rates, [*run, "zone"], "left")
+    scores = scores.select(*run, F.coalesce("rate", "base").alias("score"), "label", "weight")
+    record = metrics.record(scores, run, weight="weight")
     phases = F.array_compact(
-        F.array(
-            F.when(F.col("window") == 14, "threshold"), F.when(F.col("threshold") == 2, "context")
-        )
+        F.array(F.when(F.col("context") == 14, "threshold"), F.when(F.col("threshold") == 2, "context"))
     )
-    record = metrics.record(rows, ["threshold", "window"])
-    name = F.concat(F.lit("t"), F.col("threshold").cast("int"), F.lit("_ctx"), F.col("window"))
+    name = F.concat(F.lit("t"), F.col("threshold"), F.lit("_ctx"), F.col("context"))
     return record.select(
         F.explode(phases).alias("phase"), name.alias("run_name"), "n", "roc_auc", "brier_score", "separation"
     )

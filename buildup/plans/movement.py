@@ -117,9 +117,9 @@ def event_distances(spark, sf_dir):
     count(*) OVER (PARTITION BY match_id, possession) AS total FROM mv)
 SELECT match_id, possession, index, type,
   row_number() OVER (PARTITION BY match_id, possession ORDER BY index DESC) AS event_rank
-FROM ranked WHERE drop_rank > total - 6""")
+FROM ranked WHERE drop_rank > total - 14""")
 def adaptive_truncation(spark, sf_dir):
-    rows = seq.truncate_adaptive(moves(spark, sf_dir, mode="adaptive"), 6)
+    rows = seq.truncate_adaptive(moves(spark, sf_dir, mode="adaptive"), 14)
     return rows.select(*KEYS, "index", "type", *big("event_rank"))
 
 

@@ -101,12 +101,10 @@ def freeze_frame(spark, sf_dir):
 SELECT shot_id, count(*) AS players, count(*) FILTER (inside AND NOT keeper) AS defenders,
   count(*) FILTER (inside AND keeper) AS keepers FROM tested GROUP BY shot_id""")
 def freeze_frame_text(spark, sf_dir):
-    """Each player as its own one-player frame in Python-literal text, parsed and tested."""
-    player = standin.frame_rows(spark, sf_dir).join(
-        shot_table(spark, sf_dir).select("shot_id", "x", "y"), "shot_id"
-    )
+    """The frame of each shot as one list in Python-literal text, parsed and tested."""
+    player = standin.frame_rows(spark, sf_dir)
     text = F.concat(
-        F.lit("[{'teammate': "),
+        F.lit("{'teammate': "),
         F.when(F.col("teammate"), "True").otherwise("False"),
         F.when(
             F.col("location").isNotNull(),
@@ -114,13 +112,19 @@ def freeze_frame_text(spark, sf_dir):
         ).otherwise(""),
         F.lit(", 'position': {'name': '"),
         F.col("position_name"),
-        F.lit("'}}]"),
+        F.lit("'}}"),
+    )
+    # a frame holds the players of one pitch
+    texts = player.groupBy("shot_id").agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list(text), ", "), F.lit("]")).alias("text")
     )
-    rows = shots.path_from_frames(player.withColumn("shot_freeze_frame", shots.parse_frame(text)))
-    return rows.groupBy("shot_id").agg(
-        F.count("*").alias("players"),
-        F.sum("defenders_in_path").cast("bigint").alias("defenders"),
-        F.sum("goalkeeper_in_path").cast("bigint").alias("keepers"),
+    rows = shot_table(spark, sf_dir).select("shot_id", "x", "y").join(texts, "shot_id")
+    rows = shots.path_from_frames(rows.withColumn("shot_freeze_frame", shots.parse_frame(F.col("text"))))
+    return rows.select(
+        "shot_id",
+        F.size("shot_freeze_frame").cast("bigint").alias("players"),
+        F.col("defenders_in_path").cast("bigint").alias("defenders"),
+        F.col("goalkeeper_in_path").cast("bigint").alias("keepers"),
     )
 
 
@@ -132,11 +136,15 @@ def standardize(spark, sf_dir):
     return rounded(rows.select("shot_id", "x_scaled", "distance_scaled"), "x_scaled", "distance_scaled")
 
 
+# The body parts of a shot.
+BODY_PARTS = ["Head", "Left Foot", "Other", "Right Foot"]
+
+
 @query("dummies", f"""{views.SHOTS}
 SELECT shot_id, (shot_body_part = 'Head')::INT::BIGINT AS "Head", (shot_body_part = 'Left Foot')::INT::BIGINT AS "Left Foot",
   (shot_body_part = 'Right Foot')::INT::BIGINT AS "Right Foot" FROM shots""")
 def dummies(spark, sf_dir):
-    rows = features.dummies(shot_table(spark, sf_dir), "shot_body_part", drop="Other")
+    rows = features.dummies(shot_table(spark, sf_dir), "shot_body_part", BODY_PARTS, drop="Other")
     return rows.select("shot_id", *big("Head", "Left Foot", "Right Foot"))
 
 

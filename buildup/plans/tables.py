@@ -18,11 +18,6 @@ from buildup.sources import readers, schemas, sinks, standin
 KEYS = seq.KEYS
 
 
-def work_path(spark, name):
-    """One folder per application, overwritten by every run of the query."""
-    return f"{session.shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}"
-
-
 _VOCAB_SQL = " ".join(f"WHEN '{k}' THEN {v}" for k, v in labels.VOCAB.items())
 
 
@@ -30,7 +25,7 @@ _VOCAB_SQL = " ".join(f"WHEN '{k}' THEN {v}" for k, v in labels.VOCAB.items())
 SELECT CASE type {_VOCAB_SQL} END::BIGINT AS id, type AS token, count(*) AS n FROM tok GROUP BY type""")
 def vocab_lookup(spark, sf_dir):
     """Token counts by id, the ids read from a written vocabulary and mapped back to names."""
-    path = work_path(spark, "vocab")
+    path = session.new_table_path(spark, "vocab")
     sinks.write_vocab(spark, labels.VOCAB, path)
     vocab = readers.read_vocab(spark, path)
     counts = seq.explode(sequences(spark, sf_dir)).groupBy(F.col("type").alias("token")).agg(
@@ -98,7 +93,7 @@ def ingest_write_roundtrip(spark, sf_dir):
     picked = matches.join(competitions, ["competition_id", "season_id"]).select(
         "match_id", F.col("country_name").alias("league"), F.col("season_name").alias("season")
     )
-    path = work_path(spark, "ingest")
+    path = session.new_table_path(spark, "ingest")
     sinks.write_events(events.join(picked, "match_id"), path)
     rows = spark.read.schema(
         "match_id bigint, index bigint, type string, league string, season string"
@@ -135,18 +130,18 @@ def drop_all_null_columns(spark, sf_dir):
     return ev.with_coordinates(features.drop_all_null_columns(all_events(spark, sf_dir)))
 
 
-_ORDER_COLUMNS = ["o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus"]
-_ORDER_TYPES = ["bigint", "timestamp_ntz", "bigint", "string", "string"]
+_ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+_FILLED = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS non_null FROM orders" for c in _ORDER_COLUMNS)
 
 
-@query("schema_columns", " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, '{t}' AS column_type, count({c}) AS non_null FROM orders"
-    for c, t in zip(_ORDER_COLUMNS, _ORDER_TYPES)))
+@query("schema_columns", f"""SELECT column_name, CASE column_type WHEN 'VARCHAR' THEN 'string'
+    WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS column_type, non_null
+FROM (DESCRIBE orders) JOIN ({_FILLED}) USING (column_name) WHERE contains(lower(column_name), 'order')""")
 def schema_columns(spark, sf_dir):
     """Column names and types that contain a text, with their filled rows."""
-    orders = standin.table(spark, sf_dir, "orders").drop("o_totalprice")
+    orders = standin.table(spark, sf_dir, "orders")
     filled = profile.null_profile(orders).select("column_name", "non_null")
-    return readers.schema_columns(orders, contains="O_").join(F.broadcast(filled), "column_name")
+    return readers.schema_columns(orders, contains="ORDER").join(F.broadcast(filled), "column_name")
 
 
 @query("dim_map_lookup", f"""{views.MV}, d AS (
@@ -168,7 +163,7 @@ def dim_map_lookup(spark, sf_dir):
 SELECT score AS "xT", label, count(*) AS n FROM scored GROUP BY ALL""")
 def csv_roundtrip(spark, sf_dir):
     """Predictions written as CSV and read back with their schema."""
-    path = work_path(spark, "predictions")
+    path = session.new_table_path(spark, "predictions")
     sinks.write_csv(scored(spark, sf_dir).select(F.col("score").alias("xT"), "label"), path)
     rows = readers.read_csv(spark, path, schemas.PREDICTION)
     return rows.groupBy("xT", "label").agg(F.count("*").alias("n"))
@@ -181,7 +176,7 @@ def split_write_roundtrip(spark, sf_dir):
     """Sequence table written by variant and split, read back with partition pruning."""
     rows = splits.with_split(seq.normalize(sequences(spark, sf_dir)))
     rows = rows.withColumn("variant", F.lit(sinks.variant_name("nofilter")))
-    path = work_path(spark, "splits")
+    path = session.new_table_path(spark, "splits")
     sinks.write_splits(rows, path)
     back = spark.read.schema(rows.schema).parquet(path)
     return back.groupBy("variant", "split").agg(

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from buildup import ordered
+from buildup.functions import labels
 from buildup.functions.labels import signed_text
-from buildup.operators import context, sensitivity, splits, threat
+from buildup.operators import context, metrics, sensitivity, splits, threat
 from buildup.operators import sequences as seq
 from buildup.operators import tokens
 from buildup.plans import views
-from buildup.plans.evaluation import rounded
+from buildup.plans.evaluation import BINS_SQL, rounded
 from buildup.plans.movement import all_events, big, moves, sequences
 from buildup.plans.registry import query
 
@@ -149,9 +150,13 @@ SELECT t.match_id, t.possession, p.sequence_length - 1 AS real_length,
 FROM tok t JOIN poss p USING (match_id, possession) WHERE type NOT IN ('GOAL', 'NO_GOAL') GROUP BY ALL""")
 def start_context(spark, sf_dir):
     rows = tokens.start_context(sequences(spark, sf_dir))
+    ids = F.transform("events", lambda e: labels.type_id(e["type"]))
+    # inputs of a training row: all but the terminal, filled up with padding
+    pad = F.array_repeat(F.lit(labels.VOCAB["<pad>"]), F.greatest(F.lit(0), F.lit(16) - F.size("events")))
+    rows = rows.withColumn("_ids", F.concat(F.slice(ids, F.lit(1), F.size("events") - 1), pad))
     return rows.select(
         *KEYS,
-        (F.col("sequence_length") - 1).cast("bigint").alias("real_length"),
+        tokens.real_length("_ids").cast("bigint").alias("real_length"),
         F.size("context").cast("bigint").alias("context_size"),
         F.array_join(F.transform("context", lambda e: e["type"]), ">").alias("shape"),
     )
@@ -313,7 +318,7 @@ FROM whole, actions""")
 def counterfactual_events(spark, sf_dir):
     rows = sensitivity.counterfactuals(sensitivity.eligible(normalized(spark, sf_dir)))
     return rows.select(
-        *KEYS, "event_type", "distance_sb", F.size("events").cast("bigint").alias("size"),
+        *KEYS, "event_type", "distance_sb", *big("size"),
         "added.x", "added.y", F.round("added.end_x", 6).alias("end_x"), "added.end_y",
     )
 
@@ -331,8 +336,13 @@ worth AS (SELECT event_type, distance_sb, keep * threat AS v FROM whole, actions
 sens AS (SELECT event_type, distance_sb, avg(v) AS mean, stddev_pop(v) AS std FROM worth GROUP BY ALL)"""
 
 
-def sensitivity_table(spark, sf_dir):
-    return sensitivity.summary(sensitivity.eligible(normalized(spark, sf_dir)), moves(spark, sf_dir))
+_SENSITIVITY_START = _SENSITIVITY.replace("FROM whole JOIN threat", "FROM starts JOIN threat").replace(
+    "FROM whole, actions JOIN keep", "FROM starts, actions JOIN keep"
+)
+
+
+def sensitivity_table(spark, sf_dir, rule=sensitivity.eligible):
+    return sensitivity.summary(rule(normalized(spark, sf_dir)), moves(spark, sf_dir))
 
 
 @query("sensitivity_summary", f"""{_SENSITIVITY}
@@ -354,3 +364,44 @@ def sensitivity_differential(spark, sf_dir):
 SELECT event_type, min(distance_sb) FILTER (mean > baseline) AS first_gain_at FROM sens, baseline GROUP BY event_type""")
 def sensitivity_first_gain(spark, sf_dir):
     return sensitivity.first_gain(sensitivity_table(spark, sf_dir))
+
+
+@query("sensitivity_start_summary", f"""{_SENSITIVITY_START}
+SELECT event_type, distance_sb, round(mean, 6) AS "mean_xT", round(std, 6) AS "std_xT",
+  round(mean - baseline, 6) AS delta_vs_baseline FROM sens, baseline""")
+def sensitivity_start_summary(spark, sf_dir):
+    """The same over the first three events of each possession."""
+    rows = sensitivity_table(spark, sf_dir, sensitivity.eligible_start)
+    return rounded(rows, "mean_xT", "std_xT", "delta_vs_baseline")
+
+
+@query("sensitivity_start_differential", f"""{_SENSITIVITY_START}
+SELECT a.distance_sb, round(a.mean, 6) AS "Carry", round(b.mean, 6) AS "Pass", round(a.mean - b.mean, 6) AS difference
+FROM sens a JOIN sens b USING (distance_sb) WHERE a.event_type = 'Carry' AND b.event_type = 'Pass'""")
+def sensitivity_start_differential(spark, sf_dir):
+    rows = sensitivity.differential(sensitivity_table(spark, sf_dir, sensitivity.eligible_start))
+    return rounded(rows, "Carry", "Pass", "difference")
+
+
+@query("sensitivity_start_first_gain", f"""{_SENSITIVITY_START}
+SELECT event_type, min(distance_sb) FILTER (mean > baseline) AS first_gain_at FROM sens, baseline GROUP BY event_type""")
+def sensitivity_start_first_gain(spark, sf_dir):
+    return sensitivity.first_gain(sensitivity_table(spark, sf_dir, sensitivity.eligible_start))
+
+
+@query("evaluate_possessions", f"""{_START}, {BINS_SQL}, ranked AS (
+  SELECT *, rank() OVER (PARTITION BY split ORDER BY score)
+    + (count(*) OVER (PARTITION BY split, score) - 1) / 2.0::DOUBLE AS r FROM rated WHERE split <> 'train'),
+quality AS (SELECT split, count(*) AS n, avg((score - label) * (score - label)) AS brier,
+    avg(score) FILTER (label = 1) - avg(score) FILTER (label = 0) AS separation,
+    (sum(CASE WHEN label = 1 THEN r ELSE 0 END) - sum(label) * (sum(label) + 1) / 2.0::DOUBLE)
+      / nullif(sum(label)::DOUBLE * (count(*) - sum(label)), 0) AS auc FROM ranked GROUP BY split),
+cells AS (SELECT split, bin, count(*) AS m, abs(avg(score) - avg(label)) AS gap
+  FROM ranked JOIN bins ON score >= low AND score < high GROUP BY split, bin),
+total AS (SELECT split, sum(m * gap) AS gaps FROM cells GROUP BY split)
+SELECT split, n, round(auc, 4) AS roc_auc, round(brier, 4) AS brier_score, round(separation, 4) AS separation,
+  round(gaps / n, 4) AS ece FROM quality JOIN total USING (split)""")
+def evaluate_possessions(spark, sf_dir):
+    """Quality of the possession scores on the splits that were not learnt from."""
+    rows = scored_possessions(spark, sf_dir).where("split <> 'train'")
+    return metrics.record(rows, ["split"]).select("split", "n", "roc_auc", "brier_score", "separation", "ece")

@@ -17,9 +17,12 @@ def variant_name(mode: str, threshold: float | None = None, context: int = 14) -
     return f"{head}_ctx{context}"
 
 
-def write_splits(sequences: DataFrame, path: str, overwrite: bool = True) -> None:
-    """One Parquet folder per ``variant`` and ``split``; with ``overwrite=False`` an existing table is kept."""
-    mode = "overwrite" if overwrite else "ignore"
+def write_splits(sequences: DataFrame, path: str, overwrite: bool = True, append: bool = False) -> None:
+    """One Parquet folder per ``variant`` and ``split``.
+
+    With ``overwrite=False`` an existing table is kept, with ``append`` it is added to.
+    """
+    mode = "append" if append else "overwrite" if overwrite else "ignore"
     sequences.write.mode(mode).partitionBy("variant", "split").parquet(path)
 
 

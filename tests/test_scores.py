@@ -178,3 +178,27 @@ def test_best_run_per_phase(spark):
     assert {r.run_name for r in experiments.best_per_phase(runs).collect()} == {"r2", "r4"}
     delta = {r.run_name: r.roc_auc_delta for r in experiments.delta_to(runs, "r1", ["roc_auc"]).collect()}
     assert delta["r2"] == pytest.approx(0.2) and delta["r3"] is None
+
+
+def test_no_run_is_lost_without_or_with_two_baselines(spark):
+    runs = spark.createDataFrame(
+        [("a", "r1", 0.5), ("b", "r1", 0.6), ("b", "r2", 0.7)], "phase string, run_name string, roc_auc double"
+    )
+    absent = experiments.delta_to(runs, "r9", ["roc_auc"]).collect()
+    assert len(absent) == 3 and {r.roc_auc_delta for r in absent} == {None}
+    doubled = experiments.delta_to(runs, "r1", ["roc_auc"]).collect()
+    assert len(doubled) == 3 and {round(r.roc_auc_delta, 6) for r in doubled} == {-0.1, 0.0, 0.1}
+
+
+def test_rows_without_score_or_label_take_no_part(spark):
+    data = [(0.2, 0), (0.9, 1), (0.4, 1), (0.7, 0)]
+    gaps = [(None, 1), (0.5, None), (None, None)]
+    schema = "score double, label int"
+    whole, holes = spark.createDataFrame(data, schema), spark.createDataFrame(data + gaps, schema)
+    assert metrics.record(holes).first() == metrics.record(whole).first()
+    assert holes.select(edge_bin(F.col("score"), F.lit(0.0), F.lit(1.0), 4)).where("score is null").count() == 2
+    for method in ("beta", "quadratic", "platt", "isotonic"):
+        one = {r.score: r.calibrated for r in calibrate.calibrate(whole, whole, method).collect()}
+        two = {r.score: r.calibrated for r in calibrate.calibrate(holes, holes, method).where("label is not null").collect()}
+        assert two.pop(None) is None
+        assert two == pytest.approx(one)

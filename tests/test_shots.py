@@ -69,12 +69,28 @@ def test_features(spark):
         [("a", 1.0, 5.0, None), ("b", 2.0, 5.0, None), (None, 6.0, 5.0, None)], "c string, v double, k double, n int"
     )
     assert features.drop_all_null_columns(df).columns == ["c", "v", "k"]
-    flags = features.dummies(df, "c", drop="a")
+    flags = features.dummies(df, "c", ["a", "b"], drop="a")
     assert "c" not in flags.columns and [r.b for r in flags.orderBy("v").collect()] == [0, 1, 0]
     scaled = features.standardize(df, ["v", "k"]).collect()
     assert sum(r.v_scaled for r in scaled) == pytest.approx(0) and {r.k_scaled for r in scaled} == {0.0}
-    with pytest.raises(ValueError):
-        features.categories(df, "v", limit=2)
+
+
+def test_dummies_of_many_categories(spark):
+    df = spark.range(3000).selectExpr("id", "if(id = 7, null, concat('c', id % 1500)) as c")
+    wide = features.dummies(df, "c", [f"c{i}" for i in range(1500)])
+    assert len(wide.columns) == 1501
+    assert wide.where("id in (5, 1505)").select(F.sum("c5")).first()[0] == 2
+    long = features.sparse_dummies(df, ["id"], "c").collect()
+    assert len(long) == 2999 and len({r.category_id for r in long}) == 1500
+    ids = {r.id: r.category_id for r in long}
+    assert ids[5] == ids[1505] != ids[6] and 7 not in ids
+
+
+def test_a_name_with_two_short_forms_keeps_one_row(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, player string")
+    names = spark.createDataFrame([("a", "y"), ("a", "x")], "full_name string, short_name string")
+    got = features.map_names(df, "player", "full_name", names).collect()
+    assert sorted((r.id, r.player) for r in got) == [(1, "x"), (2, None), (3, None)]
 
 
 def test_vif_of_independent_columns(spark):

@@ -115,3 +115,14 @@ def test_variants_limit_rows_before_the_shuffle(spark, sf_dir):
 def test_scan_reads_only_what_is_used(spark, sf_dir):
     plan = plan_of(standin.events(spark, sf_dir).groupBy("type").agg(F.count("*")))
     assert "ReadSchema: struct<type:string>" in plan
+
+
+def test_round_trips_keep_the_data_of_earlier_calls(spark):
+    from __spark_entry__ import queries
+
+    catalogue = queries()
+    for name in ("csv_roundtrip", "ingest_write_roundtrip", "vocab_lookup", "split_write_roundtrip"):
+        small = catalogue[name](spark, "/root/testdata/sf0.001")
+        large = catalogue[name](spark, "/root/testdata/sf0.01")
+        total = lambda df: df.agg({"possessions" if "possessions" in df.columns else "n": "sum"}).first()[0]
+        assert 0 < total(small) < total(large)
