@@ -1,13 +1,15 @@
 """Ordered operations that stay safe when one group holds most of the rows.
 
 A plain ``Window.partitionBy(key).orderBy(order)`` sends a whole group to one
-task. The functions here cut each group into blocks of consecutive ``order``
-values, work inside (group, block), and carry only a small summary row per
-block across the cut. ``order`` must be an integer that is unique in a group,
-so a block never holds more than ``block_rows`` rows.
+task. The functions here cut groups of more than ``block_rows`` rows into blocks
+of consecutive ``order`` values, work inside (group, block), and carry only a
+small summary row per block across the cut. ``order`` must be an integer that is
+unique in a group. The width of a block follows from the group's rows and range
+of values, so that a block holds about ``block_rows`` rows however sparse the
+values are; the result does not depend on it.
 
-Groups that fit in one block have no summary to carry: the side table is then
-empty at run time and AQE drops the join.
+All other groups are one block and have no summary to carry: the side table is
+then empty at run time and AQE drops the join.
 """
 
 from __future__ import annotations
@@ -23,8 +25,18 @@ from buildup.session import stage
 BLOCK_ROWS = 1_000_000
 
 
-def _with_block(df: DataFrame, order: str, block_rows: int) -> DataFrame:
-    return df.withColumn("_block", F.expr(f"`{order}` div {int(block_rows)}L"))
+def _with_block(df: DataFrame, keys: Sequence[str], order: str, block_rows: int) -> DataFrame:
+    """Add ``_block``, 0 throughout unless the group is large.
+
+    There is at most one large group for every ``block_rows`` rows, which bounds what is
+    broadcast; joined otherwise, a large group would meet in one task.
+    """
+    n, low, high = F.count("*"), F.min(order), F.max(order)
+    width = F.greatest(F.lit(1), F.floor((high - low + 1) * F.lit(float(block_rows)) / n))
+    large = df.groupBy(*keys).agg(n.alias("_n"), low.alias("_low"), width.cast("bigint").alias("_width"))
+    large = large.where(F.col("_n") > block_rows).drop("_n")
+    block = F.coalesce(F.expr(f"(`{order}` - _low) div _width"), F.lit(0).cast("bigint"))
+    return df.join(F.broadcast(large), list(keys), "left").select(*df.columns, block.alias("_block"))
 
 
 def _direction(column: str, descending: bool) -> Column:
@@ -44,7 +56,7 @@ def sessionize(
     inside = Window.partitionBy(key, "_block").orderBy(order)
     step = F.col(clock) - F.lag(clock).over(inside)
     rows = (
-        _with_block(df, order, block_rows)
+        _with_block(df, [key], order, block_rows)
         .withColumn("_cut", F.when(step > gap, 1).otherwise(0))
         .withColumn("_inside", F.sum("_cut").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     )
@@ -82,7 +94,7 @@ def running_sum(
 ) -> DataFrame:
     """Add ``name``: the sum of ``value`` over the group's rows up to and including this one."""
     keys = list(keys)
-    rows = _with_block(df, order, block_rows).withColumn("_value", value)
+    rows = _with_block(df, keys, order, block_rows).withColumn("_value", value)
     inside = (
         Window.partitionBy(*keys, "_block")
         .orderBy(_direction(order, descending))
@@ -138,13 +150,13 @@ def lags(
     cut = [*keys, "_block"]
     item = F.struct(value.alias("value"))
     inside = Window.partitionBy(*cut).orderBy(_direction(order, following))
-    rows = _with_block(df, order, block_rows).withColumn("_item", item)
+    blocks = _with_block(df, keys, order, block_rows)
+    rows = blocks.withColumn("_item", item)
     rows = rows.withColumns({f"_lag{i}": F.lag("_item", i).over(inside) for i in steps})
     # the rows of each block that the next block looks back to
     from_end = Window.partitionBy(*cut).orderBy(_direction("_order", not following))
     ends = (
-        _with_block(df, order, block_rows)
-        .select(*cut, F.col(order).alias("_order"), item.alias("_item"))
+        blocks.select(*cut, F.col(order).alias("_order"), item.alias("_item"))
         .withColumn("_rank", F.row_number().over(from_end))
         .where(F.col("_rank") <= len(names))
         .groupBy(*cut)

@@ -40,16 +40,23 @@ def _tenths(expression: str, modulus: int) -> str:
     return f"(({expression}) % {modulus}) / 10.0D"
 
 
-_ingested: dict[tuple[str, str], DataFrame] = {}
+_ingested: dict[tuple, DataFrame] = {}
 _lock = threading.Lock()
 
 
+def written_at(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Time of the last change and length of a file or folder, so that a rewritten input is read anew."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place)
+    return status.getModificationTime(), status.getLen()
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ingested event table: written once per application, then only scanned.
 
     Queries read it like any event table, with pruned columns and pushed filters.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, written_at(spark, f"{sf_dir}/events.parquet"))
     with _lock:
         if key not in _ingested:
             _ingested[key] = stage(event_view(spark, sf_dir), "events")

@@ -134,3 +134,12 @@ def test_event_view_does_not_depend_on_blocks(spark, sf_dir):
         standin.event_view(spark, sf_dir, block_rows=block).select("index", "possession", "type").collect()
     )
     assert pick(1_000_000) == pick(50)
+
+
+def test_sparse_order_values_leave_one_block_a_key(spark):
+    """Summary rows are as many as keys where no key is large, however far apart the values are."""
+    rows = spark.range(2000).selectExpr("id % 50 as key", "id * 1000003 as ord", "1L as value")
+    blocks = ordered._with_block(rows, ["key"], "ord", 100).select("key", "_block").distinct()
+    assert blocks.count() == 50
+    cut = ordered._with_block(rows, ["key"], "ord", 10).groupBy("key", "_block").count()
+    assert cut.count() <= 250 and cut.agg({"count": "max"}).first()[0] <= 11
