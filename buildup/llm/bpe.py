@@ -40,6 +40,8 @@ from buildup.llm.lattice import HashTable, Pieces, by_step
 
 CACHE_WORDS = 800_000
 CACHED_LENGTH = 48  # longer words are not kept between batches
+LONG = 128  # bytes; longer words are read one by one
+SPAN = 1 << 15  # bytes of a long word whose arcs are looked up at once
 NEVER = 1 << 40
 
 
@@ -121,6 +123,63 @@ class Automaton:
 
         ``words`` holds the bytes of all words, ``sizes`` their positive lengths.
         """
+        long = sizes > LONG
+        if not long.any():
+            return self._together(words, sizes)
+        starts = np.cumsum(sizes) - sizes
+        short, counts = np.repeat(~long, sizes), np.zeros(len(sizes), np.int64)
+        ids, counts[~long] = self._together(words[short], sizes[~long]) if short.any() else ([], [])
+        own = {i: self._alone(words[starts[i] : starts[i] + sizes[i]]) for i in np.flatnonzero(long).tolist()}
+        for i, found in own.items():
+            counts[i] = len(found)
+        out = np.empty(int(counts.sum()), np.int64)
+        out[np.repeat(~long, counts)] = ids
+        stops = np.cumsum(counts)
+        for i, found in own.items():
+            out[stops[i] - counts[i] : stops[i]] = found
+        return out, counts
+
+    def _alone(self, word: np.ndarray) -> list[int]:
+        """Token ids of one long word: the arcs between all neighbouring pieces first, then one walk over them."""
+        codes = word.astype(np.int64)
+        codes[-1] += 256
+        n = len(codes)
+        start, end, token = self.pieces.match(codes, np.full(n, n))
+        order = np.argsort(start, kind="stable")
+        start, end, token = start[order], end[order], token[order]
+        first = np.searchsorted(start, np.arange(n + 1))
+        by_end = np.argsort(end, kind="stable")
+        ends_at = np.searchsorted(end[by_end], np.arange(n + 2))
+        firsts, tokens, ends = first.tolist(), token.tolist(), end.tolist()
+        reached = [-1] * (n + 1)  # the piece whose arc ends there on the accepted path
+        origin = [-1] * len(tokens)
+        for piece in range(firsts[0], firsts[1]):
+            reached[ends[piece]] = piece
+        for low in range(1, n, SPAN):
+            high = min(n, low + SPAN)
+            before = by_end[ends_at[low] : ends_at[high]]  # pieces that end at a place of the span
+            width = first[end[before] + 1] - first[end[before]]
+            base = np.cumsum(width) - width
+            after = np.repeat(first[end[before]] - base, width) + np.arange(int(width.sum()))
+            pair = np.repeat(token[before], width) * self.size + token[after]
+            each, back = np.unique(pair, return_inverse=True)
+            arc = self.has_arc(each // self.size, each % self.size)[back].tolist()
+            at = dict(zip(before.tolist(), base.tolist()))
+            for place in range(low, high):
+                piece = reached[place]
+                if piece >= 0:
+                    lo = firsts[place]
+                    for k in range(firsts[place + 1] - lo):
+                        if arc[at[piece] + k]:
+                            reached[ends[lo + k]], origin[lo + k] = lo + k, piece
+        out, piece = [], reached[n]
+        while piece >= 0:
+            out.append(tokens[piece])
+            piece = origin[piece]
+        return out[::-1]
+
+    def _together(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``tokenize`` for many short words, which all take a step at a time."""
         last = np.cumsum(sizes)
         codes = words.astype(np.int64)
         codes[last - 1] += 256

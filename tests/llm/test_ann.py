@@ -39,7 +39,7 @@ def test_probing_finds_every_code_in_the_radius():
 def test_codes_of_other_sizes():
     rng = np.random.default_rng(1)
     for dim in (2, 64, 200):
-        coder = ann.Coder(rng.normal(size=(300, dim)))
+        coder = ann.Coder(rng.normal(size=(100, dim)), rounds=2)
         assert coder.codes(rng.normal(size=(5, dim))).shape == (5, ann.BITS // 16)
 
 

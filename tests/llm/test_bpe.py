@@ -60,6 +60,15 @@ def test_every_token_reads_as_the_library_reads_it(automaton, library):
     check(bpe.Encoder(automaton), library, texts)
 
 
+def test_long_words(automaton, library, monkeypatch):
+    rng = random.Random(9)
+    words = ["".join(rng.choice(a) for _ in range(n)) for a in ("ab", "ehtains", "é日x") for n in (127, 129, 700, 3000)]
+    check(bpe.Encoder(automaton), library, [*words, " ".join(words), "ab " + words[2] + " cd"])
+    monkeypatch.setattr(bpe, "SPAN", 50)
+    monkeypatch.setattr(bpe, "LONG", 3)
+    check(bpe.Encoder(automaton), library, [*words, " ".join(words), "the cat sat"])
+
+
 def test_a_full_cache_changes_nothing(automaton, library, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
     encoder = bpe.Encoder(automaton)
