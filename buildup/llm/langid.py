@@ -276,7 +276,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def keep_identified(df: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
+def keep_identified(df: DataFrame, model: LanguageModel, least: float = 0.3) -> DataFrame:
     """The rows whose text has a language with at least the share ``least``; columns are unchanged."""
     found = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("_row"))
     found = found.withColumn("_p", model.predict(F.col("_row.text")))
