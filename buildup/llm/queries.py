@@ -97,7 +97,23 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op8_warc")
+# five bits of the digest at a time are read from three of its hexadecimal digits
+_WARC = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) || '0' AS hex FROM pages
+), first AS (
+  SELECT body, max(page_id) AS first FROM p GROUP BY body
+)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(hex, 1 + (5 * i) // 4, 3))::INTEGER >> (7 - (5 * i) % 4)::INTEGER) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p JOIN first USING (body)
+"""
+
+
+@query("op8_warc", _WARC)
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_table_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path, min_bytes=0)
