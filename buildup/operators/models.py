@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel
 from pyspark.ml.feature import VectorAssembler
@@ -16,28 +18,45 @@ from buildup.operators import tokens
 COMPONENTS = {"Pass": 5, "Carry": 3}
 
 
+# Training rows of one partition of a mixture fit.
+PART_ROWS = 1_000_000
+MAX_STEPS = 20
+
+
 def fit_position_mixture(
-    normalized_events: DataFrame, event_type: str, seed: int = 42, max_iter: int = 20
+    normalized_events: DataFrame, event_type: str, keys: Sequence[str], seed: int = 42, max_iter: int = MAX_STEPS
 ) -> tuple[GaussianMixtureModel, DataFrame]:
-    """Gaussian mixture over start and end of one event type, and its training rows."""
+    """Gaussian mixture over start and end of one event type, and its training rows.
+
+    ``keys`` identify a row. The fit starts from rows drawn by partition; they are dealt by their key to a number
+    of partitions that follows from the number of rows, so the result does not depend on how they came.
+    ``model.summary.numIter`` below ``max_iter`` means that the fit converged.
+    """
     rows = normalized_events.where(F.col("type") == event_type).dropna(subset=tokens.AXES)
+    parts = 4 + rows.count() // PART_ROWS
+    rows = rows.repartition(parts, F.xxhash64(*keys)).sortWithinPartitions(*keys)
     vectors = VectorAssembler(inputCols=tokens.AXES, outputCol="features").transform(rows)
     estimator = GaussianMixture(k=COMPONENTS[event_type], seed=seed, maxIter=max_iter)
     return estimator.fit(vectors.select("features")), vectors
 
 
-def position_mixture(normalized_events: DataFrame) -> DataFrame:
-    """Weight and mean per component, with the mean log likelihood of the type."""
+def position_mixture(normalized_events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Weight, mean and covariance per component, heaviest first, with the mean log likelihood of the type."""
     spark = normalized_events.sparkSession
     rows = []
     for event_type in COMPONENTS:
-        model, vectors = fit_position_mixture(normalized_events, event_type)
+        model, vectors = fit_position_mixture(normalized_events, event_type, keys)
         n = vectors.count()
-        fit = float(model.summary.logLikelihood) / n
-        for i, (weight, gaussian) in enumerate(zip(model.weights, model.gaussians)):
-            rows.append((event_type, i, n, float(weight), fit, *[float(v) for v in gaussian.mean]))
-    schema = "type string, component int, n long, weight double, mean_log_likelihood double"
-    return spark.createDataFrame(rows, schema + "".join(f", mean_{a} double" for a in tokens.AXES))
+        fit, steps = float(model.summary.logLikelihood) / n, model.summary.numIter
+        parts = [
+            (float(w), [float(v) for v in g.mean], [float(v) for v in g.cov.toArray().ravel()])
+            for w, g in zip(model.weights, model.gaussians)
+        ]
+        for i, (weight, mean, covariance) in enumerate(sorted(parts, reverse=True)):
+            rows.append((event_type, i, n, steps, steps < MAX_STEPS, weight, fit, *mean, covariance))
+    schema = "type string, component int, n long, iterations int, converged boolean, weight double, mean_log_likelihood double"
+    means = "".join(f", mean_{a} double" for a in tokens.AXES)
+    return spark.createDataFrame(rows, schema + means + ", covariance array<double>")
 
 
 def next_type_rows(sequences: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -58,14 +77,25 @@ def next_type_rows(sequences: DataFrame, weights: dict[str, float] | None = None
     )
 
 
-def next_type_model(rows: DataFrame, max_iter: int = 30):
-    """Weighted multinomial regression of the next type."""
+def next_type_model(rows: DataFrame, max_iter: int = 200):
+    """Weighted multinomial regression of the next type.
+
+    ``model.summary.totalIterations`` below ``max_iter`` means that the fit converged.
+    """
     estimator = LogisticRegression(
-        family="multinomial", weightCol="weight", maxIter=max_iter, regParam=1e-4
+        family="multinomial", weightCol="weight", maxIter=max_iter, tol=1e-6, regParam=1e-4
     )
     return estimator.fit(rows.select("features", "label", "weight"))
 
 
+def class_mass(model, rows: DataFrame) -> DataFrame:
+    """Weighted sum of the predicted probabilities of every type: ``(truth, mass)``."""
+    from pyspark.ml.functions import vector_to_array
+
+    out = model.transform(rows).select("weight", F.posexplode(vector_to_array("probability")).alias("id", "p"))
+    return out.groupBy(labels.type_name(F.col("id")).alias("truth")).agg(F.sum(F.col("weight") * F.col("p")).alias("mass"))
+
+
 def predict_next(model, rows: DataFrame) -> DataFrame:
     """``truth``, ``predicted``, the probability ``p`` of the truth, and its weight."""
     from pyspark.ml.functions import vector_to_array

@@ -476,18 +476,62 @@ def best_run_per_phase(spark, sf_dir):
     return experiments.best_per_phase(run_table(spark, sf_dir))
 
 
-# ---- Spark ML models, rows only
+# ---- Spark ML models
+
+_MIXED = [f"{a}" for a in tokens.AXES]
+
+
+def mixture(spark, sf_dir):
+    rows = stage(seq.explode(normalized(spark, sf_dir)), "positions")
+    return models.position_mixture(rows, [*KEYS, "pos"])
+
 
 @query("position_mixture")
 def position_mixture(spark, sf_dir):
-    rows = stage(seq.explode(normalized(spark, sf_dir)), "positions")
-    return models.position_mixture(rows)
+    """Weight, mean and covariance of every component."""
+    return mixture(spark, sf_dir)
+
+
+@query("position_mixture_moments", f"""{views.NORM}
+SELECT type, count(*) AS n, 1.0::DOUBLE AS weights, {', '.join(f'round(avg({a}), 4) AS mean_{a}' for a in _MIXED)}
+FROM norm WHERE type IN ('Pass', 'Carry') AND {' AND '.join(f'{a} IS NOT NULL' for a in _MIXED)} GROUP BY type""")
+def position_mixture_moments(spark, sf_dir):
+    """After any step of the fit the weights sum to 1, and the weighted means to the mean of the data."""
+    parts = mixture(spark, sf_dir)
+    return parts.groupBy("type").agg(
+        F.max("n").alias("n"),
+        F.round(F.sum("weight"), 6).alias("weights"),
+        *[F.round(F.sum(F.col("weight") * F.col(f"mean_{a}")), 4).alias(f"mean_{a}") for a in _MIXED],
+    )
 
 
-@query("next_type_model")
+@query("next_type_model", f"""{views.SEQ}, pairs AS (
+  SELECT b.type AS truth, {views.SPLIT_OF.replace('match_id', 'a.match_id').replace('possession', 'a.possession')} AS split
+  FROM tok a JOIN tok b ON a.match_id = b.match_id AND a.possession = b.possession AND b.pos = a.pos + 1)
+SELECT truth, count(*) AS n, round(sum({_WEIGHT_CASE.format(c='truth')}), 3) AS weighted, 1.0::DOUBLE AS mass_share
+FROM pairs WHERE split = 'train' GROUP BY truth""")
 def next_type_model(spark, sf_dir):
+    """Training rows by next type, and the share of their weight that the model's probabilities sum up to.
+
+    The intercepts carry no penalty, so at the optimum that share is 1 for every type.
+    """
+    rows = stage(splits.with_split(models.next_type_rows(normalized(spark, sf_dir), WEIGHTS)), "next-type")
+    train = rows.where("split = 'train'")
+    counts = train.groupBy(F.col("target_type").alias("truth")).agg(
+        F.count("*").alias("n"), F.sum("weight").alias("weighted")
+    )
+    mass = models.class_mass(models.next_type_model(train), train)
+    return counts.join(mass, "truth").select(
+        "truth", "n", F.round("weighted", 3).alias("weighted"), F.round(F.col("mass") / F.col("weighted"), 2).alias("mass_share")
+    )
+
+
+@query("next_type_loss")
+def next_type_loss(spark, sf_dir):
+    """Mean loss of each type on the rows that were not learnt from, with the iterations of the fit."""
     rows = stage(splits.with_split(models.next_type_rows(normalized(spark, sf_dir), WEIGHTS)), "next-type")
     model = models.next_type_model(rows.where("split = 'train'"))
     held = models.predict_next(model, rows.where("split <> 'train'"))
     losses = held.groupBy("truth").agg(F.avg(-F.ln("p")).alias("loss"))
-    return metrics.accuracy_by_type(held).join(F.broadcast(losses), "truth")
+    steps = F.lit(model.summary.totalIterations)
+    return metrics.accuracy_by_type(held).join(losses, "truth").withColumns({"iterations": steps, "converged": steps < 200})
