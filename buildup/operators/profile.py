@@ -185,7 +185,11 @@ def distance_histogram(
     )
 
 
-def carry_threshold_summary(distances: DataFrame, thresholds: Sequence[float] = (1, 2, 3, 5, 8)) -> DataFrame:
+# The carry thresholds that are compared.
+THRESHOLDS = (1, 2, 3, 5, 8)
+
+
+def carry_threshold_summary(distances: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
     """How many carries reach each threshold, all thresholds from one scan."""
     carries = distances.where(F.col("type") == "Carry")
     counts = carries.agg(

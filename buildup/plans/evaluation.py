@@ -116,6 +116,7 @@ def fixed_sample(spark, sf_dir):
     return splits.fixed_sample(goals(spark, sf_dir), 1000).select(*KEYS, *big("goal"))
 
 
+# Thresholds and contexts of the sweep.
 THRESHOLDS = [1, 2, 3, 5, 8]
 CONTEXTS = [2, 5, 8, 10, 14, 18, 23]
 

@@ -13,6 +13,7 @@ from buildup.plans.registry import query
 from buildup.sources import standin
 
 KEYS = seq.KEYS
+# The percentiles of possession lengths.
 POINTS = [10, 25, 50, 75, 80, 85, 90, 95, 99, 100]
 
 _LENGTHS = f"""{views.EV}, len AS (

@@ -362,6 +362,7 @@ def action_contributions(spark, sf_dir):
 
 # ---- runs
 
+# Thresholds and contexts of the runs.
 RUN_THRESHOLDS = [1, 2, 3, 5, 8]
 RUN_CONTEXTS = [2, 5, 8, 10, 14]
 

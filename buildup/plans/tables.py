@@ -116,6 +116,16 @@ def union_by_name(spark, sf_dir):
     return readers.combine([customers, suppliers])
 
 
+@query("event_scan", f"""{views.EV}
+SELECT type, count(*) AS n, count(x) AS located FROM ev GROUP BY type""")
+def event_scan(spark, sf_dir):
+    """A written event table, read again with two of its columns."""
+    path = session.new_table_path(spark, "event-table")
+    all_events(spark, sf_dir).write.parquet(path)
+    rows = readers.read_events(spark, path, ["type", "location"])
+    return rows.groupBy("type").agg(F.count("*").alias("n"), F.count("location").alias("located"))
+
+
 @query("essential_columns", f"""{views.EV}
 SELECT index, type, x, y, possession, possession_team, minute, second, team, player, match_id, pass_x, pass_y,
   carry_x, carry_y, shot_outcome FROM ev""")

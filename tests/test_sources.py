@@ -126,3 +126,13 @@ def test_round_trips_keep_the_data_of_earlier_calls(spark):
         large = catalogue[name](spark, "/root/testdata/sf0.01")
         total = lambda df: df.agg({"possessions" if "possessions" in df.columns else "n": "sum"}).first()[0]
         assert 0 < total(small) < total(large)
+
+
+def test_clean_removes_the_staged_tables(spark, monkeypatch, tmp_path):
+    from buildup import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda spark: f"file://{tmp_path}")
+    session.stage(spark.range(3), "numbers")
+    assert list(tmp_path.glob("*/numbers-*"))
+    session.clean(spark)
+    assert not list(tmp_path.iterdir())
