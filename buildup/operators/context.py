@@ -1,9 +1,9 @@
 """Goal rate by recent context, with back-off to shorter contexts.
 
-A context is the text of up to three ``type:cell`` tokens. Rows are reduced
-to one per distinct context first: the back-off joins then run on contexts,
-where no key repeats, and a context that holds a large part of the data costs
-as much as any other.
+A context is up to three tokens of event type and cell, packed into one integer: eight bits a token, the
+token that the longest back-off keeps in the lowest. Shorter contexts are its low bits. Rows are
+reduced to one per distinct context first: the back-off joins then run on contexts, where no key
+repeats, and a context that holds a large part of the data costs as much as any other.
 """
 
 from __future__ import annotations
@@ -14,39 +14,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buildup import ordered
-from buildup.functions import pitch
+from buildup.functions import labels, pitch
 from buildup.session import stage
 
 KEYS = ["match_id", "possession"]
 SIZE = 3
 ALPHA = 20.0
 BINS_X, BINS_Y = 6, 4
+BITS, CELLS = 8, 32  # of a token; cells of a type, and one for no place
+MOST_BROADCAST = 1_000_000  # contexts, of about 20 bytes
 
 
 def token(event_type: Column, x: Column, y: Column) -> Column:
-    """``type:cell`` on a coarse grid."""
-    number = pitch.cell(x, y, BINS_X, BINS_Y).cast("string")
-    return F.concat_ws(":", event_type, F.coalesce(number, F.lit("-")))
+    """Number of a type of the vocabulary and a cell of a coarse grid, 1 to 255."""
+    cell = F.coalesce(pitch.cell(x, y, BINS_X, BINS_Y) + 1, F.lit(0))
+    return (labels.type_id(event_type) * CELLS + cell + 1).cast("int")
+
+
+def _packed(tokens: Sequence[Column]) -> Column:
+    """Context of the given tokens, the one to keep longest first; missing ones are 0."""
+    parts = [F.shiftleft(F.coalesce(t, F.lit(0)), BITS * i) for i, t in enumerate(tokens)]
+    return parts[0].bitwiseOR(parts[1]).bitwiseOR(parts[2])
+
+
+def shortened(context: Column, tokens: int) -> Column:
+    return context.bitwiseAND(F.lit((1 << BITS * tokens) - 1))
+
+
+def context_text(context: Column, latest_last: bool = False) -> Column:
+    """The tokens of a context as ``type:cell``, joined by ``|`` in the order of the events."""
+    places = [BITS * i for i in range(SIZE)]
+    numbers = F.array(*[shortened(F.shiftright(context, i), 1) for i in (reversed(places) if latest_last else places)])
+
+    def name(t: Column) -> Column:
+        cell = (t - 1) % CELLS
+        number = F.when(cell == 0, "-").otherwise((cell - 1).cast("string"))
+        return F.concat_ws(":", labels.type_name(F.floor((t - 1) / CELLS).cast("int")), number)
+
+    return F.array_join(F.transform(F.filter(numbers, lambda t: t > 0), name), "|")
 
 
 def start_keys(sequences: DataFrame) -> DataFrame:
-    """Keys ``k3``, ``k2``, ``k1`` from the first events of each sequence."""
+    """``context`` of the first events of each sequence."""
     inputs = F.slice("events", 1, F.least(F.lit(SIZE), F.size("events") - 1))
     words = F.transform(inputs, lambda e: token(e["type"], e["x"], e["y"]))
-    return sequences.withColumn("_words", words).withColumns(
-        {f"k{i}": F.array_join(F.slice("_words", 1, i), "|") for i in (3, 2, 1)}
-    ).drop("_words")
+    rows = sequences.withColumn("_words", words)
+    return rows.withColumn("context", _packed([F.get("_words", F.lit(i)) for i in range(SIZE)])).drop("_words")
 
 
 def sliding_keys(moves: DataFrame, block_rows: int = ordered.BLOCK_ROWS) -> DataFrame:
-    """Keys from the up to three latest events of the possession, the current one included."""
+    """``context`` of the up to three latest events of the possession, the current one included."""
     rows = moves.withColumn("_word", token(F.col("type"), F.col("x"), F.col("y")))
     rows = ordered.lags(rows, KEYS, "index", F.col("_word"), ["_p1", "_p2"], block_rows=block_rows)
     return rows.withColumns(
         {
-            "k3": F.concat_ws("|", "_p2", "_p1", "_word"),
-            "k2": F.concat_ws("|", "_p1", "_word"),
-            "k1": F.col("_word"),
+            "context": _packed([F.col("_word"), F.col("_p1"), F.col("_p2")]),
             "context_size": F.expr("1 + int(_p1 is not null) + int(_p2 is not null)"),
         }
     ).drop("_word", "_p1", "_p2")
@@ -55,16 +77,16 @@ def sliding_keys(moves: DataFrame, block_rows: int = ordered.BLOCK_ROWS) -> Data
 def rates(keyed: DataFrame, training: Column, alpha: float = ALPHA) -> DataFrame:
     """``score`` per distinct context, learnt from the rows where ``training`` holds.
 
-    ``keyed`` has ``k3``, ``k2``, ``k1`` and a 0/1 ``label``. The longest
-    context seen in training decides; its rate is smoothed by the overall rate
-    with ``alpha`` pseudo-rows. The counts per context are staged: every level
-    is a sum over them.
+    ``keyed`` has ``context`` and a 0/1 ``label``. The longest context seen in
+    training decides; its rate is smoothed by the overall rate with ``alpha``
+    pseudo-rows. The counts per context are staged: every level is a sum over them.
     """
-    contexts = keyed.groupBy("k3", "k2", "k1").agg(
+    contexts = keyed.groupBy("context").agg(
         F.count_if(training).alias("n3"),
         F.sum(F.when(training, F.col("label")).otherwise(0)).alias("g3"),
     )
-    contexts = stage(contexts, "context-counts")
+    shorter = {f"k{i}": shortened(F.col("context"), i) for i in (2, 1)}
+    contexts = stage(contexts, "context-counts").withColumns(shorter)
     totals = lambda by, i: contexts.groupBy(*by).agg(
         F.sum("n3").alias(f"n{i}"), F.sum("g3").alias(f"g{i}")
     )
@@ -79,10 +101,21 @@ def rates(keyed: DataFrame, training: Column, alpha: float = ALPHA) -> DataFrame
 
     level = F.when(F.col("n3") > 0, 3).when(F.col("n2") > 0, 2).when(F.col("n1") > 0, 1).otherwise(0)
     return joined.select(
-        "k3", level.alias("level"), F.coalesce(smooth(3), smooth(2), smooth(1), "base").alias("score")
+        "context", level.alias("level"), F.coalesce(smooth(3), smooth(2), smooth(1), "base").alias("score")
     )
 
 
+def with_rates(keyed: DataFrame, training: Column) -> DataFrame:
+    """Join each row of a staged table with the score of its context.
+
+    Rows share few contexts, some of them very many, so the scores are broadcast if they are as few as the
+    vocabulary makes likely; their number is counted before.
+    """
+    scores = stage(rates(keyed, training), "context-rates")
+    few = scores.count() <= MOST_BROADCAST
+    return keyed.join(F.broadcast(scores) if few else scores, "context")
+
+
 def score_possessions(
     sequences: DataFrame, training: Column, scorer: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
@@ -96,26 +129,26 @@ def score_possessions(
         return scorer(labelled)
     # the sequences are built once: the table of contexts and the final join read the keyed rows
     keyed = stage(start_keys(labelled).drop("events"), "keyed")
-    return keyed.drop("k2", "k1").join(rates(keyed, training), "k3")
+    return with_rates(keyed, training)
 
 
 def score_actions(
     moves: DataFrame,
-    labels: DataFrame,
+    outcomes: DataFrame,
     training: Column,
     scorer: Callable[[DataFrame], DataFrame] | None = None,
     block_rows: int = ordered.BLOCK_ROWS,
 ) -> DataFrame:
     """``score`` of every event from its sliding context.
 
-    ``labels`` has one row per possession with its 0/1 ``label`` and whatever
+    ``outcomes`` has one row per possession with its 0/1 ``label`` and whatever
     ``training`` looks at.
     """
-    keyed = sliding_keys(moves, block_rows).join(labels, KEYS)
+    keyed = sliding_keys(moves, block_rows).join(outcomes, KEYS)
     if scorer is not None:
         return scorer(keyed)
     keyed = stage(keyed, "contexts")  # read by the table of contexts and by the final join
-    return keyed.drop("k2", "k1").join(rates(keyed, training), "k3")
+    return with_rates(keyed, training)
 
 
 def with_contribution(

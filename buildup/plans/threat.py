@@ -134,7 +134,7 @@ def context_goal_rate(spark, sf_dir):
     rows = splits.with_split(sequences(spark, sf_dir))
     rows = rows.withColumn("label", F.when(F.col("goal") == 1, 1).otherwise(0))
     rates = context.rates(context.start_keys(rows), F.col("split") == "train")
-    return rates.select(F.col("k3").alias("context"), *big("level"), F.round("score", 6).alias("score"))
+    return rates.select(context.context_text(F.col("context")).alias("context"), *big("level"), F.round("score", 6).alias("score"))
 
 
 @query("score_possessions", f"""{_START}
@@ -174,7 +174,9 @@ w2 AS (SELECT *, concat_ws('|', p2, p1, w) AS k3, concat_ws('|', p1, w) AS k2, w
 SELECT match_id, possession, index, k3 AS context, CAST(size AS BIGINT) AS context_size FROM w2""")
 def sliding_context(spark, sf_dir):
     rows = context.sliding_keys(moves(spark, sf_dir))
-    return rows.select(*KEYS, "index", F.col("k3").alias("context"), *big("context_size"))
+    return rows.select(
+        *KEYS, "index", context.context_text(F.col("context"), latest_last=True).alias("context"), *big("context_size")
+    )
 
 
 ACTIONS = f"""{_SLIDING}, keyed AS (

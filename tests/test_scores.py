@@ -133,19 +133,29 @@ def test_contributions_add_up(spark):
 def test_sliding_context_does_not_depend_on_blocks(spark, sf_dir):
     base = moves(spark, sf_dir)
     pick = lambda b: sorted(
-        map(tuple, context.sliding_keys(base, b).select("match_id", "index", "k3", "k2", "k1", "context_size").collect())
+        map(tuple, context.sliding_keys(base, b).select("match_id", "index", "context", "context_size").collect())
     )
     assert pick(1_000_000) == pick(20)
 
 
 def test_context_rates_back_off(spark):
-    rows = [("a|b|c", "a|b", "a", 1, True), ("a|b|d", "a|b", "a", 0, True), ("a|b|e", "a|b", "a", 0, False),
-            ("z", "z", "z", 1, False)]
-    df = spark.createDataFrame(rows, "k3 string, k2 string, k1 string, label int, seen boolean")
-    got = {r.k3: (r.level, r.score) for r in context.rates(df, F.col("seen"), alpha=2.0).collect()}
-    assert got["a|b|c"] == (3, pytest.approx((1 + 2 * 0.5) / 3))
-    assert got["a|b|e"] == (2, pytest.approx((1 + 2 * 0.5) / 4))
-    assert got["z"] == (0, 0.5)
+    pack = lambda *tokens: sum(t << 8 * i for i, t in enumerate(tokens))
+    rows = [(pack(1, 2, 3), 1, True), (pack(1, 2, 4), 0, True), (pack(1, 2, 5), 0, False), (pack(9), 1, False)]
+    df = spark.createDataFrame(rows, "context int, label int, seen boolean")
+    got = {r.context: (r.level, r.score) for r in context.rates(df, F.col("seen"), alpha=2.0).collect()}
+    assert got[pack(1, 2, 3)] == (3, pytest.approx((1 + 2 * 0.5) / 3))
+    assert got[pack(1, 2, 5)] == (2, pytest.approx((1 + 2 * 0.5) / 4))
+    assert got[pack(9)] == (0, 0.5)
+
+
+def test_contexts_read_as_text(spark):
+    rows = [("Pass", 0.0, 0.0), ("Carry", 119.0, 79.0), ("Shot", None, None)]
+    df = spark.createDataFrame(rows, "type string, x double, y double")
+    tokens = [r[0] for r in df.select(context.token(F.col("type"), F.col("x"), F.col("y"))).collect()]
+    packed = tokens[0] | tokens[1] << 8 | tokens[2] << 16
+    one = spark.createDataFrame([(packed,), (tokens[1],)], "c int")
+    assert [r[0] for r in one.select(context.context_text(F.col("c"))).collect()] == ["Pass:0|Carry:23|Shot:-", "Carry:23"]
+    assert one.select(context.context_text(F.col("c"), True)).first()[0] == "Shot:-|Carry:23|Pass:0"
 
 
 def test_own_scorer(spark, sf_dir):
