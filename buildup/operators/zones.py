@@ -9,6 +9,7 @@ from buildup.functions import pitch
 from buildup.functions.labels import MOVEMENT_TYPES
 
 KEYS = ["match_id", "possession"]
+WORD = 62  # cells in a long
 
 
 def located(events: DataFrame) -> DataFrame:
@@ -39,15 +40,31 @@ def _rates(rows: DataFrame) -> DataFrame:
 def shot_rate_through(events: DataFrame, bins: int = 12) -> DataFrame:
     """Per cell: possessions that touch it and the percentage of them with a shot.
 
-    One aggregation per possession gathers its shot flag and its set of cells
-    (at most ``bins * bins``), already merged before the shuffle.
+    One aggregation per possession gathers its shot flag and its cells, as bits of a few long columns: it
+    stays a hash aggregation, and is merged before the shuffle.
     """
-    rows = _with_cell(located(events), bins)
+    words = -(-bins * bins // WORD)
+    cell = F.expr(f"y_bin * {bins} + x_bin")
+    rows = _with_cell(located(events), bins).withColumn("_cell", cell)
     touched = rows.groupBy(*KEYS).agg(
         F.max(F.when(F.col("type") == "Shot", 1).otherwise(0)).alias("has_shot"),
-        F.collect_set(F.struct("x_bin", "y_bin")).alias("cells"),
+        *[
+            F.bit_or(F.expr(f"if(_cell div {WORD} = {w}, shiftleft(1L, cast(_cell % {WORD} as int)), 0L)")).alias(f"_m{w}")
+            for w in range(words)
+        ],
+    )
+    bits = [
+        f"transform(filter(sequence(0, {WORD - 1}), b -> (shiftright(_m{w}, b) & 1L) = 1L), b -> b + {w * WORD})"
+        for w in range(words)
+    ]
+    cells = touched.select("has_shot", F.explode(F.expr(f"concat({', '.join(bits)})")).alias("_cell"))
+    return _rates(
+        cells.select(
+            "has_shot",
+            F.expr(f"cast(_cell % {bins} as int)").alias("x_bin"),
+            F.expr(f"cast(_cell div {bins} as int)").alias("y_bin"),
+        )
     )
-    return _rates(touched.select("has_shot", F.explode("cells").alias("c")).select("has_shot", "c.*"))
 
 
 def shot_rate_start(events: DataFrame, bins: int = 12) -> DataFrame:
