@@ -212,3 +212,16 @@ def test_rows_without_score_or_label_take_no_part(spark):
         two = {r.score: r.calibrated for r in calibrate.calibrate(holes, holes, method).where("label is not null").collect()}
         assert two.pop(None) is None
         assert two == pytest.approx(one)
+
+
+def test_mixture_does_not_depend_on_partitions(spark, sf_dir):
+    from buildup.operators import models
+    from buildup.session import stage
+
+    rows = stage(seq.explode(seq.normalize(seq.from_events(moves(spark, sf_dir)))), "positions")
+    fits = [
+        [(r.type, r.component, round(r.weight, 6), [round(v, 6) for v in r.covariance]) for r in parts.collect()]
+        for parts in (models.position_mixture(rows.repartition(n), [*seq.KEYS, "pos"]) for n in (3, 7))
+    ]
+    assert fits[0] == fits[1]
+    assert [len([f for f in fits[0] if f[0] == kind]) for kind in ("Pass", "Carry")] == [5, 3]
