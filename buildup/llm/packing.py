@@ -19,10 +19,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildup.llm.common import prepare, text_hash
+from buildup.llm.common import prepare
 
 LENGTH = 2048
 SHARD_BYTES = 32 << 20  # of packed ids in a shard, on average
@@ -114,7 +115,6 @@ def pack(
     """
     prepare(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{ids}`").alias("ids"))
-    rows = rows.where(F.octet_length("ids") > 0)
     if total_bytes is None:
         total_bytes = rows.agg(F.sum(F.octet_length("ids").cast("bigint"))).first()[0] or 0
     shards = max(1, -(-total_bytes // shard_bytes))
@@ -122,12 +122,14 @@ def pack(
     kind, place = f"<u{width}", "<u2" if length <= 65_536 else "<u4"
 
     def run(group: pa.Table) -> pa.Table:
+        # empty ids are left out here: a filter before the shuffle would make Spark compute the ids twice
+        group = group.filter(pc.greater(pc.binary_length(group["ids"]), 0))
         keys, values = group["doc_id"].to_pylist(), group["ids"].to_pylist()
         order = sorted(range(len(keys)), key=lambda i: (keys[i] is None, keys[i] or 0, values[i]))
         keys = [keys[i] for i in order]
         documents = [np.frombuffer(values[i], kind) for i in order]
         out = {name.split()[0]: [] for name in _PACKED.split(", ")}
-        shard = group["shard"][0].as_py()
+        shard = group["shard"][0].as_py() if keys else None
         for number, pieces in enumerate(pack_shard(documents, length)):
             line, position = np.full(length, pad, kind), np.zeros(length, place)
             ends = np.cumsum([end - start for _, start, end in pieces])
