@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from buildup.llm.common import prepare
 from buildup.llm.lattice import HashTable, Pieces, by_step
 
-CACHE_WORDS = 800_000
+CACHE_WORDS = 200_000  # in each of two generations
 CACHED_LENGTH = 48  # longer words are not kept between batches
 LONG = 128  # bytes; longer words are read one by one
 SPAN = 1 << 15  # bytes of a long word whose arcs are looked up at once
@@ -227,6 +227,7 @@ class Encoder:
     def __init__(self, automaton: Automaton):
         self.automaton = automaton
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.parts = regex.compile(automaton.pattern + "|\n")
         self.special = re.compile("(" + "|".join(map(re.escape, automaton.special)) + ")")
         # str.split also splits at these four separators, which are not white space here
@@ -277,9 +278,11 @@ class Encoder:
         """Ids of each text as little-endian 32-bit integers."""
         split = [self.words(text) for text in texts]
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        new = self._learn(list(set(chain.from_iterable(split)).difference(cache)))
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
+        missing = set(chain.from_iterable(split)).difference(cache)
+        cache.update({word: older[word] for word in missing if word in older})
+        new = self._learn([word for word in missing if word not in older])
         cache.update(new)
         out = [b"".join(map(cache.__getitem__, words)) for words in split]
         for word in new:
