@@ -1,22 +1,32 @@
-"""Removal of repeated passages by content-defined chunks of lines.
+"""Removal of repeated passages.
 
-A line ends a chunk where a rolling hash over its own and the previous line's hash is zero modulo ``MEAN``. The
-boundaries depend on nearby lines only, so the same passage is cut alike wherever it stands. Chunks of two or
-more lines that occur again anywhere are removed except for their first occurrence, by the smallest document
-id, then text hash, then place. Hashes only name candidates: their bytes are compared before anything is
-removed, and where different chunks share a hash, equal bytes decide.
+Two kinds of repeats go, except for their first occurrence, by the smallest document id, then text hash, then place:
+
+* Content-defined chunks of two or more lines. A line ends a chunk where a rolling hash over its own and the previous
+  line's hash is zero modulo ``MEAN``, so the same passage is cut alike wherever it stands.
+* Passages of more than ``WORDS`` words, whatever surrounds them. Lines are the pieces of a text, and a line of more
+  than ``WORDS`` words is cut into its sentences. A piece is repeated where it and a neighbour, with what separates
+  them, occurred before, or where it alone has more than ``WORDS`` words and occurred before. A run of repeated
+  pieces that has more than ``WORDS`` words goes; its pieces may have occurred in several documents.
+
+Hashes only name candidates: their bytes are compared before anything is removed, and where different bytes share a
+hash, equal bytes decide. The first occurrence of a piece stays, unless it lies in a chunk that goes.
 
 Defined cases: null texts stay null and empty texts empty; a text that loses all lines is empty; null ids come
-last; rows equal in id and text are one document, so they keep or lose the same chunks; a chunk that a
-document repeats stays at its first place; single lines are never removed.
+last; rows equal in id and text are one document, so they keep or lose the same lines; a repeat within a document
+stays at its first place, and of a piece that follows itself one stays; texts of up to ``WORDS`` words have no
+passages. Repeats of up to ``WORDS`` words go only as chunks.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +36,7 @@ from buildup.llm.common import prepare, text_hash, whole_rows
 from buildup.session import stage
 
 MEAN = 3  # lines in a chunk, on average
+WORDS = 50  # a passage has more
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,40 +58,119 @@ def chunks(text: str | None) -> list[tuple[int, int, int]]:
     ]
 
 
-_CHUNK = T.StructType().add("start", "integer").add("lines", "integer").add("h", "long")
-
-
-def _chunks(hash_bits: int):
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+# a plain character class in front lets the search skip ahead
+_SENTENCE = re.compile(r"([.!?。！？][.!?。！？]*(?:(?<=[。！？])|[\"'”’»)\]]*(?=\s)))\s*")
+
+
+def _long(text: str) -> bool:
+    return len(text) > 2 * WORDS and len(text.split(None, WORDS)) > WORDS
+
+
+def pieces(text: str) -> list[tuple[int, int, int]]:
+    """``(from, to, line)`` of every line, or of the sentences of a long line, without what separates them."""
+    out, at = [], 0
+    for i, line in enumerate(text.split("\n")):
+        a = 0
+        if len(line) > 2 * WORDS and _long(line):
+            for found in _SENTENCE.finditer(line):
+                end = found.end()
+                if end < len(line):
+                    out.append((at + a, at + found.end(1), i))
+                    a = end
+        out.append((at + a, at + len(line), i))
+        at += len(line) + 1
+    return out
+
+
+def candidates(text: str | None) -> list[tuple[int, int, int, bool]]:
+    """``(first, number, hash, chunk)``: the chunks in lines, then neighbouring pieces and long ones in pieces."""
+    out = [(*found, True) for found in chunks(text)]
+    if text and _long(text):
+        cut = pieces(text)
+        digest = xxhash.xxh64_intdigest
+        parts = [digest(text[a:b].encode("utf-8", "surrogatepass")) for a, b, _ in cut]
+        alone = np.array(parts, np.uint64)
+        between = [digest(text[one[1] : two[0]]) for one, two in zip(cut, cut[1:])]
+        pairs = (alone[:-1] * _TURN ^ alone[1:]) * _TURN + np.array(between, np.uint64)
+        pairs = ((pairs ^ pairs >> np.uint64(29)) * _TURN).view(np.int64).tolist()
+        out += [(k, 2, h, False) for k, h in enumerate(pairs)]
+        out += [(k, 1, parts[k] - 2**63, False) for k, (a, b, _) in enumerate(cut) if _long(text[a:b])]
+    return out
+
+
+def without(text: str, cuts: list[tuple[int, int, bool]]) -> str:
+    """``text`` without the chunks among the repeats ``(first, number, chunk)`` and the long runs of the others."""
+    gone = {i for s, n, chunk in cuts if chunk for i in range(s, s + n)}
+    again = {i for s, n, chunk in cuts if not chunk for i in range(s, s + n)}
+    if not again:
+        return "\n".join([line for i, line in enumerate(text.split("\n")) if i not in gone])
+    cut = pieces(text)
+    lost, run, words = set(), [], 0
+    for k, (a, b, _) in enumerate([*cut, (0, 0, 0)]):
+        if k in again:
+            run.append(k)
+            words += len(text[a:b].split())
+        elif run:
+            lost.update(run if words > WORDS else ())
+            run, words = [], 0
+    out, last = [], None
+    for k, (a, b, line) in enumerate(cut):
+        if line in gone or k in lost:
+            continue
+        if line != last:
+            out.append(text[a:b])
+        else:
+            # what stood before the piece in its line stays between them
+            out[-1] += text[cut[k - 1][1] : b]
+        last = line
+    return "\n".join(out)
+
+
+_FOUND = T.StructType().add("start", "integer").add("lines", "integer").add("h", "long").add("chunk", "boolean")
+
+
+def _candidates(hash_bits: int):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
         for batch in batches:
-            yield pd.Series(
-                [[{"start": s, "lines": n, "h": h >> (64 - hash_bits)} for s, n, h in chunks(t)] for t in batch]
+            found = [candidates(t) for t in batch.to_pylist()]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            columns = list(zip(*chain.from_iterable(found))) or [()] * 4
+            columns[2] = [h >> (64 - hash_bits) for h in columns[2]] if hash_bits < 64 else columns[2]
+            flat = pa.StructArray.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=_FOUND.fieldNames()
             )
+            yield pa.ListArray.from_arrays(pa.array(ends), flat)
 
-    return F.pandas_udf(run, T.ArrayType(_CHUNK))
+    return F.arrow_udf(run, T.ArrayType(_FOUND))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _passages(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The texts of the chunks at ``starts``."""
-    for text, starts, sizes in batches:
+def _passages(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The texts of the candidates at ``starts``."""
+    for text, starts, sizes, kinds in batches:
         out = []
-        for t, at, n in zip(text, starts, sizes):
-            lines = t.split("\n")
-            out.append(["\n".join(lines[s : s + k]) for s, k in zip(at, n)])
+        for t, at, n, chunk in zip(text, starts, sizes, kinds):
+            at, n, chunk = at.tolist(), n.tolist(), chunk.tolist()
+            lines = t.split("\n") if any(chunk) else []
+            cut = [] if all(chunk) else pieces(t)
+            out.append(
+                [
+                    "\n".join(lines[s : s + k]) if c else t[cut[s][0] : cut[s + k - 1][1]]
+                    for s, k, c in zip(at, n, chunk)
+                ]
+            )
         yield pd.Series(out)
 
 
 @F.pandas_udf(T.StringType())
-def _without(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Texts without the lines of the chunks at ``starts``; no starts change nothing."""
-    for text, starts, sizes in batches:
+def _without(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Texts without the repeats at ``starts``; no starts change nothing."""
+    for text, starts, sizes, kinds in batches:
         out = []
-        for t, at, n in zip(text, starts, sizes):
+        for t, at, n, chunk in zip(text, starts, sizes, kinds):
             if at is not None and len(at):
-                lines = t.split("\n")
-                gone = {i for s, k in zip(at, n) for i in range(s, s + k)}
-                t = "\n".join([line for i, line in enumerate(lines) if i not in gone])
+                t = without(t, list(zip(at.tolist(), n.tolist(), chunk.tolist())))
             out.append(t)
         yield pd.Series(out, dtype=object)
 
@@ -101,54 +191,63 @@ def _key(doc_id, text) -> list:
 def repeated(
     df: DataFrame, id_col: str = "doc_id", text: str = "text", hash_bits: int = 64
 ) -> DataFrame:
-    """``(no_id, id, text_hash, start, lines)`` of every chunk that is to go; any ``hash_bits`` give the same."""
+    """``(no_id, id, text_hash, start, lines, chunk)`` of every candidate that occurred before.
+
+    Equal rows give theirs as often as they stand. Any ``hash_bits`` give the same.
+    """
     prepare(df.sparkSession)
     rows = df.select(*_key(F.col(f"`{id_col}`"), F.col(f"`{text}`")), F.col(f"`{text}`").alias("text"))
-    found = rows.where("instr(text, '\\n') > 0").select(*_KEY, F.explode(_chunks(hash_bits)("text")).alias("c"))
-    found = stage(found.select(*_KEY, "c.start", "c.lines", "c.h"), "chunks")
+    some = rows.where(f"instr(text, '\\n') > 0 or length(text) > {2 * WORDS}")
+    found = some.select(*_KEY, F.explode(_candidates(hash_bits)("text")).alias("c"))
+    found = stage(found.select(*_KEY, "c.*"), "chunks")
     place = F.struct(*_KEY, "start")
-    groups = found.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    hits = found.join(groups.select("h", "first"), "h").select(
-        *_KEY, "start", "lines", "h", (place != F.col("first")).alias("again")
+    same = ["h", "chunk"]
+    groups = found.groupBy(*same).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+    hits = found.join(groups.select(*same, "first"), same).select(
+        *_KEY, "start", "lines", *same, (place != F.col("first")).alias("again")
     )
     hits = stage(hits, "hits")
-    listed = hits.groupBy(*_KEY).agg(F.sort_array(F.collect_set(F.struct("start", "lines", "h"))).alias("cuts"))
+    span = F.struct("start", "lines", *same)
+    listed = hits.groupBy(*_KEY).agg(F.sort_array(F.collect_set(span)).alias("cuts"))
     # the lists grow with the documents: the same join at every size
     passages = (
         rows.join(listed.hint("merge"), _KEY)
-        .withColumn("texts", _passages("text", "cuts.start", "cuts.lines"))
+        .withColumn("texts", _passages("text", "cuts.start", "cuts.lines", "cuts.chunk"))
         .select(*_KEY, F.explode(F.arrays_zip("cuts", "texts")).alias("z"))
-        .select(*_KEY, "z.cuts.start", "z.cuts.lines", "z.cuts.h", F.col("z.texts").alias("passage"))
+        .select(*_KEY, "z.cuts.*", F.col("z.texts").alias("passage"))
     )
     # equal bytes throughout a hash, or not
-    compared = passages.groupBy("h").agg(F.min("passage").alias("a"), F.max("passage").alias("b"))
-    mixed = stage(compared.where("a <> b").select("h"), "mixed")
+    compared = passages.groupBy(*same).agg(F.min("passage").alias("a"), F.max("passage").alias("b"))
+    mixed = stage(compared.where("a <> b").select(*same), "mixed")
     gone = hits.where("again")
+    columns = [*_KEY, "start", "lines", "chunk"]
     if mixed.isEmpty():
-        return gone.select(*_KEY, "start", "lines").distinct()
-    alike = passages.join(mixed, "h")
-    first = alike.groupBy("h", "passage").agg(F.min(place).alias("first"))
-    again = alike.join(first, ["h", "passage"]).where(place != F.col("first"))
-    gone = gone.join(mixed, "h", "left_anti").select(*_KEY, "start", "lines")
-    return gone.unionByName(again.select(*_KEY, "start", "lines")).distinct()
+        return gone.select(*columns)
+    alike = passages.join(mixed, same)
+    first = alike.groupBy(*same, "passage").agg(F.min(place).alias("first"))
+    again = alike.join(first, [*same, "passage"]).where(place != F.col("first"))
+    gone = gone.join(mixed, same, "left_anti").select(*columns)
+    return gone.unionByName(again.select(*columns))
 
 
 def dedup_lines(
     df: DataFrame, id_col: str = "doc_id", text: str = "text", hash_bits: int = 64
 ) -> DataFrame:
-    """``df`` with repeated chunks cut out of ``text``, and ``n_chars`` kept true if it is a column."""
+    """``df`` with repeated passages cut out of ``text``, and ``n_chars`` kept true if it is a column."""
+    span = F.struct("start", "lines", "chunk")
     cuts = repeated(df, id_col, text, hash_bits).groupBy(*_KEY).agg(
-        F.sort_array(F.collect_set(F.struct("start", "lines"))).alias("cuts")
+        F.sort_array(F.collect_set(span)).alias("cuts")
     )
     rows = df.select(whole_rows(df).alias("_row"))
     rows = rows.select("_row", *_key(rows["_row"][id_col], rows["_row"][text])).join(cuts.hint("merge"), _KEY, "left")
-    rows = rows.withColumn("_text", _without(F.col("_row")[text], "cuts.start", "cuts.lines"))
+    rows = rows.withColumn("_text", _without(F.col("_row")[text], "cuts.start", "cuts.lines", "cuts.chunk"))
     out = []
     for name in df.columns:
         value = F.col("_row")[name]
         if name == text:
             value = F.col("_text")
         elif name == "n_chars":
-            value = F.when(F.col("cuts").isNull(), value).otherwise(F.length("_text").cast(df.schema[name].dataType))
+            same = F.col("_text").eqNullSafe(F.col("_row")[text])
+            value = F.when(same, value).otherwise(F.length("_text").cast(df.schema[name].dataType))
         out.append(value.alias(name))
     return rows.select(*out)

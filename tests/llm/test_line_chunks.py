@@ -65,3 +65,77 @@ def test_query_equals_brute_force(spark, sf_dir):
     expected = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in brute(data)}
     found = entry_module.queries()["op9_line_dedup"](spark, sf_dir).collect()
     assert {r["doc_id"]: r["text_sha256"] for r in found} == expected
+
+
+def whole(data):
+    """Texts without repeats, by comparing the texts of chunks, of neighbouring pieces and of long pieces."""
+    places = defaultdict(set)
+    for doc_id, text in {(r[0], r[1]) for r in data}:
+        lines = (text or "").split("\n")
+        for start, n, _ in line_chunks.chunks(text):
+            places["chunk", "\n".join(lines[start : start + n])].add((doc_id, text, start, n))
+        if len((text or "").split()) > 50:
+            cut = line_chunks.pieces(text)
+            for k, (a, b, _) in enumerate(cut):
+                if len(text[a:b].split()) > 50:
+                    places["piece", text[a:b]].add((doc_id, text, k, 1))
+                if k:
+                    places["piece", text[cut[k - 1][0] : b]].add((doc_id, text, k - 1, 2))
+    again = defaultdict(list)
+    for (kind, _), found in places.items():
+        for doc_id, text, start, n in sorted(found, key=lambda p: (p[0] is None, p[0] or 0, p[1:]))[1:]:
+            again[doc_id, text].append((start, n, kind == "chunk"))
+    out = [(i, line_chunks.without(t, again[i, t]) if (i, t) in again else t) for i, t, *_ in data]
+    return sorted(out, key=repr)
+
+
+def planted():
+    """Every passage of 1 to 10 lines and over 50 words in four documents, each time in other surroundings."""
+    out, passages = [], {}
+    for n in range(1, 11):
+        size = 60 // n + 1
+        passages[n] = [" ".join(f"p{n}l{i}w{j}" for j in range(size)) for i in range(n)]
+        for copy in range(4):
+            own = [[f"own {n} {copy} {side} {i}" for i in range(1 + copy)] for side in "ab"]
+            out.append((100 * n + copy, "\n".join(own[0] + passages[n] + own[1])))
+    return out, passages
+
+
+def test_planted_passages_go_whole(spark):
+    data, passages = planted()
+    got = dict(bag(line_chunks.dedup_lines(spark.createDataFrame(data, "doc_id bigint, text string")), "doc_id", "text"))
+    for doc_id, text in data:
+        n, copy = divmod(doc_id, 100)
+        kept = [x for x in text.split("\n") if not copy or x not in passages[n]]
+        assert got[doc_id] == "\n".join(kept)
+
+
+def test_passages_inside_a_line_and_in_copies(spark):
+    sentences = " ".join(" ".join(f"s{i}w{j}" for j in range(20)) + "." for i in range(4))
+    copy = "\n".join([f"line {i} " + " ".join(f"c{i}w{j}" for j in range(9)) for i in range(9)])
+    data = [
+        (1, f"Before it. {sentences} After it."),
+        (2, f"Something else! {sentences} And the end.\nlast"),
+        (3, sentences),
+        (4, copy),
+        (5, copy),
+        (6, "too short\n" + copy.split("\n")[0] + "\nfor a passage"),
+    ]
+    got = dict(bag(line_chunks.dedup_lines(spark.createDataFrame(data, "doc_id bigint, text string")), "doc_id", "text"))
+    assert got[2] == "Something else! And the end.\nlast"
+    assert got[3] == got[5] == ""
+    assert all(got[i] == t for i, t in data if i in (1, 4, 6))
+
+
+@pytest.mark.parametrize("hash_bits", [64, 3])
+def test_passages_do_not_depend_on_hashes(spark, hash_bits):
+    data = planted()[0][::2] + rows()
+    df = spark.createDataFrame([(r[0], r[1]) for r in data], "doc_id bigint, text string").repartition(3)
+    assert bag(line_chunks.dedup_lines(df, hash_bits=hash_bits), "doc_id", "text") == whole(data)
+
+
+def test_query_leaves_no_passage_twice(spark, sf_dir):
+    data = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    expected = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in whole(data)}
+    found = entry_module.queries()["op9_line_dedup"](spark, sf_dir).collect()
+    assert {r["doc_id"]: r["text_sha256"] for r in found} == expected
