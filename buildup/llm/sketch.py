@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from buildup.llm.common import prepare, text_hash
 
 WORDS = 5
-SHARE = 8  # one hash in so many is kept
+SHARE = 2  # one hash in so many is kept
 
 
 class Sketch:

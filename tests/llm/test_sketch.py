@@ -88,3 +88,39 @@ def test_query_equals_brute_force(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = entry_module.queries()["op5_document_fingerprints"](spark, sf_dir).collect()
     assert sorted([(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got], key=repr) == brute(ordered(table))
+
+
+def exact(a, b, words=5):
+    """True share of the shingles of either text that both have."""
+    sets = []
+    for text in (a, b):
+        found = text.lower().encode().split()
+        sets.append({tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+def test_query_likeness_against_exact_sets(spark, sf_dir):
+    data = ordered(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    got = {r["doc_id"]: r for r in entry_module.queries()["op5_document_fingerprints"](spark, sf_dir).collect()}
+    off, short = [], []
+    for i, (doc_id, text) in enumerate(data):
+        text, after = text or "", data[(i + 1) % len(data)][1] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        for name, other in (("near_edited", edited), ("near_next", after)):
+            true = exact(text, other)
+            off.append(abs(got[doc_id][name] - true))
+            if len(text.split()) < 100:
+                short.append(off[-1])
+            assert got[doc_id][name] > 0 or true < 0.2
+    assert short and sum(short) / len(short) < 0.03 and sum(off) / len(off) < 0.02
+    assert sum(x > 0.2 for x in off) <= 0.005 * len(off)
+
+
+def test_likeness_of_short_texts():
+    found = []
+    for n in range(8, 60):
+        a, b = WORDS[60 * n : 60 * n + n], WORDS[60 * n + n // 4 : 60 * n + n]
+        a, b = " ".join(a), " ".join(b)
+        found.append(abs(sketch.likeness(sketch.sketch(a), sketch.sketch(b)) - exact(a, b)))
+    assert sum(found) / len(found) < 0.12
