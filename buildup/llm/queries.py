@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildup.llm import ann, bpe, langid, line_chunks, mixing, packing, secret_scan, simhash, sketch, warc
+from buildup.llm import ann, bpe, langid, line_chunks, mixing, packing, secret_scan, simhash, sketch, token_counts, warc
 from buildup.llm.common import table
 from buildup.session import new_table_path
 
@@ -178,3 +178,8 @@ def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("positions", 256).alias("positions_sha256"),
     )
+
+
+@query("op11_token_counts")
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=1024)
