@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildup.llm import ann, bpe, langid, line_chunks, mixing, packing, secret_scan, simhash, sketch, token_counts, warc
+from buildup.llm import ann, bpe, langid, line_chunks, merkle, mixing, packing, secret_scan, simhash, sketch, token_counts, warc
 from buildup.llm.common import table
 from buildup.session import new_table_path
 
@@ -183,3 +183,79 @@ def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_token_counts")
 def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=1024)
+
+
+def _written(*columns: str) -> str:
+    one = "coalesce(strlen(CAST({c} AS VARCHAR))::VARCHAR || ':' || CAST({c} AS VARCHAR), '-')"
+    return "sha256(" + " || ".join(one.format(c=c) for c in columns) + ")"
+
+
+# the polynomial of CRC-32, a bit at a time
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(i) + 1),
+    lambda k: ascii(substr(i, k::INTEGER, 1))::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)],
+    [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+_MERKLE = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, CAST(doc_id AS VARCHAR) AS i,
+    {_written("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+    {_written("doc_id", "source", "lang", "n_chars + 1", "text")} AS tampered
+  FROM documents
+), l AS (
+  SELECT rid, doc_id, lang, leaf, CASE WHEN doc_id IS NOT NULL AND {_CRC} % 7 = 0 THEN tampered ELSE leaf END AS changed,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank FROM d
+), up AS (
+  SELECT 0 AS level, lang, rank, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM l
+  UNION ALL
+  SELECT level + 1, lang, rank // 2, sha256(string_agg(h, '' ORDER BY rank)), (any_value(n) + 1) // 2
+  FROM up WHERE n > 1 GROUP BY level, lang, rank // 2
+), subroots AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS rank FROM up WHERE n = 1
+), over_parts AS (
+  SELECT 0 AS level, rank, subroot AS h, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, rank // 2, sha256(string_agg(h, '' ORDER BY rank)), (any_value(n) + 1) // 2
+  FROM over_parts WHERE n > 1 GROUP BY level, rank // 2
+), steps AS (
+  SELECT rid, u.level, s.h AS sibling, (l.rank >> u.level) % 2 = 1 AS on_left
+  FROM l JOIN up u ON u.lang IS NOT DISTINCT FROM l.lang AND u.n > 1 AND u.rank = l.rank >> u.level
+  LEFT JOIN up s ON s.lang IS NOT DISTINCT FROM l.lang AND s.level = u.level AND s.rank = xor(u.rank, 1)
+  UNION ALL
+  SELECT rid, 1000 + u.level, s.h, (r.rank >> u.level) % 2 = 1
+  FROM l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang
+  JOIN over_parts u ON u.n > 1 AND u.rank = r.rank >> u.level
+  LEFT JOIN over_parts s ON s.level = u.level AND s.rank = xor(u.rank, 1)
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY level) AS k FROM steps
+), folded AS (
+  SELECT rid, 0::BIGINT AS k, changed AS h FROM l
+  UNION ALL
+  SELECT f.rid, f.k + 1, sha256(CASE WHEN sibling IS NULL THEN h WHEN on_left THEN sibling || h ELSE h || sibling END)
+  FROM folded f JOIN numbered s ON s.rid = f.rid AND s.k = f.k + 1
+), proofs AS (
+  SELECT rid, count(*) AS k, sha256(coalesce(string_agg(sibling, '' ORDER BY level), '')) AS proof_sha256
+  FROM steps GROUP BY rid
+)
+SELECT doc_id, leaf, subroot, t.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+  f.h AS folded_root, f.h = t.h AS verified
+FROM l LEFT JOIN proofs p ON p.rid = l.rid JOIN folded f ON f.rid = l.rid AND f.k = coalesce(p.k, 0)
+JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang, over_parts t WHERE t.n = 1
+"""
+
+
+@query("op13_merkle_manifest", _MERKLE)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    seventh = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    more = F.when(seventh, F.try_add("n_chars", F.lit(1))).otherwise(F.col("n_chars"))
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    found = merkle.manifest(docs, part="lang", order="doc_id", fields=fields, changed={"n_chars": more})
+    folded = merkle.fold(F.col("changed_leaf"), F.col("proof"))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_hash(F.col("proof")).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
