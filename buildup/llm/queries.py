@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildup.llm import ann, bpe, langid, line_chunks, merkle, mixing, packing, secret_scan, simhash, sketch, token_counts, warc
+from buildup.llm import ann, bpe, hard_negatives, langid, line_chunks, merkle, mixing, packing, secret_scan, simhash, sketch, token_counts, warc
 from buildup.llm.common import table
 from buildup.session import new_table_path
 
@@ -259,3 +259,45 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         merkle.proof_hash(F.col("proof")).alias("proof_sha256"),
         folded.alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+_NEGATIVES = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same,
+    CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM r a JOIN r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+@query("op12_hard_negatives", _NEGATIVES)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    scaled = lambda x: 256 * x.cast("double")
+    whole = lambda x: F.when(F.abs(scaled(x)) < 2.0**63, F.floor(scaled(x)))  # others, NaN too, are null
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(
+        rows,
+        F.col("vec_id") % 100 == 0,
+        id_col="vec_id",
+        label=label,
+        vector=F.transform("embedding", whole),
+        positives=5,
+        negatives=10,
+        window=(30, 90),
+    )
