@@ -20,7 +20,8 @@ COMPONENTS = {"Pass": 5, "Carry": 3}
 
 # Training rows of one partition of a mixture fit.
 PART_ROWS = 1_000_000
-MAX_STEPS = 20
+# A fit that has not settled by then fails; its steps are stopped by the tolerance.
+MAX_STEPS = 5_000
 
 
 def fit_position_mixture(
@@ -30,14 +31,17 @@ def fit_position_mixture(
 
     ``keys`` identify a row. The fit starts from rows drawn by partition; they are dealt by their key to a number
     of partitions that follows from the number of rows, so the result does not depend on how they came.
-    ``model.summary.numIter`` below ``max_iter`` means that the fit converged.
+    Fails if the fit has not converged after ``max_iter`` steps.
     """
     rows = normalized_events.where(F.col("type") == event_type).dropna(subset=tokens.AXES)
     parts = 4 + rows.count() // PART_ROWS
     rows = rows.repartition(parts, F.xxhash64(*keys)).sortWithinPartitions(*keys)
     vectors = VectorAssembler(inputCols=tokens.AXES, outputCol="features").transform(rows)
     estimator = GaussianMixture(k=COMPONENTS[event_type], seed=seed, maxIter=max_iter)
-    return estimator.fit(vectors.select("features")), vectors
+    model = estimator.fit(vectors.select("features"))
+    if model.summary.numIter >= max_iter:
+        raise RuntimeError(f"the {event_type} mixture did not converge in {max_iter} steps")
+    return model, vectors
 
 
 def position_mixture(normalized_events: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -53,7 +57,7 @@ def position_mixture(normalized_events: DataFrame, keys: Sequence[str]) -> DataF
             for w, g in zip(model.weights, model.gaussians)
         ]
         for i, (weight, mean, covariance) in enumerate(sorted(parts, reverse=True)):
-            rows.append((event_type, i, n, steps, steps < MAX_STEPS, weight, fit, *mean, covariance))
+            rows.append((event_type, i, n, steps, True, weight, fit, *mean, covariance))
     schema = "type string, component int, n long, iterations int, converged boolean, weight double, mean_log_likelihood double"
     means = "".join(f", mean_{a} double" for a in tokens.AXES)
     return spark.createDataFrame(rows, schema + means + ", covariance array<double>")
@@ -77,15 +81,15 @@ def next_type_rows(sequences: DataFrame, weights: dict[str, float] | None = None
     )
 
 
-def next_type_model(rows: DataFrame, max_iter: int = 200):
-    """Weighted multinomial regression of the next type.
-
-    ``model.summary.totalIterations`` below ``max_iter`` means that the fit converged.
-    """
+def next_type_model(rows: DataFrame, max_iter: int = MAX_STEPS, tolerance: float = 1e-7):
+    """Weighted multinomial regression of the next type; fails if it has not converged after ``max_iter`` steps."""
     estimator = LogisticRegression(
-        family="multinomial", weightCol="weight", maxIter=max_iter, tol=1e-6, regParam=1e-4
+        family="multinomial", weightCol="weight", maxIter=max_iter, tol=tolerance, regParam=1e-4
     )
-    return estimator.fit(rows.select("features", "label", "weight"))
+    model = estimator.fit(rows.select("features", "label", "weight"))
+    if model.summary.totalIterations >= max_iter:
+        raise RuntimeError(f"the model of the next type did not converge in {max_iter} steps")
+    return model
 
 
 def class_mass(model, rows: DataFrame) -> DataFrame:
