@@ -13,11 +13,10 @@ from dataclasses import dataclass
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import Matrices
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buildup.operators import metrics
+from buildup.operators import isotonic, metrics
 from buildup.operators.metrics import EPSILON
 from buildup.session import stage
 
@@ -92,19 +91,19 @@ def fit_curve(weights: DataFrame, method: str) -> LogisticCurve:
     return LogisticCurve(method, tuple(float(c) for c in model.coefficients), float(model.intercept))
 
 
-def fit_isotonic(weights: DataFrame):
-    """Monotone fit on one row per distinct score, with linear joins and clipped ends."""
+def fit_isotonic(weights: DataFrame) -> DataFrame:
+    """Steps of the monotone fit on one row per distinct score."""
     table = weights.groupBy("score").agg(
-        (F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).alias("label"),
-        F.sum("weight").alias("weight"),
+        F.sum("weight").alias("weight"), F.sum(F.col("label") * F.col("weight")).alias("total")
     )
-    return IsotonicRegression(featuresCol="score", weightCol="weight").fit(table)
+    return isotonic.fit(table)
 
 
 def _apply(weights: DataFrame, apply_to: DataFrame, method: str, name: str) -> DataFrame:
     if method == "isotonic":
-        model = fit_isotonic(weights).setPredictionCol(name)
-        return model.transform(apply_to.withColumn("score", F.col("score").cast("double")))
+        rows = apply_to.withColumn("score", F.col("score").cast("double"))
+        scores = rows.select("score").where("score is not null").distinct()
+        return rows.join(isotonic.with_value(scores, fit_isotonic(weights), "score", name), "score", "left")
     return apply_to.withColumn(name, fit_curve(weights, method).apply(F.col("score")))
 
 

@@ -255,3 +255,51 @@ def exact_quantiles(
             for k in quantiles
         ],
     )
+
+
+def neighbours(
+    rows: DataFrame, steps: DataFrame, value: str, at: str, item: str, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Add ``_before`` and ``_after``: ``item`` of the last step with ``at`` up to ``value``, and of the first one above.
+
+    Steps have distinct ``at``. Both tables are cut into the same ranges of values, so no task sorts
+    everything; a range passes on its first and last step only. Null values have no neighbours.
+    """
+    kind = steps.schema[item].dataType
+    points = rows.select(
+        F.col(value).cast("double").alias("_at"), F.struct(*rows.columns).alias("_row"), F.lit(None).cast(kind).alias("_item")
+    )
+    marks = steps.select(F.col(at).alias("_at"), F.lit(None).cast(points.schema["_row"].dataType).alias("_row"), F.col(item).alias("_item"))
+    both = stage(points.where("_at is not null").unionByName(marks), "ranges")
+    n = max(1, -(-both.count() // block_rows))
+    if n > 1:
+        cuts = both.stat.approxQuantile("_at", [i / n for i in range(1, n)], min(0.01, 0.5 / n))
+        splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+        both = Bucketizer(splits=splits, inputCol="_at", outputCol="_bucket").transform(both)
+    else:
+        both = both.withColumn("_bucket", F.lit(0.0))
+    # a step comes before the points of its own value
+    inside = Window.partitionBy("_bucket").orderBy("_at", F.col("_item").isNull())
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    behind = inside.rowsBetween(1, Window.unboundedFollowing)
+    found = both.withColumns(
+        {"_in_before": F.last("_item", True).over(upto), "_in_after": F.first("_item", True).over(behind)}
+    )
+    # one row per range
+    ends = both.groupBy("_bucket").agg(
+        F.min_by("_item", F.when(F.col("_item").isNotNull(), F.col("_at"))).alias("_low"),
+        F.max_by("_item", F.when(F.col("_item").isNotNull(), F.col("_at"))).alias("_high"),
+    )
+    order = Window.orderBy("_bucket")
+    ends = ends.select(
+        "_bucket",
+        F.last("_high", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_out_before"),
+        F.first("_low", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_out_after"),
+    )
+    found = found.where("_row is not null").join(F.broadcast(ends), "_bucket").select(
+        "_row.*",
+        F.coalesce("_in_before", "_out_before").alias("_before"),
+        F.coalesce("_in_after", "_out_after").alias("_after"),
+    )
+    none = [F.lit(None).cast(kind).alias(c) for c in ("_before", "_after")]
+    return found.unionByName(rows.where(F.col(value).isNull()).select("*", *none))
