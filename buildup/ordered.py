@@ -133,6 +133,45 @@ def position(
     return running_sum(df, keys, order, one, name, descending, block_rows)
 
 
+def _edges(
+    blocks: DataFrame, keys: Sequence[str], order: str, item: Column, size: int, following: bool = False
+) -> DataFrame:
+    """``_before`` of each block that has earlier ones: the last ``size`` items of each of the ``size`` blocks before it."""
+    cut = [*keys, "_block"]
+    from_end = Window.partitionBy(*cut).orderBy(_direction("_order", not following))
+    ends = (
+        blocks.select(*cut, F.col(order).alias("_order"), item.alias("_item"))
+        .withColumn("_rank", F.row_number().over(from_end))
+        .where(F.col("_rank") <= size)
+        .groupBy(*cut)
+        .agg(F.sort_array(F.collect_list(F.struct("_rank", "_item")), asc=False).alias("_end"))
+    )
+    earlier_blocks = Window.partitionBy(*keys).orderBy(_direction("_block", following)).rowsBetween(-size, -1)
+    return (
+        ends.withColumn("_before", F.flatten(F.collect_list("_end").over(earlier_blocks)))
+        .where(F.size("_before") > 0)
+        .select(*cut, F.expr("transform(_before, e -> e._item)").alias("_before"))
+    )
+
+
+def trailing(
+    df: DataFrame, keys: Sequence[str], order: str, value: Column, size: int, name: str, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Add ``name``: the values of the group's last ``size`` rows up to and including this one, in order."""
+    keys = list(keys)
+    cut, item = [*keys, "_block"], F.struct(value.alias("value"))
+    blocks = _with_block(df, keys, order, block_rows)
+    inside = Window.partitionBy(*cut).orderBy(order).rowsBetween(1 - size, 0)
+    rows = blocks.withColumn("_inside", F.collect_list(item).over(inside))
+    rows = rows.join(_edges(blocks, keys, order, item, size), cut, "left")
+    # only the first rows of a block look back across its border
+    both = F.when(F.size("_inside") < size, F.concat(F.coalesce("_before", F.slice("_inside", 1, 0)), "_inside"))
+    last = F.expr(f"slice(_both, -least({size}, size(_both)), {size})")
+    out = rows.withColumn("_both", F.coalesce(both, F.col("_inside")))
+    out = out.withColumn(name, F.transform(last, lambda e: e["value"]))
+    return out.drop("_block", "_inside", "_before", "_both")
+
+
 def lags(
     df: DataFrame,
     keys: Sequence[str],
@@ -153,23 +192,7 @@ def lags(
     blocks = _with_block(df, keys, order, block_rows)
     rows = blocks.withColumn("_item", item)
     rows = rows.withColumns({f"_lag{i}": F.lag("_item", i).over(inside) for i in steps})
-    # the rows of each block that the next block looks back to
-    from_end = Window.partitionBy(*cut).orderBy(_direction("_order", not following))
-    ends = (
-        blocks.select(*cut, F.col(order).alias("_order"), item.alias("_item"))
-        .withColumn("_rank", F.row_number().over(from_end))
-        .where(F.col("_rank") <= len(names))
-        .groupBy(*cut)
-        .agg(F.sort_array(F.collect_list(F.struct("_rank", "_item")), asc=False).alias("_end"))
-    )
-    earlier_blocks = (
-        Window.partitionBy(*keys).orderBy(_direction("_block", following)).rowsBetween(-len(names), -1)
-    )
-    edges = (
-        ends.withColumn("_before", F.flatten(F.collect_list("_end").over(earlier_blocks)))
-        .where(F.size("_before") > 0)
-        .select(*cut, F.expr("transform(_before, e -> e._item)").alias("_before"))
-    )
+    edges = _edges(blocks, keys, order, item, len(names), following)
     # a row with n earlier rows in its block finds the next ones at the end of the blocks before
     found = " + ".join(f"int(_lag{i} is not null)" for i in steps)
     pick = lambda i: f"coalesce(_lag{i}, get(_before, size(_before) + ({found}) - {i})).value"

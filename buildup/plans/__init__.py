@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["movement", "exploration", "evaluation", "threat", "shots", "tables", "models", "mixtures"]
+_MODULES = ["movement", "exploration", "evaluation", "threat", "shots", "tables", "models", "mixtures", "suffixes"]
 
 
 def load():

@@ -8,7 +8,7 @@ from buildup.functions import labels, pitch
 from buildup.operators import calibrate, context, experiments, metrics, models, splits, threat, tokens
 from buildup.operators import sequences as seq
 from buildup.plans import views
-from buildup.plans.evaluation import BINS_SQL, rounded, scored, with_gaps
+from buildup.plans.evaluation import BINS_SQL, CONTEXTS, rounded, scored, with_gaps
 from buildup.plans.movement import big, moves, sequences
 from buildup.plans.registry import query
 from buildup.plans.threat import ACTIONS, THREAT, scored_actions
@@ -362,9 +362,9 @@ def action_contributions(spark, sf_dir):
 
 # ---- runs
 
-# Thresholds and contexts of the runs.
+# Thresholds of the runs. Their contexts are those of the variants.
 RUN_THRESHOLDS = [1, 2, 3, 5, 8]
-RUN_CONTEXTS = [2, 5, 8, 10, 14]
+RUN_CONTEXTS = CONTEXTS
 
 _RUNS = f"""{THREAT}, copies AS (
   SELECT mv.*, t.threshold, row_number() OVER (
