@@ -5,9 +5,12 @@ Two kinds of repeats go, except for their first occurrence, by the smallest docu
 * Content-defined chunks of two or more lines. A line ends a chunk where a rolling hash over its own and the previous
   line's hash is zero modulo ``MEAN``, so the same passage is cut alike wherever it stands.
 * Passages of more than ``WORDS`` words, whatever surrounds them. Lines are the pieces of a text, and a line of more
-  than ``WORDS`` words is cut into its sentences. A piece is repeated where it and a neighbour, with what separates
-  them, occurred before, or where it alone has more than ``WORDS`` words and occurred before. A run of repeated
-  pieces that has more than ``WORDS`` words goes; its pieces may have occurred in several documents.
+  than ``WORDS`` words is cut into its sentences. A pair of neighbouring pieces with what separates them is a seed
+  where it occurred before. Seeds of a text that first occurred side by side in one earlier text make a stretch; it is
+  grown to both sides over further seeds as long as that same earlier text goes on with the same pieces,
+  whether these first occurred there or not. A stretch of more than ``WORDS`` words goes, and so does a piece that
+  alone has as many and occurred before. What is stitched together from several places stays, unless
+  one of the parts is that long.
 
 Hashes only name candidates: their bytes are compared before anything is removed, and where different bytes share a
 hash, equal bytes decide. The first occurrence of a piece stays, unless it lies in a chunk that goes.
@@ -37,6 +40,7 @@ from buildup.session import stage
 
 MEAN = 3  # lines in a chunk, on average
 WORDS = 50  # a passage has more
+GROW = 50  # pairs beyond each end of a stretch that are looked up at a time
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,20 +103,14 @@ def candidates(text: str | None) -> list[tuple[int, int, int, bool]]:
 
 
 def without(text: str, cuts: list[tuple[int, int, bool]]) -> str:
-    """``text`` without the chunks among the repeats ``(first, number, chunk)`` and the long runs of the others."""
+    """``text`` without the repeats ``(first, number, chunk)``: chunks in lines, long stretches in pieces."""
     gone = {i for s, n, chunk in cuts if chunk for i in range(s, s + n)}
-    again = {i for s, n, chunk in cuts if not chunk for i in range(s, s + n)}
-    if not again:
+    stretches = [(s, s + n) for s, n, chunk in cuts if not chunk]
+    if not stretches:
         return "\n".join([line for i, line in enumerate(text.split("\n")) if i not in gone])
     cut = pieces(text)
-    lost, run, words = set(), [], 0
-    for k, (a, b, _) in enumerate([*cut, (0, 0, 0)]):
-        if k in again:
-            run.append(k)
-            words += len(text[a:b].split())
-        elif run:
-            lost.update(run if words > WORDS else ())
-            run, words = [], 0
+    words = np.cumsum([0] + [len(text[a:b].split()) for a, b, _ in cut])
+    lost = {i for a, b in stretches if words[b] - words[a] > WORDS for i in range(a, b)}
     out, last = [], None
     for k, (a, b, line) in enumerate(cut):
         if line in gone or k in lost:
@@ -126,6 +124,44 @@ def without(text: str, cuts: list[tuple[int, int, bool]]) -> str:
     return "\n".join(out)
 
 
+def runs(places: set[int]) -> list[tuple[int, int]]:
+    """First and last of each run of consecutive numbers."""
+    out: list[tuple[int, int]] = []
+    for k in sorted(places):
+        if out and out[-1][1] == k - 1:
+            out[-1] = (out[-1][0], k)
+        else:
+            out.append((k, k))
+    return out
+
+
+def stretches(seeds: list[tuple], same: dict[tuple, set[int]], asked: int) -> tuple[list[tuple], list[tuple]]:
+    """``(from, to)`` of the stretches of pairs, and what has to be looked up to grow them further.
+
+    ``seeds`` has ``(place, pair, earlier text, place there)`` of the repeated pairs of a text. ``same`` has, by earlier
+    text and shift, the places that were found equal there; ``asked`` places beyond each end have been looked up.
+    """
+    pair = {k: h for k, h, _, _ in seeds}
+    lines: dict[tuple, set[int]] = {}
+    for k, _, other, place in seeds:
+        lines.setdefault((other, place - k), set()).add(k)
+    found, questions = [], []
+    for line, own in lines.items():
+        equal = own | same.get(line, set())
+        wanted = set()
+        for a, b in runs(own):
+            for end, step in ((b, 1), (a, -1)):
+                if all(end + step * i in equal for i in range(1, asked + 1)):
+                    k = end + step * (asked + 1)
+                    while k in pair and abs(k - end) <= asked + GROW:
+                        if k not in equal:
+                            wanted.add(k)
+                        k += step
+        questions += [(*line, k, pair[k]) for k in sorted(wanted)]
+        found += [(a, b) for a, b in runs(equal) if any(k in own for k in range(a, b + 1))]
+    return found, questions
+
+
 _FOUND = T.StructType().add("start", "integer").add("lines", "integer").add("h", "long").add("chunk", "boolean")
 
 
@@ -188,25 +224,19 @@ def _key(doc_id, text) -> list:
     ]
 
 
-def repeated(
-    df: DataFrame, id_col: str = "doc_id", text: str = "text", hash_bits: int = 64
-) -> DataFrame:
-    """``(no_id, id, text_hash, start, lines, chunk)`` of every candidate that occurred before.
+_SAME = ["h", "bytes"]  # of a candidate; bytes are empty unless different bytes share the hash
 
-    Equal rows give theirs as often as they stand. Any ``hash_bits`` give the same.
-    """
-    prepare(df.sparkSession)
-    rows = df.select(*_key(F.col(f"`{id_col}`"), F.col(f"`{text}`")), F.col(f"`{text}`").alias("text"))
+
+def _candidates_again(rows: DataFrame, hash_bits: int) -> DataFrame:
+    """Staged candidates that stand in several places, with the first of these and whether it is another one."""
     some = rows.where(f"instr(text, '\\n') > 0 or length(text) > {2 * WORDS}")
     found = some.select(*_KEY, F.explode(_candidates(hash_bits)("text")).alias("c"))
     found = stage(found.select(*_KEY, "c.*"), "chunks")
     place = F.struct(*_KEY, "start")
     same = ["h", "chunk"]
     groups = found.groupBy(*same).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    hits = found.join(groups.select(*same, "first"), same).select(
-        *_KEY, "start", "lines", *same, (place != F.col("first")).alias("again")
-    )
-    hits = stage(hits, "hits")
+    hits = found.join(groups.select(*same, "first"), same).withColumn("again", place != F.col("first"))
+    hits = stage(hits.select(*_KEY, "start", "lines", *same, "first", "again"), "hits")
     span = F.struct("start", "lines", *same)
     listed = hits.groupBy(*_KEY).agg(F.sort_array(F.collect_set(span)).alias("cuts"))
     # the lists grow with the documents: the same join at every size
@@ -214,20 +244,88 @@ def repeated(
         rows.join(listed.hint("merge"), _KEY)
         .withColumn("texts", _passages("text", "cuts.start", "cuts.lines", "cuts.chunk"))
         .select(*_KEY, F.explode(F.arrays_zip("cuts", "texts")).alias("z"))
-        .select(*_KEY, "z.cuts.*", F.col("z.texts").alias("passage"))
+        .select(*_KEY, "z.cuts.*", F.col("z.texts").alias("bytes"))
     )
     # equal bytes throughout a hash, or not
-    compared = passages.groupBy(*same).agg(F.min("passage").alias("a"), F.max("passage").alias("b"))
+    compared = passages.groupBy(*same).agg(F.min("bytes").alias("a"), F.max("bytes").alias("b"))
     mixed = stage(compared.where("a <> b").select(*same), "mixed")
-    gone = hits.where("again")
-    columns = [*_KEY, "start", "lines", "chunk"]
+    columns = [*_KEY, "start", "lines", "chunk", *_SAME, "first", "again"]
     if mixed.isEmpty():
-        return gone.select(*columns)
+        return hits.withColumn("bytes", F.lit("")).select(*columns)
     alike = passages.join(mixed, same)
-    first = alike.groupBy(*same, "passage").agg(F.min(place).alias("first"))
-    again = alike.join(first, [*same, "passage"]).where(place != F.col("first"))
-    gone = gone.join(mixed, same, "left_anti").select(*columns)
-    return gone.unionByName(again.select(*columns))
+    first = alike.groupBy(*same, "bytes").agg(F.min(place).alias("first"))
+    alike = alike.join(first, [*same, "bytes"]).withColumn("again", place != F.col("first"))
+    clean = hits.join(mixed, same, "left_anti").withColumn("bytes", F.lit(""))
+    return stage(clean.select(*columns).unionByName(alike.select(*columns)), "hits")
+
+
+_TEXT = "struct<no_id:boolean,id:bigint,text_hash:bigint>"
+_ASKED = f"struct<other:{_TEXT},shift:int,at:int,h:bigint,bytes:string>"
+_GROWN = f"struct<found:array<struct<start:int,last:int>>,asks:array<{_ASKED}>>"
+
+
+def _stretches(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Stretches of each text from its repeated pairs and the answers so far, and further questions."""
+    for seeds, answers, asked in batches:
+        out = []
+        for own, same, n in zip(seeds, answers, asked):
+            listed = [
+                (r["start"], (r["h"], r["bytes"]), (f["no_id"], f["id"], f["text_hash"]), f["start"])
+                for r in own
+                for f in (r["first"],)
+            ]
+            equal: dict[tuple, set[int]] = {}
+            for r in same if same is not None else ():
+                other = tuple(r["other"][name] for name in _KEY)
+                equal.setdefault((other, r["shift"]), set()).add(r["at"])
+            found, asks = stretches(listed, equal, n)
+            asks = [
+                {"other": dict(zip(_KEY, other)), "shift": shift, "at": at, "h": pair[0], "bytes": pair[1]}
+                for other, shift, at, pair in asks
+            ]
+            out.append(([{"start": a, "last": b} for a, b in found], asks))
+        yield pd.DataFrame(out, columns=["found", "asks"])
+
+
+def _grown(hits: DataFrame) -> DataFrame:
+    """Stretches ``(key, start, lines)`` in pieces, grown until the earlier text differs."""
+    pairs = hits.where("not chunk and lines = 2")
+    item = F.struct("start", *_SAME, "first")
+    # a list holds the repeated pairs of one text
+    seeds = pairs.where("again").groupBy(*_KEY).agg(F.sort_array(F.collect_set(item)).alias("seeds"))
+    seeds = stage(seeds, "seeds")
+    texts = pairs.select(F.struct(*_KEY).alias("other"), F.col("start").alias("place"), *_SAME).distinct()
+    answered, asked = None, 0
+    grow = F.pandas_udf(_stretches, _GROWN)
+    while True:
+        rows = seeds.withColumn("answers", F.lit(None).cast(f"array<struct<other:{_TEXT},shift:int,at:int>>"))
+        if answered is not None:
+            lists = answered.groupBy(*_KEY).agg(F.collect_list(F.struct("other", "shift", "at")).alias("answers"))
+            rows = seeds.join(lists, _KEY, "left")
+        found = stage(rows.select(*_KEY, grow("seeds", "answers", F.lit(asked)).alias("s")), "stretches")
+        asks = found.select(*_KEY, F.explode("s.asks").alias("a")).select(*_KEY, "a.*")
+        more = asks.withColumn("place", F.col("at") + F.col("shift")).join(texts, ["other", "place", *_SAME])
+        more = stage(more.select(*_KEY, "other", "shift", "at"), "answers")
+        if more.isEmpty():
+            spans = found.select(*_KEY, F.explode("s.found").alias("f"))
+            return spans.select(*_KEY, "f.start", (F.col("f.last") - F.col("f.start") + 2).alias("lines"))
+        answered = more if answered is None else answered.unionByName(more)
+        asked += GROW
+
+
+def repeated(
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", hash_bits: int = 64
+) -> DataFrame:
+    """``(no_id, id, text_hash, start, lines, chunk)`` of every repeat: chunks in lines, stretches in pieces.
+
+    Equal rows give theirs as often as they stand. Any ``hash_bits`` give the same.
+    """
+    prepare(df.sparkSession)
+    rows = df.select(*_key(F.col(f"`{id_col}`"), F.col(f"`{text}`")), F.col(f"`{text}`").alias("text"))
+    hits = _candidates_again(rows, hash_bits)
+    columns = [*_KEY, "start", "lines", "chunk"]
+    alone = hits.where("again and (chunk or lines = 1)").select(*columns)
+    return alone.unionByName(_grown(hits).withColumn("chunk", F.lit(False)).select(*columns))
 
 
 def dedup_lines(

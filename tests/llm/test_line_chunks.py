@@ -8,22 +8,66 @@ from buildup.llm import line_chunks
 from tests.llm.conftest import bag, rows
 
 
+def order(place):
+    return (place[0] is None, place[0] or 0, *place[1:])
+
+
 def brute(data):
-    """Texts without repeated chunks, by comparing the chunks' texts; equal rows are one document."""
-    places = defaultdict(set)
-    for doc_id, text in {(r[0], r[1]) for r in data}:
-        lines = (text or "").split("\n")
+    """Texts without repeats, by comparing the texts of chunks, pairs and long pieces; equal rows are one document."""
+    chunks, pairs, long = defaultdict(set), defaultdict(set), defaultdict(set)
+    cut, joint = {}, {}
+    for doc in {(r[0], r[1]) for r in data}:
+        text = doc[1] or ""
+        lines = text.split("\n")
         for start, n, _ in line_chunks.chunks(text):
-            places["\n".join(lines[start : start + n])].add((doc_id, text, start, n))
-    gone = defaultdict(set)
-    for found in places.values():
-        for doc_id, text, start, n in sorted(found, key=lambda p: (p[0] is None, p[0] or 0, p[1:]))[1:]:
-            gone[doc_id, text] |= set(range(start, start + n))
+            chunks["\n".join(lines[start : start + n])].add((*doc, start, n))
+        cut[doc] = line_chunks.pieces(text) if len(text.split()) > 50 else []
+        joint[doc] = [text[one[0] : two[1]] for one, two in zip(cut[doc], cut[doc][1:])]
+        # where a pair is divided counts
+        joint[doc] = [(p, one[1] - one[0], two[0] - one[1]) for p, one, two in zip(joint[doc], cut[doc], cut[doc][1:])]
+        for k, p in enumerate(joint[doc]):
+            pairs[p].add((*doc, k))
+        for k, (a, b, _) in enumerate(cut[doc]):
+            if len(text[a:b].split()) > 50:
+                long[text[a:b]].add((*doc, k))
+    gone_lines, gone_pieces = defaultdict(set), defaultdict(set)
+    for found in chunks.values():
+        for *doc, start, n in sorted(found, key=order)[1:]:
+            gone_lines[tuple(doc)] |= set(range(start, start + n))
+    for found in long.values():
+        for *doc, k in sorted(found, key=order)[1:]:
+            gone_pieces[tuple(doc)].add(k)
+    for doc, own in joint.items():
+        for k, p in enumerate(own):
+            *other, place = min(pairs[p], key=order)
+            other = tuple(other)
+            if (*other, place) == (*doc, k):
+                continue
+            same = lambda i: 0 <= i < len(own) and 0 <= i + place - k < len(joint[other]) and own[i] == joint[other][i + place - k]
+            low = high = k
+            while same(low - 1):
+                low -= 1
+            while same(high + 1):
+                high += 1
+            if sum(len(doc[1][a:b].split()) for a, b, _ in cut[doc][low : high + 2]) > 50:
+                gone_pieces[doc] |= set(range(low, high + 2))
     out = []
-    for doc_id, text, *_ in data:
-        if (doc_id, text) in gone:
-            text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone[doc_id, text])
-        out.append((doc_id, text))
+    for doc in [(r[0], r[1]) for r in data]:
+        text = doc[1]
+        cuts = [(i, 1, True) for i in gone_lines[doc]]
+        if gone_pieces[doc]:
+            kept, last = [], None
+            for k, (a, b, line) in enumerate(cut[doc]):
+                if line not in gone_lines[doc] and k not in gone_pieces[doc]:
+                    if line == last:
+                        kept[-1] += text[cut[doc][k - 1][1] : b]
+                    else:
+                        kept.append(text[a:b])
+                    last = line
+            text = "\n".join(kept)
+        elif cuts:
+            text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone_lines[doc])
+        out.append((doc[0], text))
     return sorted(out, key=repr)
 
 
@@ -67,28 +111,6 @@ def test_query_equals_brute_force(spark, sf_dir):
     assert {r["doc_id"]: r["text_sha256"] for r in found} == expected
 
 
-def whole(data):
-    """Texts without repeats, by comparing the texts of chunks, of neighbouring pieces and of long pieces."""
-    places = defaultdict(set)
-    for doc_id, text in {(r[0], r[1]) for r in data}:
-        lines = (text or "").split("\n")
-        for start, n, _ in line_chunks.chunks(text):
-            places["chunk", "\n".join(lines[start : start + n])].add((doc_id, text, start, n))
-        if len((text or "").split()) > 50:
-            cut = line_chunks.pieces(text)
-            for k, (a, b, _) in enumerate(cut):
-                if len(text[a:b].split()) > 50:
-                    places["piece", text[a:b]].add((doc_id, text, k, 1))
-                if k:
-                    places["piece", text[cut[k - 1][0] : b]].add((doc_id, text, k - 1, 2))
-    again = defaultdict(list)
-    for (kind, _), found in places.items():
-        for doc_id, text, start, n in sorted(found, key=lambda p: (p[0] is None, p[0] or 0, p[1:]))[1:]:
-            again[doc_id, text].append((start, n, kind == "chunk"))
-    out = [(i, line_chunks.without(t, again[i, t]) if (i, t) in again else t) for i, t, *_ in data]
-    return sorted(out, key=repr)
-
-
 def planted():
     """Every passage of 1 to 10 lines and over 50 words in four documents, each time in other surroundings."""
     out, passages = [], {}
@@ -131,11 +153,28 @@ def test_passages_inside_a_line_and_in_copies(spark):
 def test_passages_do_not_depend_on_hashes(spark, hash_bits):
     data = planted()[0][::2] + rows()
     df = spark.createDataFrame([(r[0], r[1]) for r in data], "doc_id bigint, text string").repartition(3)
-    assert bag(line_chunks.dedup_lines(df, hash_bits=hash_bits), "doc_id", "text") == whole(data)
+    assert bag(line_chunks.dedup_lines(df, hash_bits=hash_bits), "doc_id", "text") == brute(data)
 
 
-def test_query_leaves_no_passage_twice(spark, sf_dir):
-    data = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
-    expected = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in whole(data)}
-    found = entry_module.queries()["op9_line_dedup"](spark, sf_dir).collect()
-    assert {r["doc_id"]: r["text_sha256"] for r in found} == expected
+def sentence(name, words=20):
+    return " ".join(f"{name}w{j}" for j in range(words)) + "."
+
+
+def test_stitched_text_stays(spark):
+    """Forty words of one text and forty of another are no repeated passage."""
+    own = [sentence(f"own{i}", 30) for i in range(3)]
+    s = [sentence(f"s{i}") for i in range(4)]
+    data = [(1, f"{own[0]} {s[0]} {s[1]}"), (2, f"{own[1]} {s[2]} {s[3]}"), (3, " ".join([own[2], *s]))]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    assert bag(line_chunks.dedup_lines(df), "doc_id", "text") == data == brute(data)
+
+
+def test_grows_over_seeds_that_first_stood_elsewhere(spark, monkeypatch):
+    """A passage goes whole although parts of it stand in still earlier texts, however far they reach."""
+    s = [sentence(f"s{i}", 10) for i in range(130)]
+    data = [(i, " ".join([sentence(f"a{i}", 60), *s[3 * i : 3 * i + 3]])) for i in range(40) if i != 20]
+    data += [(100, " ".join([sentence("b", 60), *s[:125]])), (101, " ".join([sentence("c", 60), *s, sentence("d", 9)]))]
+    expected = brute(data)
+    assert dict(expected)[101].split() == [*sentence("c", 60).split(), *" ".join(s[125:]).split(), *sentence("d", 9).split()]
+    df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+    assert bag(line_chunks.dedup_lines(df), "doc_id", "text") == expected
