@@ -4,7 +4,8 @@ The published zone Markov model: in a zone the player shoots or moves the
 ball; a shot scores with the zone's rate, a move that is followed by another
 event leads to the value of its end zone, and anything else loses the ball.
 The state is bounded by the grid, so the tables are reduced to one row per
-zone first and the fixed number of iterations runs on one array.
+zone first. On a coarse grid the fixed number of iterations runs on one array;
+``sparse_threat`` is for fine grids and for values that have settled.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from buildup.session import stage
 KEYS = ["match_id", "possession"]
 BINS_X, BINS_Y = 12, 12
 ITERATIONS = 5
+MOST_BROADCAST = 1_000_000  # zones, of 16 bytes
+STEPS_STAGED = 4
 
 
 def with_zones(moves: DataFrame, bins_x: int = BINS_X, bins_y: int = BINS_Y) -> DataFrame:
@@ -104,8 +107,61 @@ def fit(moves: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
 
 
 def with_threat(rows: DataFrame, model: DataFrame, zone: Column, name: str = "score") -> DataFrame:
-    """Add the model's value of ``zone`` to every row; the one-row model is broadcast."""
-    return rows.crossJoin(F.broadcast(model)).withColumn(name, F.get("threat", zone)).drop("threat")
+    """Add the model's value of ``zone`` to every row; null without a zone. The model has a row for each zone of a grid."""
+    values = model.select(F.posexplode("threat").alias("_zone", name))
+    return rows.join(F.broadcast(values), zone == F.col("_zone"), "left").drop("_zone")
+
+
+def sparse_model(zoned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Staged ``(zone, direct)`` of the zones with events, and ``(zone, end_zone, p)`` of the moves between them."""
+    counts = stage(zone_counts(zoned), "zone-counts")
+    direct = counts.select("zone", (F.col("goals") / F.col("events")).alias("direct"))
+    moves = zone_moves(zoned).join(counts.select("zone", "events"), "zone")
+    moves = moves.where("n > 0").select("zone", "end_zone", (F.col("n") / F.col("events")).alias("p"))
+    return direct, stage(moves, "zone-moves")
+
+
+def _advance(values: DataFrame, direct: DataFrame, moves: DataFrame, few: bool) -> DataFrame:
+    """One step: ``direct`` plus the moves' chances times the values of their ends, with the change of each value."""
+    ends = values.select(F.col("zone").alias("end_zone"), "threat")
+    met = moves.join(F.broadcast(ends) if few else ends, "end_zone")
+    zero = F.lit(0.0)
+    parts = met.select("zone", (F.col("p") * F.col("threat")).alias("new"), zero.alias("old"))
+    parts = parts.unionByName(direct.select("zone", F.col("direct").alias("new"), zero.alias("old")))
+    parts = parts.unionByName(values.select("zone", zero.alias("new"), F.col("threat").alias("old")))
+    sums = parts.groupBy("zone").agg(F.sum("new").alias("threat"), F.sum("old").alias("old"))
+    return sums.select("zone", "threat", F.abs(F.col("threat") - F.col("old")).alias("change"))
+
+
+def sparse_threat(
+    moves: DataFrame,
+    bins_x: int,
+    bins_y: int,
+    iterations: int | None = None,
+    tolerance: float = 1e-10,
+    max_iterations: int = 10_000,
+) -> DataFrame:
+    """``(zone, threat)`` of the zones with events on a grid of any size.
+
+    The moves are a sparse matrix: a step is a join with the values and an aggregation, and the result of every few is
+    staged. Runs ``iterations`` steps, or until no value changes by more than ``tolerance`` in one; fails if that
+    takes ``max_iterations``. The values are broadcast if the grid has few zones.
+    """
+    zoned = stage(with_zones(moves, bins_x, bins_y).select(*KEYS, "index", "type", "shot_outcome", "zone", "end_zone"), "zoned")
+    direct, pairs = sparse_model(zoned)
+    few = bins_x * bins_y <= MOST_BROADCAST
+    values, done = direct.select("zone", F.col("direct").alias("threat")), 1
+    last = iterations or max_iterations
+    while done < last:
+        for _ in range(min(STEPS_STAGED, last - done)):
+            values, done = _advance(values.select("zone", "threat"), direct, pairs, few), done + 1
+        values = stage(values, "threat")
+        if iterations is None and (values.agg(F.max("change")).first()[0] or 0.0) <= tolerance:
+            break
+    else:
+        if iterations is None:
+            raise RuntimeError(f"the threat did not settle in {max_iterations} steps")
+    return values.select("zone", "threat")
 
 
 def continue_rates(moves: DataFrame) -> DataFrame:

@@ -55,6 +55,38 @@ def zone_threat(spark, sf_dir):
     return rows.select(*big("zone"), F.round("threat", 6).alias("threat"))
 
 
+def _grid_model(bins_x: int, bins_y: int, iterations: int) -> str:
+    """Values of the zones with events on another grid."""
+    model = _MODEL.replace(_iterations(5), _iterations(iterations))
+    model = model.replace(views.cell("x", "y"), views.cell("x", "y", bins_x, bins_y))
+    model = model.replace(views.cell("end_x", "end_y"), views.cell("end_x", "end_y", bins_x, bins_y))
+    model = model.replace("range(144)", f"range({bins_x * bins_y})")
+    return f"""{views.MV}, {model}
+SELECT zone::BIGINT AS zone, round(threat, 5) AS threat FROM threat JOIN zstat USING (zone)"""
+
+
+def _sparse(spark, sf_dir, bins_x, bins_y, **options):
+    rows = threat.sparse_threat(moves(spark, sf_dir), bins_x, bins_y, **options)
+    return rows.select(*big("zone"), F.round("threat", 5).alias("threat"))
+
+
+@query("zone_threat_sparse", _grid_model(12, 12, 5))
+def zone_threat_sparse(spark, sf_dir):
+    return _sparse(spark, sf_dir, 12, 12, iterations=5)
+
+
+@query("zone_threat_fine", _grid_model(120, 80, 5))
+def zone_threat_fine(spark, sf_dir):
+    """On zones of one unit, where most pairs of zones have no move."""
+    return _sparse(spark, sf_dir, 120, 80, iterations=5)
+
+
+@query("zone_threat_settled", _grid_model(24, 16, 120))
+def zone_threat_settled(spark, sf_dir):
+    """Until the values no longer change."""
+    return _sparse(spark, sf_dir, 24, 16, tolerance=1e-10)
+
+
 @query("zone_moves", f"""{views.MV}, {_ZONED}
 SELECT zone, end_zone, count(*) FILTER (goes_on) AS n FROM zoned
 WHERE type IN ('Pass', 'Carry') AND end_zone IS NOT NULL GROUP BY zone, end_zone""")
