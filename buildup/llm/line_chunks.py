@@ -124,44 +124,6 @@ def without(text: str, cuts: list[tuple[int, int, bool]]) -> str:
     return "\n".join(out)
 
 
-def runs(places: set[int]) -> list[tuple[int, int]]:
-    """First and last of each run of consecutive numbers."""
-    out: list[tuple[int, int]] = []
-    for k in sorted(places):
-        if out and out[-1][1] == k - 1:
-            out[-1] = (out[-1][0], k)
-        else:
-            out.append((k, k))
-    return out
-
-
-def stretches(seeds: list[tuple], same: dict[tuple, set[int]], asked: int) -> tuple[list[tuple], list[tuple]]:
-    """``(from, to)`` of the stretches of pairs, and what has to be looked up to grow them further.
-
-    ``seeds`` has ``(place, pair, earlier text, place there)`` of the repeated pairs of a text. ``same`` has, by earlier
-    text and shift, the places that were found equal there; ``asked`` places beyond each end have been looked up.
-    """
-    pair = {k: h for k, h, _, _ in seeds}
-    lines: dict[tuple, set[int]] = {}
-    for k, _, other, place in seeds:
-        lines.setdefault((other, place - k), set()).add(k)
-    found, questions = [], []
-    for line, own in lines.items():
-        equal = own | same.get(line, set())
-        wanted = set()
-        for a, b in runs(own):
-            for end, step in ((b, 1), (a, -1)):
-                if all(end + step * i in equal for i in range(1, asked + 1)):
-                    k = end + step * (asked + 1)
-                    while k in pair and abs(k - end) <= asked + GROW:
-                        if k not in equal:
-                            wanted.add(k)
-                        k += step
-        questions += [(*line, k, pair[k]) for k in sorted(wanted)]
-        found += [(a, b) for a, b in runs(equal) if any(k in own for k in range(a, b + 1))]
-    return found, questions
-
-
 _FOUND = T.StructType().add("start", "integer").add("lines", "integer").add("h", "long").add("chunk", "boolean")
 
 
@@ -259,58 +221,117 @@ def _candidates_again(rows: DataFrame, hash_bits: int) -> DataFrame:
     return stage(clean.select(*columns).unionByName(alike.select(*columns)), "hits")
 
 
-_TEXT = "struct<no_id:boolean,id:bigint,text_hash:bigint>"
-_ASKED = f"struct<other:{_TEXT},shift:int,at:int,h:bigint,bytes:string>"
-_GROWN = f"struct<found:array<struct<start:int,last:int>>,asks:array<{_ASKED}>>"
+_GROWN = (
+    "no_id boolean, id bigint, text_hash bigint, start int, last int, other struct<no_id:boolean,id:bigint,text_hash:bigint>,"
+    " shift int, at int, h bigint, bytes string"
+)
 
 
-def _stretches(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Stretches of each text from its repeated pairs and the answers so far, and further questions."""
-    for seeds, answers, asked in batches:
-        out = []
-        for own, same, n in zip(seeds, answers, asked):
-            listed = [
-                (r["start"], (r["h"], r["bytes"]), (f["no_id"], f["id"], f["text_hash"]), f["start"])
-                for r in own
-                for f in (r["first"],)
-            ]
-            equal: dict[tuple, set[int]] = {}
-            for r in same if same is not None else ():
-                other = tuple(r["other"][name] for name in _KEY)
-                equal.setdefault((other, r["shift"]), set()).add(r["at"])
-            found, asks = stretches(listed, equal, n)
-            asks = [
-                {"other": dict(zip(_KEY, other)), "shift": shift, "at": at, "h": pair[0], "bytes": pair[1]}
-                for other, shift, at, pair in asks
-            ]
-            out.append(([{"start": a, "last": b} for a, b in found], asks))
-        yield pd.DataFrame(out, columns=["found", "asks"])
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def stretches(asked: int):
+    """Stretches of pairs of each text, and what has to be looked up to grow them further.
+
+    Texts come with their ``seeds`` (repeated pairs with their first place) and the ``answers`` so far: places that are
+    equal in an earlier text at some shift. Beyond each end ``asked`` places have been looked up. Rows with ``start``
+    are stretches of pairs, the others are questions.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield one(batch)
+
+    def spread(lists: pa.ListArray) -> tuple[np.ndarray, pa.StructArray]:
+        sizes = np.diff(lists.offsets.to_numpy())
+        return np.repeat(np.arange(len(lists)), sizes), lists.flatten()
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        doc, flat = spread(batch.column("seeds"))
+        first, k = flat.field("first"), _numbers(flat.field("start"))
+        rows = [[doc, *(_numbers(first.field(n)) for n in _KEY), _numbers(first.field("start")) - k, k, np.ones(len(k))]]
+        if asked:
+            to, found = spread(batch.column("answers"))
+            other, at = found.field("other"), _numbers(found.field("at"))
+            rows.append([to, *(_numbers(other.field(n)) for n in _KEY), _numbers(found.field("shift")), at, np.zeros(len(at))])
+        line = [np.concatenate(c).astype(np.int64) for c in zip(*rows)]
+        order = np.lexsort(line[5::-1])
+        *line, place, own = [c[order] for c in line]
+        # runs of consecutive places on one line: the same text, earlier text and shift
+        new = np.ones(len(place), bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in line], axis=0) | (place[1:] > place[:-1] + 1)
+        begin = np.flatnonzero(new)
+        low, high = place[begin], place[np.append(begin[1:], len(place)) - 1]
+        least = np.minimum.reduceat(np.where(own > 0, place, 1 << 40), begin)
+        most = np.maximum.reduceat(np.where(own > 0, place, -1), begin)
+        line = [c[begin] for c in line]
+        kept = most >= 0
+        line, low, high, least, most = [c[kept] for c in line], low[kept], high[kept], least[kept], most[kept]
+        # the runs of neighbouring seeds, on whatever lines, that each stretch lies in
+        width = int(k.max()) + 2 if len(k) else 2
+        known, where = np.unique(doc * width + k, return_index=True)
+        cut = np.append(True, known[1:] != known[:-1] + 1)
+        group = np.cumsum(cut) - 1
+        firsts = np.flatnonzero(cut)
+        lasts = np.append(firsts[1:], len(known)) - 1
+        near = lambda at: group[np.searchsorted(known, line[0] * width + at)]
+        after = np.where(high - most == asked, np.minimum(GROW, known[lasts[near(high)]] % width - high), 0)
+        before = np.where(least - low == asked, np.minimum(GROW, low - known[firsts[near(low)]] % width), 0)
+        asks = []
+        for count, base in ((after, high + 1), (before, low - before)):
+            of = np.repeat(np.arange(len(low)), count)
+            asks.append((of, np.repeat(base - np.cumsum(count) + count, count) + np.arange(len(of))))
+        of, at = (np.concatenate(c) for c in zip(*asks))
+        inside = at + line[4][of] >= 0
+        of, at = of[inside], at[inside]
+        pair = where[np.searchsorted(known, line[0][of] * width + at)]
+        n, m = len(low), len(of)
+        source = np.concatenate((line[0], line[0][of]))
+        columns = [batch.column(c).take(pa.array(source)) for c in _KEY]
+        none = lambda kind, count: pa.nulls(count, kind)
+        both = lambda a, b, kind: pa.concat_arrays([a if isinstance(a, pa.Array) else pa.array(a, kind), b])
+        columns.append(both(low, none(pa.int32(), m), pa.int32()))
+        columns.append(both(high, none(pa.int32(), m), pa.int32()))
+        other = pa.StructArray.from_arrays(
+            [pa.array(line[1][of] > 0, pa.bool_()), pa.array(line[2][of]), pa.array(line[3][of])], names=_KEY
+        )
+        columns.append(pa.concat_arrays([none(other.type, n), other]))
+        for values in (line[4][of], at):
+            columns.append(pa.concat_arrays([none(pa.int32(), n), pa.array(values, pa.int32())]))
+        for name in _SAME:
+            values = flat.field(name).take(pa.array(pair))
+            columns.append(pa.concat_arrays([none(values.type, n), values]))
+        names = [*_KEY, "start", "last", "other", "shift", "at", *_SAME]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
 
 
 def _grown(hits: DataFrame) -> DataFrame:
     """Stretches ``(key, start, lines)`` in pieces, grown until the earlier text differs."""
     pairs = hits.where("not chunk and lines = 2")
-    item = F.struct("start", *_SAME, "first")
     # a list holds the repeated pairs of one text
-    seeds = pairs.where("again").groupBy(*_KEY).agg(F.sort_array(F.collect_set(item)).alias("seeds"))
+    seeds = pairs.where("again").groupBy(*_KEY).agg(F.collect_list(F.struct("start", *_SAME, "first")).alias("seeds"))
     seeds = stage(seeds, "seeds")
-    texts = pairs.select(F.struct(*_KEY).alias("other"), F.col("start").alias("place"), *_SAME).distinct()
-    answered, asked = None, 0
-    grow = F.pandas_udf(_stretches, _GROWN)
+    places = pairs.select(F.struct(*_KEY).alias("other"), F.col("start").alias("place"), *_SAME)
+    rows, answered, asked, spans = seeds, None, 0, None
     while True:
-        rows = seeds.withColumn("answers", F.lit(None).cast(f"array<struct<other:{_TEXT},shift:int,at:int>>"))
-        if answered is not None:
-            lists = answered.groupBy(*_KEY).agg(F.collect_list(F.struct("other", "shift", "at")).alias("answers"))
-            rows = seeds.join(lists, _KEY, "left")
-        found = stage(rows.select(*_KEY, grow("seeds", "answers", F.lit(asked)).alias("s")), "stretches")
-        asks = found.select(*_KEY, F.explode("s.asks").alias("a")).select(*_KEY, "a.*")
-        more = asks.withColumn("place", F.col("at") + F.col("shift")).join(texts, ["other", "place", *_SAME])
-        more = stage(more.select(*_KEY, "other", "shift", "at"), "answers")
-        if more.isEmpty():
-            spans = found.select(*_KEY, F.explode("s.found").alias("f"))
-            return spans.select(*_KEY, "f.start", (F.col("f.last") - F.col("f.start") + 2).alias("lines"))
-        answered = more if answered is None else answered.unionByName(more)
+        found = stage(rows.mapInArrow(stretches(asked), _GROWN), "stretches")
+        some = found.where("start is not null").select(*_KEY, "start", (F.col("last") - F.col("start") + 2).alias("lines"))
+        spans = some if spans is None else spans.unionByName(some)
+        asks = found.where("start is null").withColumn("place", F.col("at") + F.col("shift"))
+        equal = asks.join(places, ["other", "place", *_SAME], "left_semi")
+        equal = stage(equal.select(*_KEY, "other", "shift", "at"), "answers")
+        if equal.isEmpty():
+            return spans
         asked += GROW
+        answered = equal if answered is None else answered.unionByName(equal)
+        # texts without an answer in this round do not change any more
+        lists = answered.join(equal.select(*_KEY).distinct(), _KEY, "left_semi").groupBy(*_KEY)
+        lists = lists.agg(F.collect_list(F.struct("other", "shift", "at")).alias("answers"))
+        rows = seeds.join(lists, _KEY)
 
 
 def repeated(
