@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,3 +48,18 @@ def write_vocab(spark: SparkSession, vocab: dict[str, int], path: str) -> None:
 def write_once(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     """Write unless the target exists already."""
     df.write.mode("ignore").partitionBy(*by).parquet(path)
+
+
+def bucketed(df: DataFrame, path: str, by: Sequence[str], order: str, buckets: int | None = None) -> DataFrame:
+    """``df`` written at ``path`` in buckets of ``by``, each sorted, and read back.
+
+    Grouping, windows and joins by ``by`` then need no exchange. The default number of buckets is that of the shuffle
+    partitions. The table is known to the session under the name of its folder.
+    """
+    spark = df.sparkSession
+    name = re.sub(r"\W", "_", path.rstrip("/").rsplit("/", 1)[-1])
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # one task a bucket, so that a bucket is one sorted file
+    rows = df.repartition(buckets, *by)
+    rows.write.bucketBy(buckets, *by).sortBy(*by, order).option("path", path).saveAsTable(name)
+    return spark.table(name)
