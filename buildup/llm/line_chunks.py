@@ -8,8 +8,9 @@ Two kinds of repeats go, except for their first occurrence, by the smallest docu
   than ``WORDS`` words is cut into its sentences. A pair of neighbouring pieces with what separates them is a seed
   where it occurred before. Seeds of a text that first occurred side by side in one earlier text make a stretch; it is
   grown to both sides over further seeds as long as that same earlier text goes on with the same pieces,
-  whether these first occurred there or not. A stretch of more than ``WORDS`` words goes, and so does a piece that
-  alone has as many and occurred before. What is stitched together from several places stays, unless
+  whether these first occurred there or not, by up to ``GROW`` pairs beyond its own seeds (where two shorter
+  repeats meet, the pair across them is a seed again). A stretch of more than ``WORDS`` words goes, and so does a
+  piece that alone has as many and occurred before. What is stitched together from several places stays, unless
   one of the parts is that long.
 
 Hashes only name candidates: their bytes are compared before anything is removed, and where different bytes share a
@@ -40,7 +41,7 @@ from buildup.session import stage
 
 MEAN = 3  # lines in a chunk, on average
 WORDS = 50  # a passage has more
-GROW = 50  # pairs beyond each end of a stretch that are looked up at a time
+GROW = (2, 16)  # pairs beyond each end of a stretch's seeds that are looked up first, and in all
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -231,12 +232,12 @@ def _numbers(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def stretches(asked: int):
+def stretches(asked: int, more: int):
     """Stretches of pairs of each text, and what has to be looked up to grow them further.
 
     Texts come with their ``seeds`` (repeated pairs with their first place) and the ``answers`` so far: places that are
-    equal in an earlier text at some shift. Beyond each end ``asked`` places have been looked up. Rows with ``start``
-    are stretches of pairs, the others are questions.
+    equal in an earlier text at some shift. Beyond each end ``asked`` places have been looked up, and where all are
+    equal, ``more`` will be. Rows with ``start`` are stretches of pairs, the others are questions.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,8 +278,8 @@ def stretches(asked: int):
         firsts = np.flatnonzero(cut)
         lasts = np.append(firsts[1:], len(known)) - 1
         near = lambda at: group[np.searchsorted(known, line[0] * width + at)]
-        after = np.where(high - most == asked, np.minimum(GROW, known[lasts[near(high)]] % width - high), 0)
-        before = np.where(least - low == asked, np.minimum(GROW, low - known[firsts[near(low)]] % width), 0)
+        after = np.where(high - most == asked, np.minimum(more, known[lasts[near(high)]] % width - high), 0)
+        before = np.where(least - low == asked, np.minimum(more, low - known[firsts[near(low)]] % width), 0)
         asks = []
         for count, base in ((after, high + 1), (before, low - before)):
             of = np.repeat(np.arange(len(low)), count)
@@ -316,22 +317,22 @@ def _grown(hits: DataFrame) -> DataFrame:
     seeds = pairs.where("again").groupBy(*_KEY).agg(F.collect_list(F.struct("start", *_SAME, "first")).alias("seeds"))
     seeds = stage(seeds, "seeds")
     places = pairs.select(F.struct(*_KEY).alias("other"), F.col("start").alias("place"), *_SAME)
-    rows, answered, asked, spans = seeds, None, 0, None
-    while True:
-        found = stage(rows.mapInArrow(stretches(asked), _GROWN), "stretches")
+    rows, answered, spans = seeds, None, None
+    for asked, then in zip((0, *GROW), (*GROW, None)):
+        found = stage(rows.mapInArrow(stretches(asked, then - asked if then else 0), _GROWN), "stretches")
         some = found.where("start is not null").select(*_KEY, "start", (F.col("last") - F.col("start") + 2).alias("lines"))
         spans = some if spans is None else spans.unionByName(some)
         asks = found.where("start is null").withColumn("place", F.col("at") + F.col("shift"))
         equal = asks.join(places, ["other", "place", *_SAME], "left_semi")
         equal = stage(equal.select(*_KEY, "other", "shift", "at"), "answers")
         if equal.isEmpty():
-            return spans
-        asked += GROW
+            break
         answered = equal if answered is None else answered.unionByName(equal)
         # texts without an answer in this round do not change any more
         lists = answered.join(equal.select(*_KEY).distinct(), _KEY, "left_semi").groupBy(*_KEY)
         lists = lists.agg(F.collect_list(F.struct("other", "shift", "at")).alias("answers"))
         rows = seeds.join(lists, _KEY)
+    return spans
 
 
 def repeated(

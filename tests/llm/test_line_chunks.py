@@ -38,19 +38,28 @@ def brute(data):
         for *doc, k in sorted(found, key=order)[1:]:
             gone_pieces[tuple(doc)].add(k)
     for doc, own in joint.items():
+        lines = defaultdict(set)
         for k, p in enumerate(own):
             *other, place = min(pairs[p], key=order)
-            other = tuple(other)
-            if (*other, place) == (*doc, k):
-                continue
-            same = lambda i: 0 <= i < len(own) and 0 <= i + place - k < len(joint[other]) and own[i] == joint[other][i + place - k]
-            low = high = k
-            while same(low - 1):
-                low -= 1
-            while same(high + 1):
-                high += 1
-            if sum(len(doc[1][a:b].split()) for a, b, _ in cut[doc][low : high + 2]) > 50:
-                gone_pieces[doc] |= set(range(low, high + 2))
+            if (*other, place) != (*doc, k):
+                lines[tuple(other), place - k].add(k)
+        for (other, shift), seeds in lines.items():
+            same = lambda i: 0 <= i < len(own) and 0 <= i + shift < len(joint[other]) and own[i] == joint[other][i + shift]
+            equal = set(seeds)
+            for k in seeds:
+                for step in (1, -1):
+                    for i in range(1, line_chunks.GROW[-1] + 1):
+                        if not same(k + step * i):
+                            break
+                        equal.add(k + step * i)
+            for k in seeds:
+                low = high = k
+                while low - 1 in equal:
+                    low -= 1
+                while high + 1 in equal:
+                    high += 1
+                if sum(len(doc[1][a:b].split()) for a, b, _ in cut[doc][low : high + 2]) > 50:
+                    gone_pieces[doc] |= set(range(low, high + 2))
     out = []
     for doc in [(r[0], r[1]) for r in data]:
         text = doc[1]
@@ -169,7 +178,7 @@ def test_stitched_text_stays(spark):
     assert bag(line_chunks.dedup_lines(df), "doc_id", "text") == data == brute(data)
 
 
-def test_grows_over_seeds_that_first_stood_elsewhere(spark, monkeypatch):
+def test_grows_over_seeds_that_first_stood_elsewhere(spark):
     """A passage goes whole although parts of it stand in still earlier texts, however far they reach."""
     s = [sentence(f"s{i}", 10) for i in range(130)]
     data = [(i, " ".join([sentence(f"a{i}", 60), *s[3 * i : 3 * i + 3]])) for i in range(40) if i != 20]
