@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from buildup.session import stage
 from buildup.sources import readers, schemas
 
 # Field layout of an event object; nested names are flattened with an underscore.
@@ -37,7 +38,11 @@ def read_event_files(spark: SparkSession, path: str) -> DataFrame:
     """Flat event table; the match id is the file name. An unreadable file has no rows here."""
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)\.json", 1)
     rows = readers.read_json(spark, path, _EVENT).withColumn("match_id", name.try_cast("bigint"))
-    return rows.where("id is not null and match_id is not null").select(
+    return _flat(rows.where("id is not null and match_id is not null"))
+
+
+def _flat(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "id", "match_id", "possession", "index",
         F.col("type.name").alias("type"),
         F.col("team.name").alias("team"),
@@ -56,6 +61,41 @@ def read_event_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, value)``: every file below ``path`` as one text."""
+    rows = spark.read.text(path, wholetext=True)
+    return rows.select(F.col("_metadata.file_path").alias("file"), "value")
+
+
+def parse_event_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Flat events of the texts that can be read, and the rejected files.
+
+    ``texts`` has ``file`` and ``value``, a JSON array of events or one event. A rejected file comes with the
+    ``reason``, its length and how it begins; a file is read whole or not at all. An empty array has no events and
+    is no failure. Events without an id, which the array reader would pass over, reject their file too.
+    """
+    schema = f"array<struct<{_EVENT.strip()}>>"
+    name = F.regexp_extract(F.col("file"), r"(?:^|/)(\d+)\.json$", 1)
+    whole = F.when(F.ltrim(F.col("value")).startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]")))
+    parsed = texts.select(
+        "file",
+        "value",
+        name.try_cast("bigint").alias("match_id"),
+        F.from_json(whole, schema).alias("events"),
+    )
+    reason = (
+        F.when(F.col("match_id").isNull(), "no match id")
+        .when(F.col("events").isNull() | F.exists("events", lambda e: e.isNull()), "broken")
+        .when(F.exists("events", lambda e: e["id"].isNull()), "event without id")
+    )
+    judged = stage(parsed.withColumn("reason", reason), "event-files")
+    rejected = judged.where("reason is not null").select(
+        "file", "reason", F.length("value").cast("bigint").alias("length"), F.left("value", F.lit(80)).alias("head")
+    )
+    rows = judged.where("reason is null").select("match_id", F.explode("events").alias("e")).select("match_id", "e.*")
+    return _flat(rows), rejected
+
+
 def collect(
     spark: SparkSession, root: str, countries: Sequence[str], season: str
 ) -> DataFrame:
