@@ -131,7 +131,7 @@ def in_sequence(df: DataFrame, per_partition: int = 4) -> DataFrame:
 
 
 _PAIR = (
-    "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    "doc_id string, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double, contained_in_edited double, contained_in_next double"
 )
 
@@ -159,14 +159,15 @@ def compare_edits(
         last = None
         for batch in batches:
             out = []
-            ids = [None if no else int(i) for no, i in zip(batch["no_id"], batch["doc_id"])]
-            for bucket, guest, doc_id, text in zip(batch["bucket"], batch["guest"], ids, batch["text"]):
+            for bucket, guest, doc_id, text in zip(batch["bucket"], batch["guest"], batch["doc_id"], batch["text"]):
                 text = text or ""
                 here = sketch(text, words, share)
                 if last is not None and last[0] == bucket:
                     out.append(row(*last[1:], text, here))
                 last = None if guest else (bucket, doc_id, text, here)
             columns = [c.split()[0] for c in _PAIR.split(", ")]
-            yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=columns)
 
-    return rows.mapInPandas(run, _PAIR)
+    # ids go through pandas as text: beside a null it would turn integers into doubles
+    found = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, _PAIR)
+    return found.withColumn("doc_id", F.col("doc_id").cast("bigint"))

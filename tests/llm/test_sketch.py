@@ -124,3 +124,11 @@ def test_likeness_of_short_texts():
         a, b = " ".join(a), " ".join(b)
         found.append(abs(sketch.likeness(sketch.sketch(a), sketch.sketch(b)) - exact(a, b)))
     assert sum(found) / len(found) < 0.12
+
+
+def test_large_ids_beside_null_ones(spark):
+    ids = [9007199254740993, None, 9007199254740995, -9007199254740997, 9223372036854775807]
+    rows = spark.createDataFrame([(i, f"some words of text {n}") for n, i in enumerate(ids)], "doc_id bigint, text string")
+    found = sketch.compare_edits(rows.coalesce(1))
+    assert found.schema["doc_id"].dataType.simpleString() == "bigint"
+    assert sorted([r["doc_id"] for r in found.collect()], key=repr) == sorted(ids, key=repr)
