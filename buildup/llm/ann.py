@@ -12,7 +12,8 @@ in the radius are searched again without a limit.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part, and neither do those
 of another than the most common length; equal distances are ordered by id; rows with the query's own id are no
-candidates for it, repeated rows of other ids count each; fewer than ``k`` candidates are all returned; an empty
+candidates for it, repeated rows of other ids count each; query rows that share an id ask once, with the smallest
+of their vectors in the order of arrays; fewer than ``k`` candidates are all returned; an empty
 table gives an empty result.
 """
 
@@ -180,7 +181,7 @@ def search(
         sample = np.array([r["vector"] for r in rows.limit(SAMPLE).select("vector").collect()])
     coder = Coder(sample, bits)
     radius = fit_radius(coder, sample, k, n) if len(sample) > 1 else bits
-    queries = rows.where("asks").dropDuplicates(["vec_id"])
+    queries = rows.where("asks").groupBy("vec_id").agg(F.min("vector").alias("vector"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(-(-n // block_rows), min(tasks, -(-n // 2048)))
     groups = max(1, -(-queries.count() // QUERY_BLOCK))

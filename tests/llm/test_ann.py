@@ -93,3 +93,17 @@ def test_recall_of_the_query(spark, sf_dir):
     expected = nearest(ids, vectors, np.flatnonzero(ids % 100 == 0))
     hits = sum(len({v for v, _ in got[q]} & {v for v, _ in rows}) for q, rows in expected.items())
     assert hits >= 0.9 * sum(map(len, expected.values()))
+
+
+def test_queries_that_share_an_id_do_not_depend_on_partitions(spark):
+    import random
+
+    draw = random.Random(9)
+    data = [(i, [draw.gauss(0, 1) for _ in range(8)]) for i in range(60)]
+    data += [(7, [draw.gauss(0, 1) for _ in range(8)]) for _ in range(4)]
+    rows = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+    own = min(v for i, v in data if i == 7)
+    expected = sorted((sum((a - b) ** 2 for a, b in zip(v, own)) ** 0.5, i) for i, v in data if i != 7)[:5]
+    for parts in (1, 2, 5, 11):
+        out = ann.search(rows.repartition(parts), F.col("vec_id") == 7, k=5).orderBy("rank").collect()
+        assert [r["vec_id"] for r in out] == [i for _, i in expected]
