@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["movement", "exploration", "evaluation", "threat", "shots", "tables", "models", "mixtures", "suffixes", "publishing", "uncertainty"]
+_MODULES = ["movement", "exploration", "evaluation", "threat", "shots", "tables", "models", "mixtures", "suffixes", "publishing", "uncertainty", "storage"]
 
 
 def load():

@@ -63,3 +63,15 @@ def bucketed(df: DataFrame, path: str, by: Sequence[str], order: str, buckets: i
     rows = df.repartition(buckets, *by)
     rows.write.bucketBy(buckets, *by).sortBy(*by, order).option("path", path).saveAsTable(name)
     return spark.table(name)
+
+
+def write_for_lookup(df: DataFrame, path: str, by: Sequence[str], order: str, group_bytes: int = 16 << 20) -> None:
+    """``df`` sorted by ``by`` across all files, with Bloom filters on these columns and small row groups.
+
+    A reader that filters on them skips files and row groups by their statistics, and by the filters where a value lies
+    between the least and the greatest but does not occur.
+    """
+    writer = df.repartitionByRange(*by).sortWithinPartitions(*by, order).write.option("parquet.block.size", group_bytes)
+    for column in by:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.parquet(path)
