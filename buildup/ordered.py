@@ -4,9 +4,9 @@ A plain ``Window.partitionBy(key).orderBy(order)`` sends a whole group to one
 task. The functions here cut groups of more than ``block_rows`` rows into blocks
 of consecutive ``order`` values, work inside (group, block), and carry only a
 small summary row per block across the cut. ``order`` must be an integer that is
-unique in a group. The width of a block follows from the group's rows and range
-of values, so that a block holds about ``block_rows`` rows however sparse the
-values are; the result does not depend on it.
+unique in a group. Blocks are cut at sampled values, so that a block holds
+about ``block_rows`` rows however the values are spread; the result does not
+depend on it.
 
 All other groups are one block and have no summary to carry: the side table is
 then empty at run time and AQE drops the join.
@@ -23,20 +23,24 @@ from pyspark.sql import functions as F
 from buildup.session import stage
 
 BLOCK_ROWS = 1_000_000
+SAMPLED = 32
 
 
 def _with_block(df: DataFrame, keys: Sequence[str], order: str, block_rows: int) -> DataFrame:
     """Add ``_block``, 0 throughout unless the group is large.
 
-    There is at most one large group for every ``block_rows`` rows, which bounds what is
-    broadcast; joined otherwise, a large group would meet in one task.
+    A large group is cut at order values taken from a sample of its rows, ``SAMPLED`` a block, so blocks hold about
+    ``block_rows`` rows however the values are spread. The sample is drawn by the hash of the value: every use of the
+    blocks sees the same ones. There is at most one large group, and about one cut, for every ``block_rows`` rows, which
+    bounds what is broadcast; joined otherwise, a large group would meet in one task.
     """
-    n, low, high = F.count("*"), F.min(order), F.max(order)
-    width = F.greatest(F.lit(1), F.floor((high - low + 1) * F.lit(float(block_rows)) / n))
-    large = df.groupBy(*keys).agg(n.alias("_n"), low.alias("_low"), width.cast("bigint").alias("_width"))
-    large = large.where(F.col("_n") > block_rows).drop("_n")
-    block = F.coalesce(F.expr(f"(`{order}` - _low) div _width"), F.lit(0).cast("bigint"))
-    return df.join(F.broadcast(large), list(keys), "left").select(*df.columns, block.alias("_block"))
+    large = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block_rows).select(*keys)
+    every = min(SAMPLED, block_rows)
+    picked = df.where(F.pmod(F.xxhash64(order, *keys), F.lit(block_rows)) < every).select(*keys, F.col(order).alias("_at"))
+    sample = picked.join(F.broadcast(large), list(keys)).groupBy(*keys).agg(F.sort_array(F.collect_list("_at")).alias("_s"))
+    cuts = sample.select(*keys, F.expr(f"filter(_s, (x, i) -> i % {every} = {every - 1})").alias("_cuts"))
+    block = F.expr(f"coalesce(size(filter(_cuts, c -> c < `{order}`)), 0)").cast("bigint")
+    return df.join(F.broadcast(cuts), list(keys), "left").select(*df.columns, block.alias("_block"))
 
 
 def _direction(column: str, descending: bool) -> Column:

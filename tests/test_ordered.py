@@ -143,3 +143,22 @@ def test_sparse_order_values_leave_one_block_a_key(spark):
     assert blocks.count() == 50
     cut = ordered._with_block(rows, ["key"], "ord", 10).groupBy("key", "_block").count()
     assert cut.count() <= 250 and cut.agg({"count": "max"}).first()[0] <= 11
+
+
+@pytest.mark.parametrize("block_rows", [3, 100, 1000])
+def test_blocks_are_even_whatever_the_values(spark, block_rows):
+    """Dense values with one far away, values that grow by squares, and small groups beside them."""
+    dense = spark.range(5_000).select(F.lit("dense").alias("k"), (F.col("id") + F.when(F.col("id") == 4_999, 10**15).otherwise(0)).alias("at"))
+    squares = spark.range(5_000).select(F.lit("squares").alias("k"), (F.col("id") * F.col("id") * F.col("id")).alias("at"))
+    small = spark.range(600).select((F.col("id") % 300).cast("string").alias("k"), F.col("id").alias("at"))
+    rows = dense.union(squares).union(small).repartition(5)
+    out = ordered._with_block(rows, ["k"], "at", block_rows)
+    sizes = out.groupBy("k", "_block").agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high"))
+    found = sizes.orderBy("k", "_block").collect()
+    assert sum(r["n"] for r in found) == 10_600
+    for k in ("dense", "squares"):
+        own = [r for r in found if r["k"] == k]
+        assert max(r["n"] for r in own) <= max(2.2 * block_rows, block_rows + 3)
+        assert len(own) >= 5_000 / block_rows / 1.5
+        assert all(a["high"] < b["low"] for a, b in zip(own, own[1:]))
+    assert all(r["_block"] == 0 for r in found if r["k"] not in ("dense", "squares"))
