@@ -8,8 +8,8 @@ Two kinds of repeats go, except for their first occurrence, by the smallest docu
   than ``WORDS`` words is cut into its sentences. A pair of neighbouring pieces with what separates them is a seed
   where it occurred before. Seeds of a text that first occurred side by side in one earlier text make a stretch; it is
   grown to both sides over further seeds as long as that same earlier text goes on with the same pieces,
-  whether these first occurred there or not, by up to ``GROW`` pairs beyond its own seeds (where two shorter
-  repeats meet, the pair across them is a seed again). A stretch of more than ``WORDS`` words goes, and so does a
+  whether these first occurred there or not: by two pairs beyond its own seeds, and if it then has up to ``WORDS``
+  words, by up to sixteen (where two shorter repeats meet, the pair across them is a seed again). A stretch of more than ``WORDS`` words goes, and so does a
   piece that alone has as many and occurred before. What is stitched together from several places stays, unless
   one of the parts is that long.
 
@@ -87,9 +87,12 @@ def pieces(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def candidates(text: str | None) -> list[tuple[int, int, int, bool]]:
-    """``(first, number, hash, chunk)``: the chunks in lines, then neighbouring pieces and long ones in pieces."""
-    out = [(*found, True) for found in chunks(text)]
+def candidates(text: str | None) -> list[tuple[int, int, int, bool, int]]:
+    """``(first, number, hash, chunk, words)``: the chunks in lines, then neighbouring pieces and long ones in pieces.
+
+    ``words`` are those of the first piece.
+    """
+    out = [(*found, True, 0) for found in chunks(text)]
     if text and _long(text):
         cut = pieces(text)
         digest = xxhash.xxh64_intdigest
@@ -98,8 +101,9 @@ def candidates(text: str | None) -> list[tuple[int, int, int, bool]]:
         between = [digest(text[one[1] : two[0]]) for one, two in zip(cut, cut[1:])]
         pairs = (alone[:-1] * _TURN ^ alone[1:]) * _TURN + np.array(between, np.uint64)
         pairs = ((pairs ^ pairs >> np.uint64(29)) * _TURN).view(np.int64).tolist()
-        out += [(k, 2, h, False) for k, h in enumerate(pairs)]
-        out += [(k, 1, parts[k] - 2**63, False) for k, (a, b, _) in enumerate(cut) if _long(text[a:b])]
+        words = [len(text[a:b].split()) for a, b, _ in cut]
+        out += [(k, 2, h, False, n) for k, (h, n) in enumerate(zip(pairs, words))]
+        out += [(k, 1, parts[k] - 2**63, False, n) for k, n in enumerate(words) if n > WORDS]
     return out
 
 
@@ -126,15 +130,16 @@ def without(text: str, cuts: list[tuple[int, int, bool]]) -> str:
 
 
 _FOUND = T.StructType().add("start", "integer").add("lines", "integer").add("h", "long").add("chunk", "boolean")
+_FOUND = _FOUND.add("words", "integer")
 
 
 def _candidates(hash_bits: int):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32()]
         for batch in batches:
             found = [candidates(t) for t in batch.to_pylist()]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            columns = list(zip(*chain.from_iterable(found))) or [()] * 4
+            columns = list(zip(*chain.from_iterable(found))) or [()] * 5
             columns[2] = [h >> (64 - hash_bits) for h in columns[2]] if hash_bits < 64 else columns[2]
             flat = pa.StructArray.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds)], names=_FOUND.fieldNames()
@@ -199,8 +204,8 @@ def _candidates_again(rows: DataFrame, hash_bits: int) -> DataFrame:
     same = ["h", "chunk"]
     groups = found.groupBy(*same).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
     hits = found.join(groups.select(*same, "first"), same).withColumn("again", place != F.col("first"))
-    hits = stage(hits.select(*_KEY, "start", "lines", *same, "first", "again"), "hits")
-    span = F.struct("start", "lines", *same)
+    hits = stage(hits.select(*_KEY, "start", "lines", "words", *same, "first", "again"), "hits")
+    span = F.struct("start", "lines", "words", *same)
     listed = hits.groupBy(*_KEY).agg(F.sort_array(F.collect_set(span)).alias("cuts"))
     # the lists grow with the documents: the same join at every size
     passages = (
@@ -212,7 +217,7 @@ def _candidates_again(rows: DataFrame, hash_bits: int) -> DataFrame:
     # equal bytes throughout a hash, or not
     compared = passages.groupBy(*same).agg(F.min("bytes").alias("a"), F.max("bytes").alias("b"))
     mixed = stage(compared.where("a <> b").select(*same), "mixed")
-    columns = [*_KEY, "start", "lines", "chunk", *_SAME, "first", "again"]
+    columns = [*_KEY, "start", "lines", "words", "chunk", *_SAME, "first", "again"]
     if mixed.isEmpty():
         return hits.withColumn("bytes", F.lit("")).select(*columns)
     alike = passages.join(mixed, same)
@@ -237,7 +242,8 @@ def stretches(asked: int, more: int):
 
     Texts come with their ``seeds`` (repeated pairs with their first place) and the ``answers`` so far: places that are
     equal in an earlier text at some shift. Beyond each end ``asked`` places have been looked up, and where all are
-    equal, ``more`` will be. Rows with ``start`` are stretches of pairs, the others are questions.
+    equal and the stretch is still short, ``more`` will be. Rows with ``start`` are stretches of pairs, the others are
+    questions.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,9 +283,12 @@ def stretches(asked: int, more: int):
         group = np.cumsum(cut) - 1
         firsts = np.flatnonzero(cut)
         lasts = np.append(firsts[1:], len(known)) - 1
-        near = lambda at: group[np.searchsorted(known, line[0] * width + at)]
-        after = np.where(high - most == asked, np.minimum(more, known[lasts[near(high)]] % width - high), 0)
-        before = np.where(least - low == asked, np.minimum(more, low - known[firsts[near(low)]] % width), 0)
+        at_low, at_high = (np.searchsorted(known, line[0] * width + at) for at in (low, high))
+        # the words of a stretch but for its last piece
+        words = np.append(0, np.cumsum(_numbers(flat.field("words"))[where]))
+        short = words[at_high + 1] - words[at_low] <= WORDS if asked else True
+        after = np.where(short & (high - most == asked), np.minimum(more, known[lasts[group[at_high]]] % width - high), 0)
+        before = np.where(short & (least - low == asked), np.minimum(more, low - known[firsts[group[at_low]]] % width), 0)
         asks = []
         for count, base in ((after, high + 1), (before, low - before)):
             of = np.repeat(np.arange(len(low)), count)
@@ -314,7 +323,7 @@ def _grown(hits: DataFrame) -> DataFrame:
     """Stretches ``(key, start, lines)`` in pieces, grown until the earlier text differs."""
     pairs = hits.where("not chunk and lines = 2")
     # a list holds the repeated pairs of one text
-    seeds = pairs.where("again").groupBy(*_KEY).agg(F.collect_list(F.struct("start", *_SAME, "first")).alias("seeds"))
+    seeds = pairs.where("again").groupBy(*_KEY).agg(F.collect_list(F.struct("start", "words", *_SAME, "first")).alias("seeds"))
     seeds = stage(seeds, "seeds")
     places = pairs.select(F.struct(*_KEY).alias("other"), F.col("start").alias("place"), *_SAME)
     rows, answered, spans = seeds, None, None

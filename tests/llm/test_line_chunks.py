@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 from collections import defaultdict
 
 import pytest
@@ -12,6 +13,16 @@ def order(place):
     return (place[0] is None, place[0] or 0, *place[1:])
 
 
+def run(places, k):
+    """Ends of the run of consecutive places around ``k``."""
+    low = high = k
+    while low - 1 in places:
+        low -= 1
+    while high + 1 in places:
+        high += 1
+    return low, high
+
+
 def brute(data):
     """Texts without repeats, by comparing the texts of chunks, pairs and long pieces; equal rows are one document."""
     chunks, pairs, long = defaultdict(set), defaultdict(set), defaultdict(set)
@@ -45,20 +56,28 @@ def brute(data):
                 lines[tuple(other), place - k].add(k)
         for (other, shift), seeds in lines.items():
             same = lambda i: 0 <= i < len(own) and 0 <= i + shift < len(joint[other]) and own[i] == joint[other][i + shift]
-            equal = set(seeds)
-            for k in seeds:
-                for step in (1, -1):
-                    for i in range(1, line_chunks.GROW[-1] + 1):
-                        if not same(k + step * i):
-                            break
-                        equal.add(k + step * i)
+            words = lambda low, high: sum(len(doc[1][a:b].split()) for a, b, _ in cut[doc][low : high + 1])
+
+            def grown(equal, reach):
+                out = set(equal)
+                for k in equal if reach == 2 else seeds:
+                    for step in (1, -1):
+                        way = list(itertools.takewhile(same, (k + step * i for i in range(1, reach + 1))))
+                        if reach == 2:
+                            out.update(way)
+                            continue
+                        # further only beyond two equal pairs after the last seed, from a stretch that is short
+                        low, high = run(equal, k)
+                        ends = [i for i in range(low, high + 1) if i in seeds]
+                        edge = (ends[-1], high) if step == 1 else (ends[0], low)
+                        if edge[0] == k and abs(edge[1] - k) == 2 and words(low, high) <= 50:
+                            out.update(way)
+                return out
+
+            equal = grown(grown(seeds, 2), line_chunks.GROW[-1])
             for k in seeds:
-                low = high = k
-                while low - 1 in equal:
-                    low -= 1
-                while high + 1 in equal:
-                    high += 1
-                if sum(len(doc[1][a:b].split()) for a, b, _ in cut[doc][low : high + 2]) > 50:
+                low, high = run(equal, k)
+                if words(low, high + 1) > 50:
                     gone_pieces[doc] |= set(range(low, high + 2))
     out = []
     for doc in [(r[0], r[1]) for r in data]:
