@@ -43,6 +43,7 @@ MEAN = 3  # lines in a chunk, on average
 WORDS = 50  # a passage has more
 GROW = (2, 16)  # pairs beyond each end of a stretch's seeds that are looked up first, and in all
 _TURN = np.uint64(0x9E3779B97F4A7C15)
+_MANY = 0x7FFF  # words of a piece are counted up to here
 
 
 def chunks(text: str | None) -> list[tuple[int, int, int]]:
@@ -90,7 +91,7 @@ def pieces(text: str) -> list[tuple[int, int, int]]:
 def candidates(text: str | None) -> list[tuple[int, int, int, bool, int]]:
     """``(first, number, hash, chunk, words)``: the chunks in lines, then neighbouring pieces and long ones in pieces.
 
-    ``words`` are those of the first piece.
+    ``words`` are those of the first piece, and of the next in the upper half.
     """
     out = [(*found, True, 0) for found in chunks(text)]
     if text and _long(text):
@@ -102,7 +103,8 @@ def candidates(text: str | None) -> list[tuple[int, int, int, bool, int]]:
         pairs = (alone[:-1] * _TURN ^ alone[1:]) * _TURN + np.array(between, np.uint64)
         pairs = ((pairs ^ pairs >> np.uint64(29)) * _TURN).view(np.int64).tolist()
         words = [len(text[a:b].split()) for a, b, _ in cut]
-        out += [(k, 2, h, False, n) for k, (h, n) in enumerate(zip(pairs, words))]
+        some = [min(n, _MANY) for n in words]
+        out += [(k, 2, h, False, n | then << 16) for k, (h, n, then) in enumerate(zip(pairs, some, some[1:]))]
         out += [(k, 1, parts[k] - 2**63, False, n) for k, n in enumerate(words) if n > WORDS]
     return out
 
@@ -284,9 +286,12 @@ def stretches(asked: int, more: int):
         firsts = np.flatnonzero(cut)
         lasts = np.append(firsts[1:], len(known)) - 1
         at_low, at_high = (np.searchsorted(known, line[0] * width + at) for at in (low, high))
+        counted = _numbers(flat.field("words"))[where]
+        words = np.append(0, np.cumsum(counted & _MANY))
+        # a run of seeds that is no passage as a whole cannot become one
+        enough = words[lasts + 1] - words[firsts] + (counted[lasts] >> 16) > WORDS
         # the words of a stretch but for its last piece
-        words = np.append(0, np.cumsum(_numbers(flat.field("words"))[where]))
-        short = words[at_high + 1] - words[at_low] <= WORDS if asked else True
+        short = enough[group[at_high]] & (words[at_high + 1] - words[at_low] <= WORDS if asked else True)
         after = np.where(short & (high - most == asked), np.minimum(more, known[lasts[group[at_high]]] % width - high), 0)
         before = np.where(short & (least - low == asked), np.minimum(more, low - known[firsts[group[at_low]]] % width), 0)
         asks = []
