@@ -35,7 +35,7 @@ from buildup.session import stage
 
 MARK = "▁"
 LONGEST = 32  # keeps forward probabilities within double precision
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 CACHED_LENGTH = 48
 FIXED_POINT = 2**20  # expected counts are summed as integers, in any order
 
