@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from buildup.llm.common import prepare
+from buildup.llm.common import make_room, prepare, worker_cache
 from buildup.llm.lattice import HashTable, Pieces, by_step
 
 CACHE_WORDS = 200_000  # in each of two generations
@@ -295,12 +295,13 @@ class Encoder:
         return " ".join(map(self.automaton.labels.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = worker_cache()
 
 
 def _encoder(shared, path: str) -> Encoder:
     """One encoder for each worker process and vocabulary."""
     if path not in _encoders:
+        make_room(_encoders)
         _encoders[path] = Encoder(shared.value)
     return _encoders[path]
 

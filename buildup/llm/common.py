@@ -16,6 +16,20 @@ from buildup.session import configure
 BATCH_ROWS = 512
 
 _shipped: set[str] = set()
+_worker_caches: list[dict] = []
+
+
+def worker_cache() -> dict:
+    """A cache of a Python worker; ``make_room`` keeps one of them filled at a time."""
+    _worker_caches.append({})
+    return _worker_caches[-1]
+
+
+def make_room(own: dict) -> None:
+    """Empty the caches of other operators, which ran earlier in the same worker."""
+    for cache in _worker_caches:
+        if cache is not own:
+            cache.clear()
 
 
 def prepare(spark: SparkSession) -> SparkSession:

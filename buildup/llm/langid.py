@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from buildup.llm.common import prepare
+from buildup.llm.common import make_room, prepare, worker_cache
 from buildup.llm.lattice import Pieces, by_step
 from buildup.session import stage
 
@@ -163,7 +163,7 @@ class Scorer:
         return out[:, :-1], out[:, -1]
 
 
-_scorers: dict[str, Scorer] = {}
+_scorers: dict[str, Scorer] = worker_cache()
 
 
 class LanguageModel:
@@ -182,6 +182,7 @@ class LanguageModel:
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             languages, pieces, p = shared.value
             if name not in _scorers and languages:
+                make_room(_scorers)
                 _scorers.clear()
                 _scorers[name] = Scorer(pieces, p)
             for batch in batches:

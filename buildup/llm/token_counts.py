@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from buildup.llm.bpe import byte_letters
-from buildup.llm.common import prepare
+from buildup.llm.common import make_room, prepare, worker_cache
 
 WINDOW = 1 << 18  # code points read at a time
 CHUNK = 64  # code points of a splitter chunk
@@ -460,12 +460,13 @@ class Reader:
         return out
 
 
-_readers: dict[str, Reader] = {}
+_readers: dict[str, Reader] = worker_cache()
 
 
 def _reader(shared, path: str) -> Reader:
     """One reader for each worker process and vocabulary."""
     if path not in _readers:
+        make_room(_readers)
         _readers[path] = Reader(shared.value)
     return _readers[path]
 
