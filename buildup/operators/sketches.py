@@ -24,17 +24,25 @@ def codes(events: DataFrame, column: str) -> DataFrame:
 
 
 def bitmaps(rows: DataFrame, code: Column) -> DataFrame:
-    """``(match_id, bucket, bitmap)`` of the codes of every match."""
+    """``(match_id, bucket, bitmap)`` of the codes of every match; a bitmap ends after its last set byte."""
     # codes start at 1 in a bitmap's buckets
     own = rows.select(MATCH, (code + 1).alias("_c")).where("_c is not null")
-    return own.groupBy(MATCH, F.bitmap_bucket_number("_c").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("_c")).alias("bitmap")
-    )
+    own = own.select(MATCH, F.bitmap_bucket_number("_c").alias("bucket"), F.bitmap_bit_position("_c").alias("_bit"))
+    # each bitmap is built whole in one place: only codes are shuffled, not buffers of a bitmap's full length
+    own = own.distinct().repartition(MATCH, "bucket")
+    built = own.groupBy(MATCH, "bucket").agg(F.bitmap_construct_agg("_bit").alias("bitmap"), F.max("_bit").alias("_last"))
+    cut = F.expr("substring(bitmap, 1, cast(_last div 8 + 1 as int))")
+    return built.select(MATCH, "bucket", cut.alias("bitmap"))
 
 
 def distinct_codes(stored: DataFrame, sets: DataFrame, by: Sequence[str]) -> DataFrame:
     """Exact number of codes in every set; ``sets`` has ``by`` and the ``match_id`` of each member."""
-    merged = stored.join(sets, MATCH).groupBy(*by, "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    # stored bitmaps grow with the matches, and by far when they are unpacked: the same join at every size
+    members = stored.hint("merge").join(sets, MATCH)
+    if MATCH in by:
+        # as many sets as matches: their bitmaps meet before they are merged at full length
+        members = members.repartition(*by, "bucket")
+    merged = members.groupBy(*by, "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
     return merged.groupBy(*by).agg(F.sum(F.bitmap_count("bitmap")).alias("n"))
 
 

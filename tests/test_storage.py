@@ -76,3 +76,18 @@ def test_bitmaps_count_distinct_values_exactly(spark):
     found = {r["s"]: r["n"] for r in sketches.distinct_codes(sketches.bitmaps(coded, F.col("code")), sets, ["s"]).collect()}
     assert found == {s: len({p for m, p in data if m % 3 == s and p is not None}) for s in range(3)}
     assert sketches.bitmaps(coded.where("false"), F.col("code")).count() == 0
+
+
+def test_stored_bitmaps_are_short_and_never_broadcast(spark):
+    codes = [0, 7, 8, 32766, 32767, 70_000]
+    rows = spark.createDataFrame([(m, c) for m in range(3) for c in codes[: 2 * m + 2]] + [(None, 5), (1, None)], "match_id bigint, code bigint")
+    stored = sketches.bitmaps(rows, F.col("code"))
+    sizes = {(r["match_id"], r["bucket"]): len(r["bitmap"]) for r in stored.where("match_id is not null").collect()}
+    assert sizes[0, 1] == 1 and sizes[1, 1] == 4096 and sizes[2, 3] < 4096
+    sets = spark.range(3).select(F.col("id").alias("match_id"), F.explode(F.array(F.lit("all"), F.col("id").cast("string"))).alias("s"))
+    merged = sketches.distinct_codes(stored, sets, ["s"])
+    assert {r["s"]: r["n"] for r in merged.collect()} == {"all": 6, "0": 2, "1": 4, "2": 6}
+    each = sketches.distinct_codes(stored, sets, ["s", "match_id"])
+    assert sorted(tuple(r) for r in each.collect()) == sorted((s, m, 2 * m + 2) for m in range(3) for s in ("all", str(m)))
+    for found in (merged, each):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
