@@ -26,7 +26,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,6 +39,7 @@ from buildup.llm.lattice import HashTable, Pieces, by_step
 
 CACHE_WORDS = 200_000  # in each of two generations
 CACHED_LENGTH = 48  # longer words are not kept between batches
+WORDS_AT_ONCE = 32_768  # passed through the automaton together; bounds a worker's memory
 LONG = 128  # bytes; longer words are read one by one
 SPAN = 1 << 15  # bytes of a long word whose arcs are looked up at once
 NEVER = 1 << 40
@@ -276,18 +276,27 @@ class Encoder:
 
     def encode(self, texts) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        split = [self.words(text) for text in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache, self.older = {}, self.cache
         cache, older = self.cache, self.older
-        missing = set(chain.from_iterable(split)).difference(cache)
-        cache.update({word: older[word] for word in missing if word in older})
-        new = self._learn([word for word in missing if word not in older])
-        cache.update(new)
-        out = [b"".join(map(cache.__getitem__, words)) for words in split]
-        for word in new:
-            if len(word) > CACHED_LENGTH:
-                del cache[word]
+        out, unsure, missing = [], [], set()
+        for text in texts:
+            # each word is looked up once, while the text's words are still at hand
+            words = self.words(text)
+            ids = list(map(cache.get, words))
+            if None in ids:
+                missing.update([word for word, own in zip(words, ids) if own is None])
+                unsure.append((len(out), words, ids))
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
+        new = {word: older[word] for word in missing if word in older}
+        unknown = [word for word in missing if word not in new]
+        for i in range(0, len(unknown), WORDS_AT_ONCE):
+            new.update(self._learn(unknown[i : i + WORDS_AT_ONCE]))
+        for k, words, ids in unsure:
+            out[k] = b"".join([new[word] if own is None else own for word, own in zip(words, ids)])
+        cache.update((word, ids) for word, ids in new.items() if len(word) <= CACHED_LENGTH)
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -329,6 +338,18 @@ class Tokenizer:
 
         return F.pandas_udf(run, T.BinaryType())(text)
 
+    def encode_and_decode(self, text: Column) -> Column:
+        """Struct ``(ids, decoded)`` of a text column, from one worker a task, with one vocabulary in memory."""
+        shared, path = self.shared, self.path
+
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            encoder = _encoder(shared, path)
+            for batch in batches:
+                ids = encoder.encode(batch.tolist())
+                yield pd.DataFrame({"ids": ids, "decoded": [encoder.decode(own) for own in ids]}, dtype=object)
+
+        return F.pandas_udf(run, "ids binary, decoded string")(text)
+
     def decode(self, ids: Column) -> Column:
         """Text of a column of packed ids."""
         shared, path = self.shared, self.path
@@ -346,10 +367,6 @@ def encode_documents(
 ) -> DataFrame:
     """``(doc_id, n_tokens, ids, decoded)`` of every row."""
     tokenizer = Tokenizer(df.sparkSession, path)
-    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), tokenizer.encode(F.col(f"`{text}`")).alias("ids"))
-    return rows.select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
-        "ids",
-        tokenizer.decode(F.col("ids")).alias("decoded"),
-    )
+    both = tokenizer.encode_and_decode(F.col(f"`{text}`")).alias("_both")
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), both).select("doc_id", "_both.*")
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", "decoded")

@@ -37,6 +37,7 @@ MARK = "▁"
 LONGEST = 32  # keeps forward probabilities within double precision
 CACHE_WORDS = 100_000
 CACHED_LENGTH = 48
+WORDS_AT_ONCE = 8_192  # passed through the lattice together; bounds a worker's memory
 FIXED_POINT = 2**20  # expected counts are summed as integers, in any order
 
 _WORD = regex.compile(r"\p{L}{1,%d}" % LONGEST)
@@ -151,7 +152,9 @@ class Scorer:
             grown[:size] = self.values[:size]
             self.values = grown
         if new:
-            self.values[size : size + len(new)] = self._learn(new)
+            for i in range(0, len(new), WORDS_AT_ONCE):
+                some = new[i : i + WORDS_AT_ONCE]
+                self.values[size + i : size + i + len(some)] = self._learn(some)
             rows.update(zip(new, range(size, size + len(new))))
         out = np.zeros((len(split), self.values.shape[1]))
         for i, words in enumerate(split):
@@ -248,7 +251,10 @@ def train(
             total = np.zeros(p.size)
             for batch in batches:
                 language = batch["lang"].map(index).to_numpy(np.int64)
-                total += expected_uses(lattice, batch["word"].tolist(), batch["n"].to_numpy(), language, p)
+                words, n = batch["word"].tolist(), batch["n"].to_numpy()
+                for i in range(0, len(words), WORDS_AT_ONCE):
+                    some = slice(i, i + WORDS_AT_ONCE)
+                    total += expected_uses(lattice, words[some], n[some], language[some], p)
             at = np.flatnonzero(total)
             yield pd.DataFrame({"cell": at, "uses": total[at].astype(np.int64)})
 
