@@ -106,3 +106,17 @@ def test_query_equals_the_library(spark, sf_dir, library):
         assert row["n_tokens"] == len(ids)
         assert row["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert row["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_new_words_are_passed_in_bounded_numbers(automaton, library, monkeypatch):
+    monkeypatch.setattr(bpe, "WORDS_AT_ONCE", 5)
+    encoder, passed = bpe.Encoder(automaton), []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda words: passed.append(len(words)) or learn(words))
+    check(encoder, library, ["one two three four five six seven", None, "", "eight nine ten " + "x" * 60, "one ten " + "x" * 60])
+    assert max(passed) <= 5 and sum(passed) == 11
+
+
+def test_encoding_and_decoding_share_a_worker(docs):
+    plan = bpe.encode_documents(docs, PATH)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

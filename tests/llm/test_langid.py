@@ -114,3 +114,16 @@ def test_words_longer_than_the_limit_are_whole():
     parts = langid._WORD.findall("a" * 100)
     assert "".join(parts) == "a" * 100
     assert list(itertools.chain(map(len, parts))) == [32, 32, 32, 4]
+
+
+def test_words_pass_the_lattice_in_bounded_numbers(monkeypatch):
+    texts = ["ab abc b c abba", None, "", "ca bc abc aa", "acb"]
+    pieces = ["a", "ab", "abc", "b", "c", "▁", "▁a"]
+    p = np.random.default_rng(1).dirichlet(np.ones(len(pieces) + 1), 2).T
+    whole = langid.Scorer(pieces, p).score(texts)
+    monkeypatch.setattr(langid, "WORDS_AT_ONCE", 2)
+    scorer, passed = langid.Scorer(pieces, p), []
+    learn = scorer._learn
+    monkeypatch.setattr(scorer, "_learn", lambda words: passed.append(len(words)) or learn(words))
+    parts = scorer.score(texts)
+    assert max(passed) <= 2 and all((a == b).all() for a, b in zip(whole, parts))
