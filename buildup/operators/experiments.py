@@ -46,8 +46,8 @@ def poisson_levels() -> list[float]:
     return out
 
 
-def with_draws(rows: DataFrame, keys: Sequence[str], replicates: int, seed: int = splits.SEED) -> DataFrame:
-    """Each row once for every replicate that draws it, with ``replicate`` (from 1) and ``draws``.
+def _drawn_by_four(rows: DataFrame, keys: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """Each row once for every four replicates (group ``_g``), with the draws of these as ``_d0`` to ``_d3``.
 
     The number of draws is a Poisson draw from the hash of the keys, so rows of equal keys are drawn together,
     wherever they lie. One digest serves four replicates.
@@ -56,16 +56,22 @@ def with_draws(rows: DataFrame, keys: Sequence[str], replicates: int, seed: int
     groups = rows.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4))))
     digest = F.md5(F.concat_ws("-", *texts, (F.lit(seed) + F.col("_g")).cast("string")))
     groups = groups.withColumn("_digest", digest)
+    u = {f"_u{i}": F.conv(F.substring("_digest", 1 + 8 * i, 8), 16, 10).cast("bigint") / F.lit(float(2**32)) for i in range(4)}
+    groups = groups.withColumns(u)
+    draws = lambda u: sum([(u >= F.lit(level)).cast("int") for level in poisson_levels()], F.lit(0))
+    return groups.select(*rows.columns, "_g", *[draws(F.col(f"_u{i}")).alias(f"_d{i}") for i in range(4)])
+
 
-    def drawn(i: int) -> Column:
-        u = F.conv(F.substring("_digest", 1 + 8 * i, 8), 16, 10).cast("bigint") / F.lit(float(2**32))
-        levels = F.array(*[F.lit(level) for level in poisson_levels()])
-        return F.struct(
-            (4 * F.col("_g") + i + 1).alias("replicate"), F.size(F.filter(levels, lambda level: u >= level)).alias("draws")
-        )
+def _by_replicate(groups: DataFrame, columns: Sequence[str], replicates: int, name: str) -> DataFrame:
+    """One row a replicate (from 1) with a positive number, of rows with those of four as ``_d0`` to ``_d3``."""
+    each = [F.struct((4 * F.col("_g") + i + 1).alias("replicate"), F.col(f"_d{i}").alias(name)) for i in range(4)]
+    long = groups.withColumn("_d", F.explode(F.array(*each))).select(*columns, "_d.*")
+    return long.where((F.col(name) > 0) & (F.col("replicate") <= replicates))
 
-    long = groups.withColumn("_d", F.explode(F.array(*[drawn(i) for i in range(4)]))).select(*rows.columns, "_d.*")
-    return long.where((F.col("draws") > 0) & (F.col("replicate") <= replicates))
+
+def with_draws(rows: DataFrame, keys: Sequence[str], replicates: int, seed: int = splits.SEED) -> DataFrame:
+    """Each row once for every replicate that draws it, with ``replicate`` (from 1) and ``draws``."""
+    return _by_replicate(_drawn_by_four(rows, keys, replicates, seed), rows.columns, replicates, "draws")
 
 
 def bootstrap(
@@ -84,11 +90,14 @@ def bootstrap(
     rows = quality.known(scored).withColumn("score", F.col("score").cast("double"))
     # the draws of a key are made once for all its rows of a score
     rows = rows.groupBy(*by, "score", "label", *keys).agg(F.count("*").alias("_n"))
-    drawn = with_draws(rows, keys, replicates, seed)
-    whole = rows.withColumns({"replicate": F.lit(0), "draws": F.lit(1)})
-    sums = drawn.unionByName(whole).groupBy(*by, "replicate", "score", "label")
-    sums = sums.agg(F.sum(F.col("_n") * F.col("draws")).alias("weight"))
-    sums = stage(sums, "replicates")
+    rows = stage(rows, "keyed")
+    cell = [*by, "score", "label"]
+    # draws are summed before they are spread over the replicates: four replicates a row until then
+    fours = _drawn_by_four(rows, keys, replicates, seed).groupBy(*cell, "_g")
+    fours = fours.agg(*[F.sum(F.col("_n") * F.col(f"_d{i}")).alias(f"_d{i}") for i in range(4)])
+    drawn = _by_replicate(fours, cell, replicates, "weight")
+    whole = rows.groupBy(*cell).agg(F.sum("_n").alias("weight")).withColumn("replicate", F.lit(0))
+    sums = stage(drawn.unionByName(whole), "replicates")
     return quality.record(sums, [*by, "replicate"], digits=12, weight="weight").select(*by, "replicate", *names)
 
 

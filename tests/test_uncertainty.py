@@ -69,3 +69,16 @@ def test_broken_files_are_listed(spark, tmp_path):
         "10.json": ("broken", len(texts["10.json"])),
     }
     assert found.columns == json_files.read_event_files(spark, str(tmp_path / "1.json")).columns
+
+
+def test_draws_of_four_replicates_share_a_row(spark):
+    data = [(u % 40, u % 7 / 10, u % 2) for u in range(400)]
+    rows = spark.createDataFrame(data, "user int, score double, label int").withColumn("run", F.lit("a"))
+    # 6 is not a multiple of four
+    found = experiments.bootstrap(rows, ["user"], ["run"], ["brier_score"], 6).collect()
+    assert sorted(r["replicate"] for r in found) == list(range(7))
+    drawn = experiments.with_draws(rows, ["user"], 6)
+    for r in drawn.groupBy("replicate").agg((F.sum(F.col("draws") * (F.col("score") - F.col("label")) ** 2) / F.sum("draws")).alias("v")).collect():
+        assert r["v"] == pytest.approx(next(f["brier_score"] for f in found if f["replicate"] == r["replicate"]), abs=1e-9)
+    # levels are compared in compiled code, not one array function call a draw
+    assert "lambda" not in drawn._jdf.queryExecution().optimizedPlan().toString()
