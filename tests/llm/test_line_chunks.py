@@ -206,3 +206,39 @@ def test_grows_over_seeds_that_first_stood_elsewhere(spark):
     assert dict(expected)[101].split() == [*sentence("c", 60).split(), *" ".join(s[125:]).split(), *sentence("d", 9).split()]
     df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
     assert bag(line_chunks.dedup_lines(df), "doc_id", "text") == expected
+
+
+def test_a_text_asks_once_about_a_block(spark, monkeypatch):
+    """Stretches grow by one joined row for each text and block asked, not by one for each pair of pieces."""
+    answers, real = [], line_chunks.stage
+
+    def counted(df, name):
+        out = real(df, name)
+        if name == "answers":
+            answers.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_chunks, "stage", counted)
+    short, long = (" ".join(f"{kind} {i}." for i in range(n)) for kind, n in (("p", 6), ("q", 60)))
+    # pairs of the second part first occur elsewhere, so the first part is grown over them place by place
+    data = [(0, long), (1, f"{short} {long}"), *((i, f"own {i}. {short} {long}") for i in range(2, 22))]
+    df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+    assert bag(line_chunks.dedup_lines(df), "doc_id", "text") == brute(data)
+    assert 0 < sum(answers) <= 4 * len(data)
+
+
+@pytest.mark.parametrize("together", [1, 7, 1 << 16])
+def test_lists_are_whole_however_rows_arrive(together, monkeypatch):
+    import pyarrow as pa
+
+    first = {"no_id": False, "id": 0, "text_hash": 1, "start": 0}
+    hits = [
+        {"no_id": False, "id": i, "text_hash": i, "start": k, "lines": 2, "words": 3, "h": k, "chunk": False, "first": first}
+        for i in range(6)
+        for k in range(5 * i)
+        for _ in range(2)
+    ]
+    monkeypatch.setattr(line_chunks, "TOGETHER", together)
+    batches = [pa.RecordBatch.from_pylist(hits[i : i + 4]) for i in range(0, len(hits), 4)]
+    found = [row for batch in line_chunks._pack(iter(batches)) for row in batch.to_pylist()]
+    assert [(row["id"], len(row["hits"]) // line_chunks._HIT.itemsize) for row in found] == [(i, 5 * i) for i in range(1, 6)]
