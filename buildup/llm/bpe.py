@@ -26,9 +26,11 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -279,25 +281,33 @@ class Encoder:
         if len(self.cache) > CACHE_WORDS:
             self.cache, self.older = {}, self.cache
         cache, older = self.cache, self.older
-        out, unsure, missing = [], [], set()
-        for text in texts:
-            # each word is looked up once, while the text's words are still at hand
-            words = self.words(text)
-            ids = list(map(cache.get, words))
-            if None in ids:
-                missing.update([word for word, own in zip(words, ids) if own is None])
-                unsure.append((len(out), words, ids))
-                out.append(b"")
-            else:
-                out.append(b"".join(ids))
-        new = {word: older[word] for word in missing if word in older}
-        unknown = [word for word in missing if word not in new]
-        for i in range(0, len(unknown), WORDS_AT_ONCE):
-            new.update(self._learn(unknown[i : i + WORDS_AT_ONCE]))
-        for k, words, ids in unsure:
-            out[k] = b"".join([new[word] if own is None else own for word, own in zip(words, ids)])
-        cache.update((word, ids) for word, ids in new.items() if len(word) <= CACHED_LENGTH)
-        return out
+        split = list(map(self.words, texts))
+        ends = np.cumsum([0, *map(len, split)])
+        # a word is looked up once for all texts
+        every = list(chain.from_iterable(split))
+        coded = pa.array(every, pa.string()).dictionary_encode()
+        word, place = coded.indices.to_numpy(), np.zeros(len(coded.dictionary), np.int64)
+        place[word] = np.arange(len(every))
+        words = [every[i] for i in place.tolist()]
+        ids = list(map(cache.get, words))
+        missing = [w for w, own in zip(words, ids) if own is None]
+        if missing:
+            new = {w: own for w, own in zip(missing, map(older.get, missing)) if own is not None}
+            unknown = [w for w in missing if w not in new]
+            for i in range(0, len(unknown), WORDS_AT_ONCE):
+                new.update(self._learn(unknown[i : i + WORDS_AT_ONCE]))
+            ids = [new[w] if own is None else own for w, own in zip(words, ids)]
+            cache |= new
+            for w in [w for w in missing if len(w) > CACHED_LENGTH]:
+                del cache[w]
+        # the ids of all words of all texts, gathered from those of the distinct words
+        each = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin, size = (np.cumsum(size) - size)[word], size[word]
+        stops = np.concatenate(([0], np.cumsum(size)))
+        found = each[np.repeat(begin - stops[:-1], size) + np.arange(stops[-1])].tobytes()
+        stops = (4 * stops[ends]).tolist()
+        return [found[i:j] for i, j in zip(stops, stops[1:])]
 
     def decode(self, ids: bytes) -> str:
         """The arc labels of packed ids; without a decoder these are joined by spaces."""

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 
 _EMPTY = -1
+DENSE = 1 << 16  # alphabets up to this size have a plain table of first steps
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -35,14 +36,19 @@ class HashTable:
 
     def get(self, keys: np.ndarray, default: int = -1) -> np.ndarray:
         slot = self._slot(keys)
-        out = np.full(len(keys), default, np.int64)
-        open_ = np.arange(len(keys))
+        found = self.keys[slot]
+        hit = found == keys
+        out = np.where(hit, self.values[slot], np.int64(default))
+        # most keys are found or missed at once
+        open_ = np.flatnonzero(~hit & (found != _EMPTY))
+        slot, keys = slot[open_], keys[open_]
         while len(open_):
-            found = self.keys[slot[open_]]
-            hit = found == keys[open_]
-            out[open_[hit]] = self.values[slot[open_[hit]]]
-            open_ = open_[~hit & (found != _EMPTY)]
-            slot[open_] = (slot[open_] + 1) & self.mask
+            slot = (slot + 1) & self.mask
+            found = self.keys[slot]
+            hit = found == keys
+            out[open_[hit]] = self.values[slot[hit]]
+            on = ~hit & (found != _EMPTY)
+            open_, slot, keys = open_[on], slot[on], keys[on]
         return out
 
 
@@ -61,6 +67,8 @@ class Pieces:
         self.table = HashTable(
             np.fromiter(steps.keys(), np.int64, len(steps)), np.fromiter(steps.values(), np.int64, len(steps))
         )
+        # every place begins with a first step
+        self.root = np.array([steps.get(code, _EMPTY) for code in range(alphabet)], np.int64) if alphabet <= DENSE else None
         self.piece = np.full(len(steps) + 1, -1, np.int64)
         for node, piece in ends.items():
             self.piece[node] = piece
@@ -76,7 +84,10 @@ class Pieces:
         node = np.zeros(len(codes), np.int64)
         found = []
         while len(start):
-            node = self.table.get(node * self.alphabet + codes[at])
+            if self.root is not None and not found:
+                node = self.root[codes]
+            else:
+                node = self.table.get(node * self.alphabet + codes[at])
             on = node >= 0
             start, at, node = start[on], at[on] + 1, node[on]
             piece = self.piece[node]

@@ -120,3 +120,20 @@ def test_new_words_are_passed_in_bounded_numbers(automaton, library, monkeypatch
 def test_encoding_and_decoding_share_a_worker(docs):
     plan = bpe.encode_documents(docs, PATH)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_a_word_is_looked_up_once_for_all_texts():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counting.asked += 1
+            return super().get(*key)
+
+    encoder = bpe.Encoder(bpe.load(PATH))
+    encoder.cache = Counting()
+    texts = ["one two three two", "", None, "three one"] * 50
+    alone = [encoder.encode([text])[0] for text in texts[:4]]
+    Counting.asked = 0
+    assert encoder.encode(texts) == alone * 50
+    assert Counting.asked == 3
