@@ -26,7 +26,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from buildup.llm.common import make_room, prepare, worker_cache
-from buildup.llm.lattice import HashTable, Pieces, by_step
+from buildup.llm.lattice import HashTable, Pieces, by_step, spread
 
 CACHE_WORDS = 200_000  # in each of two generations
 CACHED_LENGTH = 48  # longer words are not kept between batches
@@ -45,6 +45,18 @@ WORDS_AT_ONCE = 32_768  # passed through the automaton together; bounds a worker
 LONG = 128  # bytes; longer words are read one by one
 SPAN = 1 << 15  # bytes of a long word whose arcs are looked up at once
 NEVER = 1 << 40
+ASKED = 1 << 20  # slots for answers about arcs, a power of two
+
+# what bytes are to the split; a word with a byte of the last kind is left whole
+SPACE, LETTER, DIGIT, OTHER, WHOLE = range(5)
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""  # what the split on bytes does
+ENDS_1 = [ord(c) for c in "stmd"]
+ENDS_2 = [256 * ord(c) + ord(d) for c, d in ("re", "ve", "ll")]
+MARK = b"\xff"  # no byte of any text
+# white space beyond ASCII by its length in bytes, as little-endian integers, and the bytes it begins with
+_WIDE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+WIDE = {width: [int.from_bytes(c, "little") for c in _WIDE if len(c) == width] for width in (2, 3)}
+WIDE_LEAD = np.isin(np.arange(256), [c[0] for c in _WIDE])
 
 
 def byte_letters() -> list[str]:
@@ -96,6 +108,7 @@ class Automaton:
         for i in sorted(c.tolist(), key=lambda i: self.born[i]):
             if int(self.left[i]) in dead or int(self.right[i]) in dead:
                 dead[i] = None
+        self.asked: np.ndarray | None = None
         self.pieces = Pieces({i: s for i, s in codes.items() if i not in dead}, 512)
 
     def has_arc(self, state: np.ndarray, token: np.ndarray, until: np.ndarray | None = None) -> np.ndarray:
@@ -120,6 +133,22 @@ class Automaton:
             row, state, own = row[on], state[on], own[on]
         return out
 
+    def arcs(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """``has_arc`` for pairs of which most were asked before; a slot keeps its last pair and the answer."""
+        if self.asked is None:
+            self.asked = np.full(ASKED, -1, np.int64)
+        pair = state * self.size + token
+        slot = spread(pair, 64 - ASKED.bit_length() + 1)
+        kept = self.asked[slot]
+        out = (kept & 1).astype(bool)
+        rest = np.flatnonzero(kept >> 1 != pair)
+        if len(rest):
+            each, back = np.unique(pair[rest], return_inverse=True)
+            found = self.has_arc(each // self.size, each % self.size)
+            out[rest] = found[back]
+            self.asked[slot[rest]] = 2 * pair[rest] + out[rest]
+        return out
+
     def tokenize(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words one after another, and the number of ids of each word.
 
@@ -163,9 +192,7 @@ class Automaton:
             width = first[end[before] + 1] - first[end[before]]
             base = np.cumsum(width) - width
             after = np.repeat(first[end[before]] - base, width) + np.arange(int(width.sum()))
-            pair = np.repeat(token[before], width) * self.size + token[after]
-            each, back = np.unique(pair, return_inverse=True)
-            arc = self.has_arc(each // self.size, each % self.size)[back].tolist()
+            arc = self.arcs(np.repeat(token[before], width), token[after]).tolist()
             at = dict(zip(before.tolist(), base.tolist()))
             for place in range(low, high):
                 piece = reached[place]
@@ -198,8 +225,7 @@ class Automaton:
                 state = reached[s - 1]
                 on = state >= 0
                 s, e, t, state = s[on], e[on], t[on], state[on]
-                pair, back = np.unique(state * self.size + t, return_inverse=True)
-                on = self.has_arc(pair // self.size, pair % self.size)[back]
+                on = self.arcs(state, t)
                 s, e, t = s[on], e[on], t[on]
             reached[e - 1], origin[e - 1] = t, s
         steps, at, row = [], last - 1, np.arange(len(sizes))
@@ -223,76 +249,131 @@ def load(path: str) -> Automaton:
         return Automaton(json.load(file))
 
 
+def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Values that lie one after another in ``data``."""
+    buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)]
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, buffers)
+
+
+def _values(array: pa.Array) -> list[bytes]:
+    if not len(array):
+        return []
+    offsets = np.frombuffer(array.buffers()[1], np.int32)[: len(array) + 1].tolist()
+    data = array.buffers()[2].to_pybytes()
+    return [data[i:j] for i, j in zip(offsets, offsets[1:])]
+
+
 class Encoder:
-    """Text to ids with a bounded cache of words between white space."""
+    """Text to ids with a bounded cache of the parts that texts are split into.
+
+    The texts of a batch are split together, on their bytes. Words with bytes beyond ASCII, or of a vocabulary with
+    another pattern, are one part here, which is split by the pattern itself when it is met first.
+    """
 
     def __init__(self, automaton: Automaton):
         self.automaton = automaton
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.parts = regex.compile(automaton.pattern + "|\n")
         self.special = re.compile("(" + "|".join(map(re.escape, automaton.special)) + ")")
-        # str.split also splits at these four separators, which are not white space here
-        self.odd = re.compile("[\x1c-\x1f]")
-        self.space = regex.compile(r"[\t-\r\x20\x85\xa0  -     　]+")
-
-    def _split(self, text: str) -> list[str]:
+        self.marked = {MARK + t.encode(): int(i).to_bytes(4, "little") for t, i in automaton.special.items()}
+        self.plain = automaton.pattern == PATTERN
+        self.kinds = np.full(256, WHOLE, np.uint8)
+        self.kinds[[*range(9, 14), 32]] = SPACE
+        for kind, letter in ((LETTER, r"\p{L}"), (DIGIT, r"\p{N}"), (OTHER, r"[^\s\p{L}\p{N}]")):
+            if self.plain:
+                self.kinds[[b for b in range(128) if self.kinds[b] == WHOLE and regex.match(letter, chr(b))]] = kind
+
+    def _normal(self, text: str) -> bytes:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
-        return [w for w in self.space.split(text) if w] if self.odd.search(text) else text.split()
+        return text.lower().encode()
 
-    def words(self, text: str | None) -> list[str]:
-        """Words between white space; a special token is a word of its own with a mark before it."""
+    def _spelled(self, text: str | None) -> bytes:
+        """The text as it is split; a special token is a word of its own with a mark before it."""
         if not text:
-            return []
+            return b""
         if not any(token in text for token in self.automaton.special):
-            return self._split(text)
-        found = []
-        for i, piece in enumerate(self.special.split(text)):
-            found += ["\n" + piece] if i % 2 else self._split(piece)
-        return found
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words, all passed through the automaton together."""
-        new = {}
-        for word in [w for w in words if w[0] == "\n"]:
-            new[word] = np.uint32(self.automaton.special[word[1:]]).astype("<u4").tobytes()
-        words = [w for w in words if w[0] != "\n"]
-        if not words:
-            return new
-        parts = self.parts.findall("\n".join(words))
-        letters = np.fromiter(map(len, parts), np.int64, len(parts))
-        data = np.frombuffer("".join(parts).encode(), np.uint8)
-        # where each part begins in bytes: the first byte of its first letter
-        lead = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-        begin = lead[np.concatenate(([0], np.cumsum(letters)))]
-        between = data[begin[:-1]] == 10
-        sizes = np.diff(begin)[~between]
-        ids, counts = self.automaton.tokenize(data[data != 10], sizes)
-        per_word = np.bincount(np.cumsum(between)[~between], counts, len(words)).astype(np.int64)
+            return self._normal(text)
+        pieces = enumerate(self.special.split(text))
+        return b"".join(b" " + MARK + piece.encode() + b" " if i % 2 else self._normal(piece) for i, piece in pieces)
+
+    def _split(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of all parts one after another, where each begins, and how many begin before the end of each text."""
+        spelled = list(map(self._spelled, texts))
+        data = np.frombuffer(b"\n".join([*spelled, b""]), np.uint8)
+        kind = self.kinds[data]
+        strange = np.flatnonzero(kind == WHOLE)
+        if len(strange):
+            lead = strange[WIDE_LEAD[data[strange]]]
+            for width in (2, 3):
+                # a text is followed by a line end, so that no place lies beyond the data
+                own = lead[np.isin(sum(data[lead + i].astype(np.int64) << 8 * i for i in range(width)), WIDE[width])]
+                for i in range(width):
+                    kind[own + i] = SPACE
+            strange = strange[kind[strange] == WHOLE]
+        solid = kind != SPACE
+        begins = np.concatenate(([True], kind[1:] != kind[:-1])) if len(data) else np.empty(0, bool)
+        begins |= kind == DIGIT
+        # an apostrophe after anything but punctuation takes these letters with it
+        quote = np.flatnonzero(data == 39)
+        quote = quote[(kind[quote] == OTHER) & (kind[quote - 1] != OTHER)]
+        one, two = data[quote + 1], data[np.minimum(quote + 2, len(data) - 1)]
+        width = 2 * np.isin(one, ENDS_1) + 3 * np.isin(one.astype(np.int64) * 256 + two, ENDS_2)
+        quote, width = quote[width > 0], width[width > 0]
+        begins[quote + 1] = False
+        begins[quote + width] = True
+        begins &= solid
+        at = np.flatnonzero(begins)
+        if len(strange):
+            first = ~solid[at - 1]  # the first byte comes after the last, a line end
+            whole = np.zeros(np.count_nonzero(first), bool)
+            whole[np.searchsorted(at[first], strange, "right") - 1] = True
+            inner = ~first & whole[np.cumsum(first) - 1]
+            begins[at[inner]] = False
+            at = at[~inner]
+        ends = np.searchsorted(at, np.cumsum([0, *(len(text) + 1 for text in spelled)]))
+        return data[solid], np.flatnonzero(begins[solid]), ends
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct parts, all passed through the automaton together."""
+        ready = list(map(bytes.isascii, words)) if self.plain else [False] * len(words)
+        whole = [w for w, own in zip(words, ready) if not own]
+        words = list(compress(words, ready))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        data, owner = np.frombuffer(b"".join(words), np.uint8), np.arange(len(words))
+        if whole:
+            parts = self.parts.findall(b"\n".join(whole).decode())
+            letters = np.fromiter(map(len, parts), np.int64, len(parts))
+            rest = np.frombuffer("".join(parts).encode(), np.uint8)
+            # where each part begins in bytes: the first byte of its first letter
+            lead = np.append(np.flatnonzero((rest & 0xC0) != 0x80), len(rest))
+            begin = lead[np.concatenate(([0], np.cumsum(letters)))]
+            between = rest[begin[:-1]] == 10
+            sizes = np.concatenate((sizes, np.diff(begin)[~between]))
+            data = np.concatenate((data, rest[rest != 10]))
+            owner = np.concatenate((owner, len(words) + np.cumsum(between)[~between]))
+            words += whole
+        ids, counts = self.automaton.tokenize(data, sizes)
+        per_word = np.bincount(owner, counts, len(words)).astype(np.int64)
         stops = (4 * np.concatenate(([0], np.cumsum(per_word)))).tolist()
         packed = ids.astype("<u4").tobytes()
-        new.update(zip(words, [packed[i:j] for i, j in zip(stops, stops[1:])]))
-        return new
+        return dict(zip(words, [packed[i:j] for i, j in zip(stops, stops[1:])]))
 
-    def encode(self, texts) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
+    def encode(self, texts, width: int = 4) -> list[bytes]:
+        """Ids of each text as little-endian integers of ``width`` bytes."""
         if len(self.cache) > CACHE_WORDS:
             self.cache, self.older = {}, self.cache
         cache, older = self.cache, self.older
-        split = list(map(self.words, texts))
-        ends = np.cumsum([0, *map(len, split)])
-        # a word is looked up once for all texts
-        every = list(chain.from_iterable(split))
-        coded = pa.array(every, pa.string()).dictionary_encode()
-        word, place = coded.indices.to_numpy(), np.zeros(len(coded.dictionary), np.int64)
-        place[word] = np.arange(len(every))
-        words = [every[i] for i in place.tolist()]
+        data, begin, ends = self._split(texts)
+        # a part is looked up once for all texts
+        coded = _binary(data, np.append(begin, len(data))).dictionary_encode()
+        words = _values(coded.dictionary)
         ids = list(map(cache.get, words))
         missing = [w for w, own in zip(words, ids) if own is None]
         if missing:
-            new = {w: own for w, own in zip(missing, map(older.get, missing)) if own is not None}
+            new = dict(self.marked)
+            new.update((w, own) for w, own in zip(missing, map(older.get, missing)) if own is not None)
             unknown = [w for w in missing if w not in new]
             for i in range(0, len(unknown), WORDS_AT_ONCE):
                 new.update(self._learn(unknown[i : i + WORDS_AT_ONCE]))
@@ -300,13 +381,13 @@ class Encoder:
             cache |= new
             for w in [w for w in missing if len(w) > CACHED_LENGTH]:
                 del cache[w]
-        # the ids of all words of all texts, gathered from those of the distinct words
-        each = np.frombuffer(b"".join(ids), "<u4")
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        begin, size = (np.cumsum(size) - size)[word], size[word]
-        stops = np.concatenate(([0], np.cumsum(size)))
-        found = each[np.repeat(begin - stops[:-1], size) + np.arange(stops[-1])].tobytes()
-        stops = (4 * stops[ends]).tolist()
+        # the ids of all parts of all texts, gathered from those of the distinct parts
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        each = np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}")
+        stops = np.concatenate(([0], np.cumsum(sizes // 4 * width)))
+        found = _binary(each, stops).take(coded.indices)
+        stops = np.frombuffer(found.buffers()[1], np.int32)[: len(found) + 1][ends].tolist()
+        found = found.buffers()[2].to_pybytes() if len(found) else b""
         return [found[i:j] for i, j in zip(stops, stops[1:])]
 
     def decode(self, ids: bytes) -> str:
@@ -341,10 +422,7 @@ class Tokenizer:
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             encoder = _encoder(shared, path)
             for batch in batches:
-                ids = encoder.encode(batch.tolist())
-                if width != 4:
-                    ids = [np.frombuffer(own, "<u4").astype(f"<u{width}").tobytes() for own in ids]
-                yield pd.Series(ids, dtype=object)
+                yield pd.Series(encoder.encode(batch.tolist(), width), dtype=object)
 
         return F.pandas_udf(run, T.BinaryType())(text)
 

@@ -11,16 +11,21 @@ DENSE = 1 << 16  # alphabets up to this size have a plain table of first steps
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def spread(keys: np.ndarray, shift: int) -> np.ndarray:
+    """Slots for int64 keys: the upper ``64 - shift`` bits of a multiplicative hash."""
+    return ((keys.view(np.uint64) * _SPREAD) >> np.uint64(shift)).view(np.int64)
+
+
 class HashTable:
     """Fixed map from non-negative int64 keys to int64 values, probed for whole arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         size = 1 << max(4, int(4 * len(keys)).bit_length())
-        self.shift = np.uint64(64 - (size.bit_length() - 1))
+        self.shift = 64 - (size.bit_length() - 1)
         self.mask = size - 1
         self.keys = np.full(size, _EMPTY, np.int64)
         self.values = np.zeros(size, np.int64)
-        slot, left = self._slot(keys), np.arange(len(keys))
+        slot, left = spread(keys, self.shift), np.arange(len(keys))
         while len(left):
             at = slot[left]
             taken = self.keys[at] != _EMPTY
@@ -31,11 +36,8 @@ class HashTable:
             left = left[taken | ~first]
             slot[left] = (slot[left] + 1) & self.mask
 
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * _SPREAD) >> self.shift).astype(np.int64)
-
     def get(self, keys: np.ndarray, default: int = -1) -> np.ndarray:
-        slot = self._slot(keys)
+        slot = spread(keys, self.shift)
         found = self.keys[slot]
         hit = found == keys
         out = np.where(hit, self.values[slot], np.int64(default))

@@ -137,3 +137,50 @@ def test_a_word_is_looked_up_once_for_all_texts():
     Counting.asked = 0
     assert encoder.encode(texts) == alone * 50
     assert Counting.asked == 3
+
+
+def test_a_part_passes_the_automaton_once(library, monkeypatch):
+    automaton = bpe.load(PATH)
+    encoder, passed = bpe.Encoder(automaton), []
+    tokenize = automaton.tokenize
+    monkeypatch.setattr(automaton, "tokenize", lambda data, sizes: passed.append(len(sizes)) or tokenize(data, sizes))
+    check(encoder, library, ["cat cat, (cat) cat's 11 1,1", "'cat' cat. cat"])
+    assert sum(passed) == len(["cat", ",", "(", ")", "'s", "1", "'", "."])
+
+
+@pytest.mark.parametrize("slots", [4, 1 << 20])
+def test_an_arc_is_asked_once(library, monkeypatch, slots):
+    monkeypatch.setattr(bpe, "ASKED", slots)
+    automaton, asked = bpe.load(PATH), []
+    has_arc = automaton.has_arc
+    monkeypatch.setattr(automaton, "has_arc", lambda s, t: asked.append(len(s)) or has_arc(s, t))
+    rng = random.Random(slots)
+    texts = [" ".join("".join(rng.choice("ehtains") for _ in range(rng.randint(1, 9))) for _ in range(300)) + " x" * 20]
+    check(bpe.Encoder(automaton), library, texts)
+    before = sum(asked)
+    check(bpe.Encoder(automaton), library, texts)
+    again = sum(asked) - before
+    # a slot that two pairs share is asked for again
+    assert before > 500 and (slots == 4 or again < before / 20)
+
+
+ODD = (
+    list("aAsStTmdreElv'\"!?,.19 _-<|>\n\t\x0b\x1c\x1f\x00\x7f\x85\xa0éÉñßσΣŁ½²٣日") + ["'s", "'RE", "'ll", "'", "''"]
+    + ["\u1680", "\u2000", "\u200a", "\u200b", "\u2019", "\u2028", "\u202f", "\u205f", "\u3000", "\u3001", "\ufeff", "e\u0301", "\U0001f600"]
+    + ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"]
+)
+
+
+def test_texts_split_together_as_the_library_splits_them(automaton, library):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 25))) for _ in range(4000)] + ["'", "''", "a'", "\u3000"]
+    check(bpe.Encoder(automaton), library, texts)
+    assert bpe.Encoder(automaton).encode([]) == [] and bpe.Encoder(automaton).encode(["", None]) == [b"", b""]
+
+
+def test_another_pattern_is_used_as_it_is(automaton, monkeypatch):
+    monkeypatch.setattr(automaton, "pattern", r"[a-z0-9]{2}|[^\s]")
+    parts = [part.encode() for part in ("ab", "c", "'", "st", "12", ",", "3", "é")]
+    ids, _ = automaton.tokenize(np.frombuffer(b"".join(parts), np.uint8), np.array(list(map(len, parts))))
+    found = bpe.Encoder(automaton).encode(["abc'st 12,3é <|endoftext|>"])
+    assert unpacked(found[0]) == [*ids.tolist(), automaton.special["<|endoftext|>"]]
