@@ -26,6 +26,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from copy import copy
 from itertools import compress
 
 import numpy as np
@@ -45,7 +46,7 @@ WORDS_AT_ONCE = 32_768  # passed through the automaton together; bounds a worker
 LONG = 128  # bytes; longer words are read one by one
 SPAN = 1 << 15  # bytes of a long word whose arcs are looked up at once
 NEVER = 1 << 40
-ASKED = 1 << 20  # slots for answers about arcs, a power of two
+ASKED = 1 << 18  # slots for answers about arcs, a power of two
 
 # what bytes are to the split; a word with a byte of the last kind is left whole
 SPACE, LETTER, DIGIT, OTHER, WHOLE = range(5)
@@ -271,7 +272,8 @@ class Encoder:
     """
 
     def __init__(self, automaton: Automaton):
-        self.automaton = automaton
+        # answers about arcs go with the encoder, not with the tables, which a worker keeps for other encoders
+        self.automaton = copy(automaton)
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.parts = regex.compile(automaton.pattern + "|\n")
